@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from inkspan.llm.decontamination import op5_decontamination
 from inkspan.llm.packing import op10_packing
 from inkspan.llm.sharding import op1_sharding
 from inkspan.llm.simhash import op6_simhash
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
     "op10_packing": op10_packing,
 }
