@@ -6,9 +6,11 @@ from inkspan.llm.decontamination import op5_decontamination
 from inkspan.llm.packing import op10_packing
 from inkspan.llm.sharding import op1_sharding
 from inkspan.llm.simhash import op6_simhash
+from inkspan.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_toxicity": op2_toxicity,
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
     "op10_packing": op10_packing,
