@@ -89,12 +89,23 @@ class WordEncoder:
         return [self._whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, lists, strict=True)]
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(tokenizer_json: str) -> WordEncoder:
+    """The worker's encoder; a reused Python worker keeps its caches from task to task."""
+    if tokenizer_json not in _encoders:
+        _encoders.clear()
+        _encoders[tokenizer_json] = WordEncoder(tokenizer_json)
+    return _encoders[tokenizer_json]
+
+
 def pieces(docs: DataFrame, tokenizer_json: str, capacity: int, end_id: int) -> DataFrame:
     """One row for each piece of each document, with the checksum of its ids."""
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_json)
+        encoder = encoder_of(tokenizer_json)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
