@@ -77,37 +77,38 @@ def corpus_counts(docs: DataFrame, terms: HashSet) -> tuple[np.ndarray, int]:
 
 
 class BlockMaxIndex:
-    """Exact top-k cosine over sparse unit vectors (rows of ``vectors``)."""
+    """Exact top-k cosine over unit vectors (rows of ``vectors``), by term and block of rows."""
 
     def __init__(self, vectors: np.ndarray, block: int = BLOCK):
-        self.size, self.block = len(vectors), block
-        self.blocks = -(-len(vectors) // block) if len(vectors) else 0
-        padded = np.zeros((self.blocks * block, vectors.shape[1]), dtype=np.float64)
+        self.blocks, self.block = -(-len(vectors) // block), block
+        padded = np.zeros((self.blocks * block, vectors.shape[1]))
         padded[: len(vectors)] = vectors
-        self.highest = padded.reshape(self.blocks, block, -1).max(axis=1).T.copy()  # (term, block)
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []  # term -> block -> (place, weight)
-        for t in range(vectors.shape[1]):
-            at = np.flatnonzero(padded[:, t])
-            own = {}
-            for some in np.split(at, np.flatnonzero(np.diff(at // block)) + 1) if len(at) else []:
-                own[int(some[0]) // block] = (some % block, padded[some, t])
-            self.postings.append(own)
-
-    def search(self, terms: list[int], weights: list[float], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k best with a positive cosine, best first; ties go to the lower example."""
-        bound = np.array(weights) @ self.highest[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
-                break
-            total = np.zeros(self.block)
-            for t, w in zip(terms, weights, strict=True):
-                if b in self.postings[t]:
-                    place, weight = self.postings[t][b]
-                    total[place] += w * weight
-            own = np.flatnonzero(total > 0)
-            best = sorted(best + [(-float(total[i]), b * self.block + int(i)) for i in own if b * self.block + i != skip])[:k]
-        return np.array([i for _, i in best], dtype=np.int64), np.array([-s for s, _ in best])
+        self.postings = padded.reshape(self.blocks, block, -1).transpose(2, 0, 1).copy()  # (term, block, place)
+        self.highest = self.postings.max(axis=2, initial=0)  # (term, block)
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, cosines) of the k best with a positive cosine, best first; ties go to the lower row."""
+        bound = weights @ self.highest[terms]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        rows, cosines = np.zeros(0, np.int64), np.zeros(0)
+        at, step = 0, 2
+        while at < len(order):
+            if len(rows) == k:  # blocks that cannot reach the k-th best are never opened
+                order = order[: at + int((bound[order[at:]] >= cosines[-1] - 1e-12).sum())]
+                step = max(len(order) - at, 1)
+            some = order[at : at + step]
+            at += step
+            total = np.tensordot(weights, self.postings[np.ix_(terms, some)], axes=1).ravel()
+            place = (some[:, None] * self.block + np.arange(self.block)).ravel()
+            keep = (total > 0) & (place != skip)
+            rows, cosines = np.concatenate((rows, place[keep])), np.concatenate((cosines, total[keep]))
+            if len(rows) > k:
+                keep = cosines >= np.partition(cosines, -k)[-k]
+                rows, cosines = rows[keep], cosines[keep]
+            best = np.lexsort((rows, -cosines))[:k]
+            rows, cosines = rows[best], cosines[best]
+        return rows, cosines
 
 
 class ToxicityModel:
@@ -138,7 +139,7 @@ class ToxicityModel:
     def _vote(self, vector: np.ndarray, skip: int = -1) -> float:
         """-1 without neighbours, else the weighted share of label 1."""
         terms = np.flatnonzero(vector)
-        near, cosine = self.index.search(terms.tolist(), vector[terms].tolist(), NEIGHBOURS, skip) if len(terms) else ((), ())
+        near, cosine = self.index.search(terms, vector[terms], NEIGHBOURS, skip) if len(terms) else ((), ())
         if not len(near):
             return -1.0
         weight = 1 / (np.maximum(1 - cosine, 0) + 0.05)
@@ -148,7 +149,7 @@ class ToxicityModel:
         """Places of the examples that vote on one text, by its term counts."""
         vector = self._unit(counts[None, :])[0]
         terms = np.flatnonzero(vector)
-        return self.index.search(terms.tolist(), vector[terms].tolist(), NEIGHBOURS)[0].tolist() if len(terms) else []
+        return self.index.search(terms, vector[terms], NEIGHBOURS)[0].tolist() if len(terms) else []
 
     def score(self, column: pa.Array) -> np.ndarray:
         n, size = len(column), len(self.terms.keys)
@@ -157,8 +158,8 @@ class ToxicityModel:
         counts = np.bincount(owner[at] * size + term, minlength=n * size).reshape(n, size) if size else np.zeros((n, 0))
         raw = np.full(n, -1.0)
         some = np.flatnonzero(counts.any(axis=1))
-        for k, vector in zip(some.tolist(), self._unit(counts[some]), strict=True):
-            raw[k] = self._vote(vector)
+        kinds, kind = np.unique(counts[some], axis=0, return_inverse=True)
+        raw[some] = np.array([self._vote(vector) for vector in self._unit(kinds)])[kind.ravel()] if len(some) else raw[some]
         return np.clip(0.99 * np.interp(raw, self.at, self.chance) + 0.01 * np.maximum(raw, 0), 0, 1)
 
 
