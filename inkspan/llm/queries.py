@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from inkspan.llm.decontamination import op5_decontamination
+from inkspan.llm.language import op8_language
 from inkspan.llm.packing import op10_packing
+from inkspan.llm.quality import op4_quality
 from inkspan.llm.sharding import op1_sharding
 from inkspan.llm.simhash import op6_simhash
 from inkspan.llm.toxicity import op2_toxicity
@@ -11,8 +13,10 @@ from inkspan.llm.toxicity import op2_toxicity
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
+    "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
+    "op8_language": op8_language,
     "op10_packing": op10_packing,
 }
 
