@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from inkspan.llm.decontamination import op5_decontamination
 from inkspan.llm.language import op8_language
+from inkspan.llm.linededup import op9_linededup
 from inkspan.llm.packing import op10_packing
 from inkspan.llm.quality import op4_quality
 from inkspan.llm.sharding import op1_sharding
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
     "op8_language": op8_language,
+    "op9_linededup": op9_linededup,
     "op10_packing": op10_packing,
 }
 
