@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from inkspan.llm.decontamination import op5_decontamination
+from inkspan.llm.embeddings import op3_embeddings
 from inkspan.llm.language import op8_language
 from inkspan.llm.linededup import op9_linededup
 from inkspan.llm.packing import op10_packing
@@ -14,6 +15,7 @@ from inkspan.llm.toxicity import op2_toxicity
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
+    "op3_embeddings": op3_embeddings,
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
