@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -36,12 +37,17 @@ from inkspan.llm.common import ordered_positions, read_table, stage
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Cached words and pre-tokens of one Python worker.
-WORD_CACHE, PIECE_CACHE = 300_000, 900_000
+WORD_CACHE, PIECE_CACHE = 400_000, 700_000
 
 _PLAIN = re.compile("[\x21-\x7e\xa1-ſ]+").fullmatch
 _ODD_SPACE = re.compile("[\x1c-\x1f]").search
 
 
+#: Byte-level models show a byte as the character of its number if that is printable, else as the next free one from U+0100.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_SHOWN = {b: chr(256 + k) for k, b in enumerate(_HIDDEN)}
+
+
 class WordEncoder:
     """Token ids of whole texts as little-endian uint32 bytes."""
 
@@ -58,35 +64,57 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _parts(self, word: str) -> tuple[str, ...] | None:
+        """Pre-tokens of a word in plain Latin script; None for others."""
+        low = word.lower()
+        if not low.isascii() and not (_PLAIN(word) and unicodedata.is_normalized("NFC", word)):
+            return None
+        if low.isalpha():
+            return (low,)
+        core = low.rstrip(".,")
+        if core.isalpha():  # the points and commas behind it are one pre-token
+            return (core, low[len(core) :])
+        if "<|" in word or not _PLAIN(word):
+            return None
+        return tuple(self._pretokens(low))
+
     def _learn(self, words: set[str]) -> None:
         split, pieces = {}, self._pieces
         for word in words:
-            if _PLAIN(word) and "<|" not in word and unicodedata.is_normalized("NFC", word):
-                split[word] = self._pretokens(word.lower())
-            else:
+            parts = self._parts(word)
+            if parts is None:
                 self._words[word] = self._whole(word)
-        new = list({p for parts in split.values() for p in parts if p not in pieces})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for piece, got in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                pieces[piece] = np.asarray(got.ids, dtype="<u4").tobytes()
+            else:
+                split[word] = parts
+        tokenize = self._tokenizer.model.tokenize
+        for piece in {p for parts in split.values() for p in parts if p not in pieces}:
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SHOWN)
+            pieces[piece] = array("I", [t.id for t in tokenize(shown)]).tobytes()
         for word, parts in split.items():
-            self._words[word] = b"".join([pieces[p] for p in parts])
+            self._words[word] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self._words) > WORD_CACHE:
             self._words.clear()
         if len(self._pieces) > PIECE_CACHE:
             self._pieces.clear()
-        known = self._words
-        lists = [None if t and _ODD_SPACE(t) else (t or "").split() for t in texts]
-        new: set[str] = set()
-        for words in lists:
-            if words:
-                new.update(words)
-        self._learn({w for w in new if w not in known})
-        get = known.__getitem__
-        return [self._whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, lists, strict=True)]
+        known, out, open_, new = self._words, [], [], set()
+        for text in texts:
+            if not text or _ODD_SPACE(text):
+                out.append(self._whole(text) if text else b"")
+                continue
+            words = text.split()
+            ids = list(map(known.get, words))
+            if None in ids:
+                open_.append((len(out), words, ids))
+                new.update([w for w, i in zip(words, ids, strict=True) if i is None])
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
+        self._learn(new)
+        for place, words, ids in open_:
+            out[place] = b"".join([known[w] if i is None else i for w, i in zip(words, ids, strict=True)])
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
