@@ -8,6 +8,7 @@ from inkspan.llm.language import op8_language
 from inkspan.llm.linededup import op9_linededup
 from inkspan.llm.packing import op10_packing
 from inkspan.llm.quality import op4_quality
+from inkspan.llm.secretscan import op7_secretscan
 from inkspan.llm.sharding import op1_sharding
 from inkspan.llm.simhash import op6_simhash
 from inkspan.llm.toxicity import op2_toxicity
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
+    "op7_secretscan": op7_secretscan,
     "op8_language": op8_language,
     "op9_linededup": op9_linededup,
     "op10_packing": op10_packing,
