@@ -17,6 +17,8 @@ SYMBOLS = byte_table(bytes(b for b in range(256) if b <= 32 or b >= 127 or chr(b
 #: Texts from which examples are taken have at most so many bytes. Scoring always reads whole texts.
 EXAMPLE_BYTES = 1 << 16
 _SKETCH = 64
+#: The term that counts words equal to the word before them.
+REPEAT = np.uint64(0x52455045_41540001)
 
 
 @dataclass
@@ -34,13 +36,16 @@ def held_out(modulus: int, rest: int) -> Column:
 
 
 def term_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, term hash) of every word and every run of symbols."""
+    """(text index, term hash) of every word, every run of symbols and every repetition of a word."""
     data, offsets = column_bytes(column)
     owners, terms = [], []
     for table in (WORDS, SYMBOLS):
         hashes, first = word_hashes(data, offsets, table)
         owners.append(np.repeat(np.arange(len(column)), np.diff(first)))
         terms.append(hashes)
+    again = np.flatnonzero((terms[0][1:] == terms[0][:-1]) & (owners[0][1:] == owners[0][:-1]))
+    owners.append(owners[0][again])
+    terms.append(np.full(len(again), REPEAT))
     return np.concatenate(owners), np.concatenate(terms)
 
 

@@ -1,7 +1,7 @@
 """Quality by voting of labelled neighbours in a latent-semantic space.
 
-Fit, on the driver, from at most ``PER_CLASS`` examples of each label: TF-IDF over the ``TERMS`` terms (words and
-runs of symbols) that most examples hold, a randomised truncated SVD to ``RANK`` dimensions, and the examples'
+Fit, on the driver, from at most ``PER_CLASS`` examples of each label: TF-IDF over the ``TERMS`` terms (words,
+runs of symbols, repetitions of a word) that most examples hold, a randomised truncated SVD to ``RANK`` dimensions, and the examples'
 unit vectors in that space. Document frequencies are counted over all documents of the corpus.
 
 Score of a document: exact cosines with all examples by blocked matrix products, then the labels of the
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspan.llm.common import read_table
-from inkspan.llm.labelled import Example, examples, held_out, isotonic, term_hashes
+from inkspan.llm.labelled import REPEAT, Example, examples, held_out, isotonic, term_hashes
 from inkspan.llm.textscan import HashSet
 from inkspan.llm.toxicity import corpus_counts, with_score
 
@@ -32,6 +32,8 @@ RANK = 64
 NEIGHBOURS = 25
 SHARPNESS = 12.0
 THRESHOLD = 0.3
+#: Repeated words weigh more than their frequency alone gives.
+REPEAT_WEIGHT = 2.0
 
 
 def common_terms(sample: list[Example], limit: int = TERMS) -> np.ndarray:
@@ -55,6 +57,7 @@ class QualityModel:
     def __init__(self, sample: list[Example], totals: dict[int, int], terms: HashSet, counts: np.ndarray, documents: int):
         self.terms = terms
         self.idf = (np.log((documents + 1) / (counts + 1)) + 1).astype(np.float32)
+        self.idf[terms.keys == REPEAT] *= REPEAT_WEIGHT
         found = np.zeros((len(sample), len(terms.keys)), dtype=np.float32)
         for row, e in enumerate(sample):
             at, term = terms.find(e.terms)
