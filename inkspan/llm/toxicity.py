@@ -2,7 +2,7 @@
 
 Fit, on the driver, from at most ``PER_CLASS`` examples of each label:
 
-* vocabulary: terms (lower-cased words, runs of symbols) that go with either label beyond chance
+* vocabulary: terms (lower-cased words, runs of symbols, not repetitions) that go with either label beyond chance
   (log-odds of document counts, |z| >= 3), ``TERMS`` at most;
 * inverse document frequencies: counted over all documents of the corpus, in one scan that moves one row a
   term and task;
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkspan.llm.common import read_table
-from inkspan.llm.labelled import Example, examples, folded, held_out, isotonic, term_hashes
+from inkspan.llm.labelled import REPEAT, Example, examples, folded, held_out, isotonic, term_hashes
 from inkspan.llm.textscan import HashSet, slices
 
 PER_CLASS = 2048
@@ -51,7 +51,7 @@ def associated_terms(sample: list[Example], limit: int = TERMS, least_z: float =
     odds = [np.log((counts[c] + 0.5) / (sizes[c] - counts[c] + 0.5)) for c in (0, 1)]
     z = np.abs(odds[1] - odds[0]) / np.sqrt((1 / (counts + 0.5)).sum(axis=0))
     share = (counts / np.maximum(np.array(sizes)[:, None], 1)).max(axis=0)
-    fit = np.flatnonzero((z >= least_z) & (counts.max(axis=0) >= 3) & (share >= 0.02))
+    fit = np.flatnonzero((terms != REPEAT) & (z >= least_z) & (counts.max(axis=0) >= 3) & (share >= 0.02))
     return terms[fit[np.argsort(-z[fit], kind="stable")][:limit]]
 
 
