@@ -1,0 +1 @@
+"""inkspan: note retrieval, reranking and ranking evaluation on Spark DataFrames."""
