@@ -151,4 +151,5 @@ def pick_sentence(text: Column, title: Column, number: Column) -> Column:
 
 def cost_text(cost: Column, tokens_used: Column, price: float) -> Column:
     """The charged cost, or the one that follows from tokens and the price of a million, to six decimals; else ``unknown``."""
-    return F.coalesce(F.format_string("$%.6f", cost), F.format_string("$%.6f", tokens_used * F.lit(price) / 1e6), F.lit("unknown"))
+    known = F.coalesce(cost, tokens_used * F.lit(price) / 1e6)
+    return F.when(known.isNotNull(), F.format_string("$%.6f", known)).otherwise("unknown")

@@ -95,5 +95,5 @@ def render(hits: DataFrame, judged: DataFrame | None = None) -> DataFrame:
         rows = rows.join(judged.select("id", F.col("judge_score")), "id", "left")
     else:
         rows = rows.withColumn("judge_score", F.lit(None).cast("double"))
-    label = F.coalesce(F.format_string("%.2f", "judge_score"), F.lit("not evaluated"))
+    label = F.when(F.col("judge_score").isNotNull(), F.format_string("%.2f", "judge_score")).otherwise("not evaluated")
     return rows.select("key", "rank", "path", "title", "heading", tx.excerpt(F.col("text")).alias("excerpt"), label.alias("label"))
