@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 
 #: Rows up to which a counted side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: The same for a side that is one column of longs (some 40 MB as a hash table).
+BROADCAST_KEYS = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +51,8 @@ def clear_staged(spark: SparkSession) -> None:
 
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join with a staged ``small`` side: broadcast if its counted rows are few, else a shuffled join (AQE splits hot keys)."""
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    most = BROADCAST_KEYS if [t for _, t in small.dtypes] == ["bigint"] else BROADCAST_ROWS
+    if small.limit(most + 1).count() <= most:
         return big.join(F.broadcast(small), on, how)
     return big.join(small.hint("merge"), on, how)
 
