@@ -83,7 +83,7 @@ class BlockMaxIndex:
         self.blocks, self.block = -(-len(vectors) // block), block
         padded = np.zeros((self.blocks * block, vectors.shape[1]))
         padded[: len(vectors)] = vectors
-        self.postings = padded.reshape(self.blocks, block, -1).transpose(2, 0, 1).copy()  # (term, block, place)
+        self.postings = padded.reshape(self.blocks, block, vectors.shape[1]).transpose(2, 0, 1).copy()  # (term, block, place)
         self.highest = self.postings.max(axis=2, initial=0)  # (term, block)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
