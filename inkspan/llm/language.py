@@ -71,7 +71,7 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
 
 
 class LanguageModel:
-    def __init__(self, names: list[str], texts: list[bytes], labels: np.ndarray, seed: int = 9, epochs: int = 12, batch: int = 32, rate: float = 20.0):
+    def __init__(self, names: list[str], texts: list[bytes], labels: np.ndarray, seed: int = 9, steps: int = 640, batch: int = 32, rate: float = 60.0):
         self.names = names
         if not names:
             return
@@ -87,6 +87,7 @@ class LanguageModel:
         embed = (rng.standard_normal((BUCKETS, DIMENSIONS)) / DIMENSIONS).astype(np.float32)
         weights, bias = np.zeros((DIMENSIONS, len(names)), dtype=np.float32), np.zeros(len(names), dtype=np.float32)
         target = np.eye(len(names), dtype=np.float32)
+        epochs = -(-steps // max(1, -(-len(train) // batch)))  # few examples are seen more often
         for epoch in range(epochs):
             pace = rate * (1 - epoch / epochs)
             for at in range(0, len(train), batch):
