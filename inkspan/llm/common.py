@@ -11,8 +11,10 @@ from pyspark.sql import Window as W
 
 #: Rows up to which a counted side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
-#: The same for a side that is one column of longs (some 40 MB as a hash table).
-BROADCAST_KEYS = 1_000_000
+#: The same for a side that is one column of longs (some 20 MB as a hash table).
+BROADCAST_KEYS = 500_000
+#: Bytes of strings that a broadcast side may hold in all.
+BROADCAST_BYTES = 8 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,10 +51,21 @@ def clear_staged(spark: SparkSession) -> None:
         fs.delete(status.getPath(), True)
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether a staged table may be broadcast: few rows, of numbers and short strings only, by count and bytes."""
+    kinds = [t for _, t in df.dtypes]
+    if any(t.startswith(("array", "map", "struct", "binary")) for t in kinds):
+        return False
+    most = BROADCAST_KEYS if kinds == ["bigint"] else BROADCAST_ROWS
+    few = df.limit(most + 1)
+    lengths = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t == "string"), F.lit(0))
+    n, size = few.agg(F.count("*"), F.coalesce(F.sum(lengths), F.lit(0))).first()
+    return n <= most and size <= BROADCAST_BYTES
+
+
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join with a staged ``small`` side: broadcast if its counted rows are few, else a shuffled join (AQE splits hot keys)."""
-    most = BROADCAST_KEYS if [t for _, t in small.dtypes] == ["bigint"] else BROADCAST_ROWS
-    if small.limit(most + 1).count() <= most:
+    """Join with a staged ``small`` side: broadcast if it is small by its counts, else a shuffled join (AQE splits hot keys)."""
+    if is_small(small):
         return big.join(F.broadcast(small), on, how)
     return big.join(small.hint("merge"), on, how)
 
