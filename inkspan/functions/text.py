@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 
 Tokenizer = Callable[[Column], Column]
 
+#: Marks and weights of whole-word and single-character tokens.
 WORD_PREFIX, CHAR_PREFIX = "w:", "c:"
 WORD_WEIGHT, CHAR_WEIGHT = 1.2, 0.5
 
