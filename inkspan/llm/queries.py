@@ -26,4 +26,19 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: CRC-32 by its table, made from the polynomial; the same ranks as the operator.
+_OP1 = """WITH steps AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+bytes AS (SELECT doc_id, source, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sums AS (SELECT doc_id, source, octet_length(encode(text)) + 1 AS size, xor(list_reduce(list_prepend(4294967295, list_transform(range(CAST(length(h) // 2 AS BIGINT)), lambda k: CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS text_crc32, substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS mixed FROM bytes, steps),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY mixed, doc_id, text_crc32, size) AS k, count(*) OVER (PARTITION BY source) AS n FROM sums),
+placed AS (SELECT *, row_number() OVER (ORDER BY (2 * k - 1) / (2 * n), source, k) - 1 AS position, count(*) OVER () AS total FROM ranked),
+cut AS (SELECT *, position * 8 // total AS s FROM placed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(s AS INT) AS shard, CAST(position - (s * total + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, source FROM cut"""
+
+#: All pairs of a label and their transitive closure.
+_OP3 = """WITH RECURSIVE sound AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e LEFT JOIN (SELECT u, count(*) AS n FROM links GROUP BY u) k ON k.u = e.vec_id LEFT JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) c ON c.u = e.vec_id"""
+
+ORACLE_SQL: dict[str, str] = {"op1_sharding": _OP1, "op3_embeddings": _OP3}
