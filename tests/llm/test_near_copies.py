@@ -180,3 +180,25 @@ def test_lines(spark):
     left = ld.without_repeated_lines(docs)
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {1, 2, 5, 6, 7, 9}
     assert ld.without_repeated_lines(spark.createDataFrame([], LINES)).count() == 0
+
+
+def character_runs(form, size=7):
+    return {form[k : k + size] for k in range(len(form) - size + 1)} or {form}
+
+
+def jaccard(a, b):
+    a, b = character_runs(a), character_runs(b)
+    return len(a & b) / len(a | b)
+
+
+def test_lines_are_compared_by_all_their_characters(spark):
+    """Short, numbered and long-token lines: equal but for what no word starts with."""
+    lines = ["chapter 12", "chapter 13", "total amount: 15", "total amount: 99", "the answer is yes", "the answer is no"]
+    lines += ["invoice2024000117", "invoice2024999832", "a", "ab", "seven77", "eight888", "日本語の行はここにあります一", "日本語の行はここにあります二"]
+    lines += [f"token{'x' * 60}{k}" for k in range(3)] + [f"item number {k} of the list of all items that were sold in the year, by place and by month of sale" for k in (1, 2, 30)]
+    pairs = [(a, b) for a in range(len(lines)) for b in range(a)]
+    forms = spark.createDataFrame(list(enumerate(lines)), "id long, form string")
+    got = {(r.a, r.b) for r in ld.similar(spark.createDataFrame(pairs, "a long, b long"), forms).collect()}
+    assert got == {(a, b) for a, b in pairs if jaccard(lines[a], lines[b]) >= 0.8} and got
+    docs = spark.createDataFrame([(k, line, 1) for k, line in enumerate(lines[:8])], LINES)
+    assert {r.doc_id for r in ld.without_repeated_lines(docs).collect()} == set(range(8))
