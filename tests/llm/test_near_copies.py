@@ -202,3 +202,33 @@ def test_lines_are_compared_by_all_their_characters(spark):
     assert got == {(a, b) for a, b in pairs if jaccard(lines[a], lines[b]) >= 0.8} and got
     docs = spark.createDataFrame([(k, line, 1) for k, line in enumerate(lines[:8])], LINES)
     assert {r.doc_id for r in ld.without_repeated_lines(docs).collect()} == set(range(8))
+
+
+@pytest.mark.parametrize("block", [128, 3])
+def test_every_pair_of_a_band_counts(spark, monkeypatch, block):
+    """One row a band, so that keys hold many clusters; also chains of which only one end is near a leader."""
+    monkeypatch.setattr(ld, "ROWS", 1)
+    monkeypatch.setattr(ld, "BLOCK", block, raising=False)
+    rng = random.Random(6)
+    shared = " ".join(rng.choice(WORDS) for _ in range(14))
+    lines = []
+    for _ in range(12):
+        words = f"{shared} {' '.join(rng.choice(WORDS) for _ in range(8))}".split()
+        for _ in range(5):
+            words[rng.randrange(14, 22)] = rng.choice(WORDS)
+            lines.append(" ".join(words))
+    lines = sorted({*lines, "short", "short 2", "x" * 50})
+    table = spark.createDataFrame([(line,) for line in lines], "form string").selectExpr("xxhash64(form) as id", "form").cache()
+    forms = {r.id: r.form for r in table.collect()}
+    keys = {}
+    for r in ld.band_members(ld.signatures(table)).collect():
+        keys.setdefault(r._key, set()).add(r.id)
+    sets = Sets()
+    for ids in keys.values():
+        for a in ids:
+            for b in ids:
+                if a < b and jaccard(forms[a], forms[b]) >= 0.8:
+                    sets.join(a, b)
+    got = {r.id: r.root for r in ld.line_classes(table).collect()}
+    assert {k: got.get(k, k) for k in forms} == {k: sets.find(k) for k in forms}
+    assert 3 < len(set(got.values())) and len(forms) > len(got)
