@@ -7,9 +7,9 @@
    exp(-SPREAD^2 / 2). Pairs whose upper bound reaches the threshold are computed exactly in double precision; all
    others are passed over. A link is always an exact cosine.
 3. Cells: of labels with over ``CELL_ROWS`` classes the first bits of the code name a cell, so that a cell holds
-   about so many. A vector is compared with its own cell and those reached by turning its least certain
-   bits, ``PROBES`` cells at most (up to five bits: all cells, so no pair is passed over). Work thus grows with
-   the number of vectors, not with its square.
+   about so many. A vector is compared with its own cell and with every cell that can hold a partner: one on the other side
+   of some coordinates is at least as far as the root of the sum of their squares, and a cosine of the threshold allows a squared
+   distance of 2 - 2 * threshold. So no pair is passed over by its cell; how many cells are left depends on the vectors.
 4. A cell is dealt in blocks of ``BLOCK_ROWS`` resident vectors; visitors stream past a block, so a task's memory is
    bounded however large the cell. A pair that several cells could find is counted in one of them. Tasks emit counts
    and spanning forests, not pairs.
@@ -35,7 +35,6 @@ from inkspan.llm.simhash import forest
 THRESHOLD = 0.93
 SPREAD = 4.0
 CELL_ROWS, BLOCK_ROWS = 4096, 2048
-PROBES, FLIPS = 32, 8
 TILE = 512
 
 
@@ -61,36 +60,35 @@ def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return turned, turned >= 0, np.abs(turned).sum(axis=1) / np.sqrt(size)
 
 
-def _subsets() -> np.ndarray:
-    return (np.arange(1 << FLIPS)[:, None] >> np.arange(FLIPS)) & 1
-
-
-def cells(turned: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(home cell, probed cells with the home first) from the first ``bits`` rotated coordinates."""
+def cells(turned: np.ndarray, bits: int, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(home cell, owner, cell): by the first ``bits`` rotated coordinates, each cell that may hold a vector within the threshold of its owner."""
     bits = min(bits, turned.shape[1], 30)
-    if bits == 0:
-        home = np.zeros(len(turned), dtype=np.int64)
-        return home, home[:, None]
     value = turned[:, :bits]
-    home = ((value >= 0) * (1 << np.arange(bits))).sum(axis=1)
-    width = min(bits, FLIPS)
-    weak = np.argsort(np.abs(value), axis=1)[:, :width]
-    sets = _subsets()[: 1 << width, :width]
-    cost = (np.take_along_axis(value, weak, axis=1) ** 2) @ sets.T
-    best = np.argsort(cost, axis=1, kind="stable")[:, :PROBES]
-    flips = (1 << weak) @ sets.T
-    return home, home[:, None] ^ np.take_along_axis(flips, best, axis=1)
-
-
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    home = ((value >= 0) * (1 << np.arange(bits))).sum(axis=1).astype(np.int64)
+    owner, cell, cost = np.arange(len(turned)), home, np.zeros(len(turned))
+    most = 2 - 2 * threshold + 1e-9
+    for bit in range(bits):
+        more = cost + value[owner, bit] ** 2
+        near = more <= most
+        owner, cell, cost = np.concatenate((owner, owner[near])), np.concatenate((cell, cell[near] ^ (1 << bit))), np.concatenate((cost, more[near]))
+    order = np.argsort(owner, kind="stable")
+    return home, owner[order], cell[order]
+
+
+def _index(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Adds home and probed cells to (cid, n, group, bits, embedding)."""
     for batch in batches:
         bits = batch.column(3).to_numpy()
         sizes = np.diff(batch.column(4).offsets.to_numpy())
         for size, own in {(int(s), int(b)) for s, b in zip(sizes, bits, strict=True)}:
-            part = batch.filter(pa.array((sizes == size) & (bits == own)))
-            home, probes = cells(encode(matrix(part.column(4)))[0], own)
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in (0, 1, 2, 4)), pa.array(home), pa.array(list(probes.astype(np.int64)), pa.list_(pa.int64()))], names=["cid", "n", "group", "embedding", "home", "probes"])
+            chosen = batch.filter(pa.array((sizes == size) & (bits == own)))
+            step = max(1, min(TILE, (1 << 21) >> own))  # some two million cells at once
+            for at in range(0, chosen.num_rows, step):
+                part = chosen.slice(at, step)
+                home, owner, cell = cells(encode(matrix(part.column(4)))[0], own, threshold)
+                ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=part.num_rows))))
+                probes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cell, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in (0, 1, 2, 4)), pa.array(home), probes], names=["cid", "n", "group", "embedding", "home", "probes"])
 
 
 class _Block:
@@ -193,7 +191,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         rows.where("cid is not null").groupBy("cid").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("embedding").alias("embedding")).withColumn("group", F.xxhash64("label", F.size("embedding"))).drop("label")
     )
     groups = stage(classes.groupBy("group").agg(F.ceil(F.greatest(F.lit(0.0), F.log2(F.count("*") / CELL_ROWS))).cast("int").alias("bits")))
-    placed = stage(lookup_join(classes, groups, ["group"]).select("cid", "n", "group", "bits", "embedding").mapInArrow(_index, "cid long, n long, group long, embedding array<double>, home long, probes array<long>"))
+    placed = stage(lookup_join(classes, groups, ["group"]).select("cid", "n", "group", "bits", "embedding").mapInArrow(lambda b: _index(b, threshold), "cid long, n long, group long, embedding array<double>, home long, probes array<long>"))
     stats = stage(placed.groupBy("group", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")))
     sent = placed.select("*", F.explode("probes").alias("cell"))
     sent = lookup_join(sent, stats, ["group", "cell"]).withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))

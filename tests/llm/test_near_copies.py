@@ -150,6 +150,22 @@ def test_vectors_equal_all_pairs(spark, monkeypatch, cell, block):
         assert got[vec_id].kept == (rows[sets.find(k)][0] == vec_id)
 
 
+def test_vectors_of_many_cells(spark, monkeypatch):
+    """Nine bits of cells and pairs just within the threshold."""
+    monkeypatch.setattr(em, "CELL_ROWS", 1)
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(200):
+        v, w = rng.standard_normal((2, 64))
+        v /= np.linalg.norm(v)
+        w -= (w @ v) * v
+        near = 0.932 * v + (1 - 0.932**2) ** 0.5 * w / np.linalg.norm(w)
+        rows += [(2 * k, v.tolist(), 1), (2 * k + 1, near.tolist(), 1)]
+    links, sets = brute_vectors(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in em.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {k: (links[k], sets.find(k)) for k in range(len(rows))} and sum(links.values()) == 400
+
+
 def test_vectors_of_nothing(spark):
     assert em.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
