@@ -22,10 +22,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a local one if the session is local too."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     local = f"file://{tempfile.gettempdir()}/checkpoints"
     spark.conf.set("spark.checkpoint.dir", local)
     return local
@@ -52,22 +54,42 @@ def clear_staged(spark: SparkSession) -> None:
 
 
 def is_small(df: DataFrame) -> bool:
-    """Whether a staged table may be broadcast: few rows, of numbers and short strings only, by count and bytes."""
+    """Whether a staged table may be broadcast: few rows, of numbers, short strings and short arrays of numbers, by count and bytes.
+
+    The count comes from the file footers; bytes are summed only where it is low.
+    """
     kinds = [t for _, t in df.dtypes]
-    if any(t.startswith(("array", "map", "struct", "binary")) for t in kinds):
+    numbers = {f"array<{t}>" for t in ("int", "bigint", "double")}
+    if any(t.startswith(("array", "map", "struct", "binary")) and t not in numbers for t in kinds):
+        return False
+    if df.count() > (BROADCAST_KEYS if kinds == ["bigint"] else BROADCAST_ROWS):
         return False
-    most = BROADCAST_KEYS if kinds == ["bigint"] else BROADCAST_ROWS
-    few = df.limit(most + 1)
-    lengths = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t == "string"), F.lit(0))
-    n, size = few.agg(F.count("*"), F.coalesce(F.sum(lengths), F.lit(0))).first()
-    return n <= most and size <= BROADCAST_BYTES
+    wide = [F.octet_length(c) if t == "string" else 8 * F.size(c) for c, t in df.dtypes if t == "string" or t in numbers]
+    if not wide:
+        return True
+    return (df.agg(F.sum(sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(0)))).first()[0] or 0) <= BROADCAST_BYTES
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", hint: str = "merge") -> DataFrame:
     """Join with a staged ``small`` side: broadcast if it is small by its counts, else a shuffled join (AQE splits hot keys)."""
     if is_small(small):
         return big.join(F.broadcast(small), on, how)
-    return big.join(small.hint("merge"), on, how)
+    return big.join(small.hint(hint), on, how)
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns that can be hashed: equal for rows that repeat wholly."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t))
+
+
+def packed(docs: DataFrame, *extra: Column) -> DataFrame:
+    """(d, ...): the columns of ``docs`` in one struct, so that working columns beside it can't clash with theirs."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), *extra)
+
+
+def unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns that packed() put into ``d``; ``new`` takes the place of those of its names."""
+    return rows.select(*(new[c].alias(c) if c in new else F.col(f"d.`{c}`") for c in columns), *(v.alias(c) for c, v in new.items() if c not in columns))
 
 
 def ordered_positions(df: DataFrame, order: list[str | Column], out: str) -> DataFrame:

@@ -220,11 +220,24 @@ def test_lines_are_compared_by_all_their_characters(spark):
     assert {r.doc_id for r in ld.without_repeated_lines(docs).collect()} == set(range(8))
 
 
+def line_components(lines):
+    """Brute force: smallest index reachable over similar lines."""
+    sets = Sets()
+    parts = [character_runs(line) for line in lines]
+    for a in range(len(lines)):
+        for b in range(a):
+            shared = len(parts[a] & parts[b])
+            if shared >= 0.8 * (len(parts[a]) + len(parts[b]) - shared):
+                sets.join(a, b)
+    return [sets.find(k) for k in range(len(lines))]
+
+
 @pytest.mark.parametrize("block", [128, 3])
 def test_every_pair_of_a_band_counts(spark, monkeypatch, block):
-    """One row a band, so that keys hold many clusters; also chains of which only one end is near a leader."""
-    monkeypatch.setattr(ld, "ROWS", 1)
-    monkeypatch.setattr(ld, "BLOCK", block, raising=False)
+    """One minimum a band, so that keys hold many clusters; also chains of which only one end is near a leader."""
+    monkeypatch.setattr(ld, "BANDS", [[j] for j in range(8)])
+    monkeypatch.setattr(ld, "BLOCK", block)
+    monkeypatch.setattr(ld, "AGREEING", 1)
     rng = random.Random(6)
     shared = " ".join(rng.choice(WORDS) for _ in range(14))
     lines = []
@@ -236,15 +249,50 @@ def test_every_pair_of_a_band_counts(spark, monkeypatch, block):
     lines = sorted({*lines, "short", "short 2", "x" * 50})
     table = spark.createDataFrame([(line,) for line in lines], "form string").selectExpr("xxhash64(form) as id", "form").cache()
     forms = {r.id: r.form for r in table.collect()}
+    signs = ld.signatures(table, ["id"]).cache()
     keys = {}
-    for r in ld.band_members(ld.signatures(table)).collect():
-        keys.setdefault(r._key, set()).add(r.id)
+    for r in ld.band_members(signs).collect():
+        keys.setdefault(r.key, set()).add(r.id)
     sets = Sets()
     for ids in keys.values():
         for a in ids:
             for b in ids:
                 if a < b and jaccard(forms[a], forms[b]) >= 0.8:
                     sets.join(a, b)
-    got = {r.id: r.root for r in ld.line_classes(table).collect()}
+    got = {r.id: r.root for r in ld.line_classes(signs, table).collect()}
     assert {k: got.get(k, k) for k in forms} == {k: sets.find(k) for k in forms}
     assert 3 < len(set(got.values())) and len(forms) > len(got)
+
+
+def test_lines_of_one_template(spark):
+    """A family of numbered lines with the parameters of the query: as many are left as brute force leaves."""
+    rng = random.Random(7)
+    head = "shipment of goods from the warehouse in the north to the customer on the list of the year, number"
+    lines = sorted({f"{head} {rng.randrange(10 ** rng.randrange(2, 9))} weight {rng.randrange(10 ** rng.randrange(1, 6))}" + " urgent" * rng.randrange(3) for _ in range(500)})
+    lines += [" ".join(rng.choice(WORDS) for _ in range(400)) for _ in range(4)]
+    for k in range(4):  # long lines, of which a sample is compared first
+        words = lines[-1 - k - k].split()
+        for _ in range(4 + 5 * k):
+            words[rng.randrange(400)] = "edited"
+        lines.append(" ".join(words))
+    want = line_components(lines)
+    docs = spark.createDataFrame([(k, line, 1) for k, line in enumerate(lines)], LINES)
+    kept = {r.doc_id for r in ld.without_repeated_lines(docs).collect()}
+    missed = kept - set(want)
+    assert set(want) <= kept and len(missed) <= 0.02 * len(lines), (len(set(want)), len(kept))
+
+
+def test_repeated_rows_long_lines_and_clashing_names(spark):
+    rng = random.Random(9)
+    long = " ".join(rng.choice(WORDS) for _ in range(20000))
+    rows = [(1, "one line of text\n\nanother line\r", 5, "a"), (2, long, 5, "a"), (3, f"\tOne line of text \x0b\n{long}x", 5, "a")]
+    rows += [rows[0]] * 3 + [(None, "a line without id", 5, None)] * 2
+    schema = "doc_id long, text string, row int, `gone.d` string"
+    docs = spark.createDataFrame(rows, schema)
+    got = sorted(map(tuple, ld.without_repeated_lines(docs, keep_emptied=True).collect()), key=str)
+    want = [(1, rows[0][1], 5, "a", 0), (2, long, 5, "a", 0), (3, "", 5, "a", 2), (None, "a line without id", 5, None, 0), (None, "", 5, None, 1)] + [(1, "", 5, "a", 2)] * 3
+    assert got == sorted(want, key=str)
+    left = ld.without_repeated_lines(docs)
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect()), key=str) == sorted([(1, rows[0][1], 5, "a"), (2, long, 5, "a"), (None, "a line without id", 5, None)], key=str)
+    with pytest.raises(ValueError, match="_n_removed"):
+        ld.without_repeated_lines(docs.withColumnRenamed("row", "_n_removed"), keep_emptied=True)
