@@ -303,6 +303,7 @@ def diagnostics_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Text and policy ------------------------------------------------------------------------------------------------
 
+# Inputs and the results that the contract sets for them.
 _TOKENS = [
     ("bm25 管理 再ランキング", ["bm25", "管理", "w:管理", "c:管", "c:理", "再ラ", "ラン", "ンキ", "キン", "ング", "w:ランキング", "c:再"]),
     ("Foo_bar 123 a-b 日 あ カ", ["foo_bar", "123", "a", "b", "日", "c:日", "あ", "カ"]),
@@ -319,6 +320,7 @@ def tokenize_cjk_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("text", F.array_join("_t", " ").alias("tokens"), F.size("_t").alias("n"))
 
 
+# Inputs and the results that the contract sets for them.
 _WIDE = [("ＢＭ２５", "bm25"), ("ｶﾀｶﾅ", "カタ タカ カナ w:カタカナ"), ("①ﬁ", "1fi")]
 
 
@@ -339,6 +341,7 @@ def field_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bags.select(F.substring_index("id", "#", 1).alias("path"), F.substring_index("id", "#", -1).cast("int").alias("ordinal"), "field", F.size("tokens").alias("dl"))
 
 
+# Inputs and the results that the contract sets for them.
 _PATHS = [("./Private//a.md", "private/a.md"), ("x/../Private/a.md", "private/a.md"), ("../a.md", None), ("a\\.cache\\n.md", "a/.cache/n.md"), ("Archive/old/a.md", "archive/old/a.md"), ("/", ""), ("a/../../b", None)]
 
 
@@ -347,6 +350,7 @@ def path_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _literals(spark, [(p,) for p, _ in _PATHS], "path string").withColumn("normalized", policy.normalize_path(F.col("path")))
 
 
+# Inputs and the results that the contract sets for them.
 _EXCLUDED = [
     *((p, [], ["Private", "Archive/old/"], [], "Settings", True) for p in ("Private/a.md", "private", "Archive/old/a.md", "Settings/a.md", ".vault/a.md", "a/.cache/n.md", "./Private//a.md", "x/../Private/a.md", "../a.md")),
     *((p, [], ["Private", "Archive/old/"], [], "Settings", False) for p in ("Privateish/a.md", "Archive/older/a.md", "Settings2/a.md", "x/Private/a.md", "public/a.md", ".hidden.md")),
@@ -409,6 +413,7 @@ def rerank_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.merge(hits.select("key", "pos"), judged).select("key", "pos", "new_pos")
 
 
+# Inputs and the results that the contract sets for them.
 _CASES = [
     ("sound", {"answers": {"d0": {"type": "score", "score": 1.6, "probabilities": {"0": 0.05, "1": 0.3, "2": 0.65}}}, "usage": {"inputTokens": 312}}, 1.6, 312, None),
     ("bare", {"answers": {"d0": {"type": "score", "score": 1.25}}}, 1.25, None, None),

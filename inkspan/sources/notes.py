@@ -60,37 +60,63 @@ def write_corpus(notes: DataFrame, path: str) -> None:
     notes.write.mode("overwrite").parquet(path)
 
 
-#: Subjects of the made-up corpus: a name, a fact and another way to ask for it.
-_SUBJECTS = [("経費精算", "締め日は毎月25日", "お金の払い戻しはいつまで"), ("障害対応", "一次連絡は当番へ", "システムが止まったときの電話先"), ("有給休暇", "申請は三日前まで", "休みを取る手続き"), ("デプロイ", "毎週火曜に実施", "本番へ反映する曜日"), ("VPN", "申請は情シス宛", "社外から繋ぐ方法"), ("バックアップ", "毎晩二時に取得", "データの控えを取る時刻")]
-_FILLERS = {"diary": 0.30, "worklog": 0.20, "recipe": 0.15, "reading": 0.13, "project": 0.12, "long": 0.10}
+#: Subjects of the made-up corpus, of a town library with a garden: a name, a fact and a question in other words.
+_SUBJECTS = [
+    ("温室の水やり", "温室の水やりは朝七時と夕方五時の二回", "ガラスの部屋の草花はいつ潤す"),
+    ("貸出冊数", "貸出冊数は一人十二冊、絵本は別に六冊", "一度に何さつ持ち帰れる"),
+    ("蜂箱の点検", "蜂箱の点検は晴れた水曜だけ行う", "虫の巣を開けて見る条件"),
+    ("点字図書", "点字図書は二階の東棚に並ぶ", "指で読む本の場所"),
+    ("読み聞かせ会", "読み聞かせ会は第一土曜の十時から", "子どもに物語を語る集まりの時刻"),
+    ("堆肥づくり", "堆肥づくりは落ち葉と米ぬかを三対一で混ぜる", "土の肥やしの割合"),
+    ("返却ポスト", "返却ポストは閉館の間だけ開く", "夜に借りたものを戻すには"),
+    ("自習席", "自習席は一回三時間、延長は一度まで", "机を使える長さ"),
+    ("古地図", "古地図は白い手袋で開き、写しを渡す", "昔の町の図面を見る作法"),
+    ("種の交換棚", "種の交換棚は一袋入れて一袋取る", "まくものを分け合う約束"),
+    ("映写室", "映写室は二十四席で飲み物は持ち込めない", "フィルムを映す部屋の広さ"),
+    ("移動図書車", "移動図書車は隔週で北の集落を回る", "本を積んで走る乗り物の行き先"),
+    ("雨水タンク", "雨水タンクは四百リットル、冬は空にする", "空から落ちた水をためる器の大きさ"),
+    ("製本教室", "製本教室は糸と針と和紙を使う", "綴じ方を習うときの道具"),
+    ("バラの剪定", "バラの剪定は二月の終わりに済ませる", "とげのある花を切る季節"),
+    ("郷土新聞", "郷土新聞は明治三十年から揃う", "地元の記事はどこまで遡れる"),
+    ("利用カード", "利用カードは五年で書き換える", "会員のしるしの寿命"),
+    ("音訳奉仕", "音訳奉仕は十回の講習を終えた人が担う", "声に吹き込む手伝いの資格"),
+    ("池の金魚", "池の金魚は水温が十度を切ると餌を止める", "赤い魚に食べさせない時期"),
+    ("寄贈本", "寄贈本は刊行から八年以内のものを受ける", "読み終えたものをもらってくれる条件"),
+    ("展示ケース", "展示ケースの湿度は五十五に保つ", "飾り棚の中の空気"),
+    ("芝生ひろば", "芝生ひろばは花見の週だけ夜も開く", "緑の上に座れる遅い時間"),
+    ("朗読劇", "朗読劇の稽古は木曜の閉館後", "台本を声に出す練習の日"),
+    ("除籍市", "除籍市は秋分の日に中庭で開く", "棚から外した品を譲る催し"),
+]
+#: Kinds of notes that concern no subject, and how many sentences they have.
+_FILLERS = {"天気帳": 2, "鳥の観察": 4, "来館者の声": 3, "買いもの控え": 6, "長い聞き書き": 60}
+_PHRASES = ["風が南に変わった", "つぐみが三羽来た", "椅子のねじを締めた", "廊下の灯りが一つ切れた", "糊を二瓶買った", "祖母の代の話を聞いた", "橋のたもとで休んだ", "霜柱を踏んで歩いた"]
 
 
 def make_corpus(spark: SparkSession, notes: int = 400, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(notes, queries, relevance) of a made-up corpus: facts (grade 2), discussions (grade 1), distractors, fillers.
+    """(notes, queries, relevance) of a made-up corpus, a function of ``seed``.
 
-    A function of ``seed``; it is of the same kind as other such corpora, not the same notes.
+    Each subject has a note that states its fact (grade 2), one that mentions it (grade 1) and two queries; every fourth
+    of the other notes names a subject without a word of its fact, the others concern none.
     """
     rng = random.Random(seed)
     rows, queries, relevance = [], [], []
 
     def day() -> str:
-        return (date(2024, 1, 1) + timedelta(days=rng.randrange(700))).isoformat()
+        return (date(2021, 4, 1) + timedelta(days=rng.randrange(1500))).isoformat()
 
     for k, (name, fact, question) in enumerate(_SUBJECTS):
-        key = f"s{k}"
-        queries += [(f"{key}:literal", "literal", f"{name}の{fact[:3]}"), (f"{key}:synonym", "synonym", question)]
-        made = [(f"rules/{name}.md", name, f"# {name}\n\n{name}の{fact}。更新 {day()}\n", 2), (f"minutes/{day()}-{key}.md", "議事録", f"# 定例\n\n{name}について話した。結論は別紙。\n", 1)]
-        for path, title, text, grade in made:
-            rows.append((path, title, text))
-            relevance += [(f"{key}:{kind}", path, grade) for kind in ("literal", "synonym")]
-    for k in range(min(notes // 4, max(0, notes - len(rows)))):
-        name = rng.choice(_SUBJECTS)[0]
-        rows.append((f"memo/{k}.md", "メモ", f"{name}とは関係のない{day()}の覚え書き。\n"))
-    kinds, shares = list(_FILLERS), list(_FILLERS.values())
-    while len(rows) < notes:
-        kind = rng.choices(kinds, shares)[0]
-        size = 40 if kind == "long" else 3
-        rows.append((f"{kind}/{len(rows)}.md", kind, "".join(f"{day()} {kind}の記録その{rng.randrange(1000)}。\n" for _ in range(size))))
+        stated, mentioned = f"手引き/{name}.md", f"会合/{day()}-{k}.md"
+        rows.append((stated, name, f"# {name}\n\n{fact}。{day()}に改めた。\n"))
+        rows.append((mentioned, "会合", f"# 会合の控え\n\n{name}のことが話に出たが、決めずに終えた。\n"))
+        for kind, text in (("literal", f"{name}の決まり"), ("synonym", question)):
+            queries.append((f"q{k}:{kind}", kind, text))
+            relevance += [(f"q{k}:{kind}", stated, 2), (f"q{k}:{kind}", mentioned, 1)]
+    for k in range(notes - len(rows)):
+        if k % 4 == 3:
+            rows.append((f"余談/{k}.md", "余談", f"{rng.choice(_SUBJECTS)[0]}の帰りに{rng.choice(_PHRASES)}。{day()}\n"))
+            continue
+        kind = rng.choice(list(_FILLERS))
+        rows.append((f"{kind}/{k}.md", kind, "".join(f"{day()} {rng.choice(_PHRASES)}。\n" for _ in range(_FILLERS[kind]))))
     return (
         spark.createDataFrame([(*r, []) for r in rows], schema.NOTE).select("path", "title", "text", "tags"),
         spark.createDataFrame(queries, schema.QUERY),

@@ -50,8 +50,8 @@ def test_truth_builders(spark, tmp_path):
 def test_made_corpus_is_searchable(spark, tmp_path):
     notes, queries, relevance = src.make_corpus(spark, 60, 5)
     again, *_ = src.make_corpus(spark, 60, 5)
-    assert notes.count() == 60 and notes.exceptAll(again).count() == 0 and queries.count() == 12
-    assert search(build(notes), "経費精算の締め", 5).first().path == "rules/経費精算.md"
+    assert notes.count() == 60 and notes.exceptAll(again).count() == 0 and queries.count() == 48
+    assert search(build(notes), "蜂箱の点検", 5).first().path == "手引き/蜂箱の点検.md" and relevance.groupBy("key").count().where("count <> 2").count() == 0
     src.write_corpus(notes, str(tmp_path / "c"))
     src.write_report(relevance.groupBy("grade").count(), str(tmp_path / "r"))
     assert corpora.diff(notes, spark.read.parquet(str(tmp_path / "c"))).count() == 0
