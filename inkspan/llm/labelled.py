@@ -80,7 +80,8 @@ def examples(docs: DataFrame, labels: DataFrame, column: str, modulus: int, rest
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *blobs], names=["doc_id", "_label", "terms", "counts", "sketch"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), folded().alias("_folded")).where(f"octet_length(_folded) between 1 and {EXAMPLE_BYTES}")
-    rows = texts.join(ids, "doc_id").select("doc_id", "_label", "_folded").mapInArrow(features, "doc_id long, _label int, terms binary, counts binary, sketch binary").collect()
+    texts = texts.join(ids, "doc_id").groupBy("doc_id", "_label").agg(F.min("_folded").alias("_folded"))  # one row an id, however often it repeats
+    rows = texts.mapInArrow(features, "doc_id long, _label int, terms binary, counts binary, sketch binary").collect()
     out: list[Example] = []
     taken, seen = {0: 0, 1: 0}, set()
     for row in sorted(rows, key=lambda r: (-len(r["sketch"]), r["doc_id"], r["_label"])):

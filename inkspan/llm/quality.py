@@ -11,7 +11,8 @@ numbers; scoring shuffles nothing and reads whole texts.
 
 Defined cases: a text that is null, empty or without known terms gets the share of label 1; without labels of both
 kinds every score is that share (0.0 where there are no labels); null doc_ids and repeated rows are scored as
-any row; all columns of the input are kept.
+any row; examples that tie with the last of the nearest vote too; texts are read whole, whatever their length, in slices of
+bounded bytes; all columns of the input are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from inkspan.llm.common import read_table
 from inkspan.llm.labelled import REPEAT, Example, examples, held_out, isotonic, term_hashes
 from inkspan.llm.textscan import HashSet
-from inkspan.llm.toxicity import corpus_counts, with_score
+from inkspan.llm.toxicity import corpus_counts, scored
 
 PER_CLASS = 2048
 TERMS = 4096
@@ -94,9 +95,9 @@ class QualityModel:
             if leave_out:
                 own = np.arange(len(cosine))
                 cosine[own, at + own] = -2
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.exp(SHARPNESS * np.take_along_axis(cosine, near, axis=1).astype(np.float64))
-            out[at : at + block] = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
+            least = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k, None]  # all that tie with the k-th vote
+            weight = np.where(cosine >= least, np.exp(SHARPNESS * cosine.astype(np.float64)), 0)
+            out[at : at + block] = weight @ self.labels / weight.sum(axis=1)
         return out
 
     def score(self, column: pa.Array) -> np.ndarray:
@@ -123,4 +124,4 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, read_table(spark, sf_dir, "labels"))
-    return with_score(docs, model, "score").select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored(docs, model, keep=["doc_id"]).select("d.doc_id", "score").select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

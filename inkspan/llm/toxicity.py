@@ -2,21 +2,26 @@
 
 Fit, on the driver, from at most ``PER_CLASS`` examples of each label:
 
-* vocabulary: terms (lower-cased words, runs of symbols, not repetitions) that go with either label beyond chance
-  (log-odds of document counts, |z| >= 3), ``TERMS`` at most;
+* vocabulary: all terms of the examples (lower-cased words, runs of symbols, not repetitions). A term's weight is its
+  inverse document frequency times z^8 / (z^8 + 3^8), z being the log-odds of its document counts under the two labels over
+  their standard error: terms that go with a label count in full, those of no association hardly (under 0.01: not at all).
+  There is no limit on their number but that on the examples;
 * inverse document frequencies: counted over all documents of the corpus, in one scan that moves one row a
   term and task;
-* a block-max inverted index over the examples: postings in blocks of ``BLOCK`` examples with the largest weight of each
-  (term, block). A search visits blocks by falling bound and ends when no bound exceeds the k-th best cosine, which
-  makes it exact;
+* a block-max inverted index over the examples: postings lists by term, cut in blocks of ``BLOCK`` examples with the largest
+  weight of each (term, block). A search visits blocks by falling bound and ends when no bound exceeds the k-th
+  best cosine, which makes it exact;
 * votes: labels of the ``NEIGHBOURS`` best examples, weighted by 1 / (distance + 0.05), and made a probability by a
   monotone fit on leave-one-out votes, with the classes weighted back to their shares among labelled rows.
 
-Scoring is a scan of whole texts; nothing is shuffled. The bound on what executors get is that on the examples.
+Scoring is a scan of whole texts; nothing is shuffled. Evidence of a score are the examples that voted: doc_id, label,
+cosine. The bound on what executors get is that on the examples.
 
-Defined cases: texts that are null, empty or without any term of the vocabulary get the share of label 1 among
-examples without such terms; without labels of both kinds every score is the share of label 1 (0.0 where there are no
-labels); null doc_ids and repeated rows are scored as any row; all columns of the input are kept.
+Defined cases: texts that are null, empty or without any term of weight get the share of label 1 among
+examples without such terms, and no evidence; without labels of both kinds every score is the share of label 1 (0.0 where
+there are no labels); null doc_ids and repeated rows are scored as any row; examples of equal cosine vote in the order of the
+index; texts are read whole, whatever their length, in slices of bounded bytes; all columns of the input are kept, whatever
+their names; of a doc_id that repeats the least text teaches.
 """
 
 from __future__ import annotations
@@ -29,19 +34,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkspan.llm.common import read_table
+from inkspan.llm.common import read_table, unpacked
 from inkspan.llm.labelled import REPEAT, Example, examples, folded, held_out, isotonic, term_hashes
-from inkspan.llm.textscan import HashSet, slices
+from inkspan.llm.textscan import HashSet, slices, spread
 
 PER_CLASS = 2048
-TERMS = 512
+#: z at which a term has half its weight, the steepness, and the share under which it has none.
+HALF_Z, STEEPNESS, LEAST_SHARE = 3.0, 8, 0.01
 NEIGHBOURS = 15
 BLOCK = 64
 THRESHOLD = 0.7
 
 
-def associated_terms(sample: list[Example], limit: int = TERMS, least_z: float = 3.0) -> np.ndarray:
-    """Terms whose document counts differ between the labels beyond chance, the strongest first."""
+def associated_terms(sample: list[Example]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted terms, association in 0 to 1) of all terms of the examples that have any."""
     sizes = [sum(e.label == c for e in sample) for c in (0, 1)]
     found = [np.unique(np.concatenate([np.zeros(0, np.uint64), *(e.terms for e in sample if e.label == c)]), return_counts=True) for c in (0, 1)]
     terms = np.union1d(found[0][0], found[1][0])
@@ -50,9 +56,9 @@ def associated_terms(sample: list[Example], limit: int = TERMS, least_z: float =
         counts[c, np.searchsorted(terms, found[c][0])] = found[c][1]
     odds = [np.log((counts[c] + 0.5) / (sizes[c] - counts[c] + 0.5)) for c in (0, 1)]
     z = np.abs(odds[1] - odds[0]) / np.sqrt((1 / (counts + 0.5)).sum(axis=0))
-    share = (counts / np.maximum(np.array(sizes)[:, None], 1)).max(axis=0)
-    fit = np.flatnonzero((terms != REPEAT) & (z >= least_z) & (counts.max(axis=0) >= 3) & (share >= 0.02))
-    return terms[fit[np.argsort(-z[fit], kind="stable")][:limit]]
+    share = z**STEEPNESS / (z**STEEPNESS + HALF_Z**STEEPNESS)
+    some = (terms != REPEAT) & (share >= LEAST_SHARE)
+    return terms[some], share[some]
 
 
 def corpus_counts(docs: DataFrame, terms: HashSet) -> tuple[np.ndarray, int]:
@@ -67,7 +73,8 @@ def corpus_counts(docs: DataFrame, terms: HashSet) -> tuple[np.ndarray, int]:
                 at, term = terms.find(hashes)
                 total[: size] += np.bincount(np.unique(owner[at] * size + term) % size, minlength=size) if size else 0
                 total[size] += part.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(total)], names=["term", "n"])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
 
     rows = docs.select(folded().alias("_folded")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(size + 1, dtype=np.int64)
@@ -77,18 +84,27 @@ def corpus_counts(docs: DataFrame, terms: HashSet) -> tuple[np.ndarray, int]:
 
 
 class BlockMaxIndex:
-    """Exact top-k cosine over unit vectors (rows of ``vectors``), by term and block of rows."""
-
-    def __init__(self, vectors: np.ndarray, block: int = BLOCK):
-        self.blocks, self.block = -(-len(vectors) // block), block
-        padded = np.zeros((self.blocks * block, vectors.shape[1]))
-        padded[: len(vectors)] = vectors
-        self.postings = padded.reshape(self.blocks, block, vectors.shape[1]).transpose(2, 0, 1).copy()  # (term, block, place)
-        self.highest = self.postings.max(axis=2, initial=0)  # (term, block)
+    """Exact top-k cosine over sparse unit vectors: postings lists by term, with block maxima.
+
+    ``row``, ``term`` and ``weight`` are the entries of the vectors.
+    """
+
+    def __init__(self, rows: int, terms: int, row: np.ndarray, term: np.ndarray, weight: np.ndarray, block: int = BLOCK):
+        self.blocks, self.block = -(-rows // block), block
+        order = np.lexsort((row, term))
+        self.row, self.weight, term = row[order], weight[order], term[order]
+        cell = term * max(self.blocks, 1) + self.row // block
+        self.first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, np.int64)
+        self.size = np.diff(np.concatenate((self.first, [len(cell)])))
+        self.cell_block = self.row[self.first] // block
+        self.highest = np.maximum.reduceat(self.weight, self.first) if len(cell) else np.zeros(0)
+        self.cells = np.searchsorted(term[self.first], np.arange(terms + 1))
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(rows, cosines) of the k best with a positive cosine, best first; ties go to the lower row."""
-        bound = weights @ self.highest[terms]
+        owner, cell = spread(self.cells[terms], self.cells[terms + 1] - self.cells[terms])
+        cell_block = self.cell_block[cell]
+        bound = np.bincount(cell_block, weights[owner] * self.highest[cell], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         rows, cosines = np.zeros(0, np.int64), np.zeros(0)
@@ -97,9 +113,15 @@ class BlockMaxIndex:
             if len(rows) == k:  # blocks that cannot reach the k-th best are never opened
                 order = order[: at + int((bound[order[at:]] >= cosines[-1] - 1e-12).sum())]
                 step = max(len(order) - at, 1)
+            chosen = np.full(self.blocks, -1)
             some = order[at : at + step]
+            chosen[some] = np.arange(len(some))
             at += step
-            total = np.tensordot(weights, self.postings[np.ix_(terms, some)], axes=1).ravel()
+            open_ = np.flatnonzero(chosen[cell_block] >= 0)
+            which, posting = spread(self.first[cell[open_]], self.size[cell[open_]])
+            from_ = open_[which]
+            place = chosen[cell_block[from_]] * self.block + self.row[posting] % self.block
+            total = np.bincount(place, weights[owner[from_]] * self.weight[posting], minlength=len(some) * self.block)
             place = (some[:, None] * self.block + np.arange(self.block)).ravel()
             keep = (total > 0) & (place != skip)
             rows, cosines = np.concatenate((rows, place[keep])), np.concatenate((cosines, total[keep]))
@@ -112,86 +134,112 @@ class BlockMaxIndex:
 
 
 class ToxicityModel:
-    def __init__(self, sample: list[Example], totals: dict[int, int], terms: HashSet, counts: np.ndarray, documents: int):
+    def __init__(self, sample: list[Example], totals: dict[int, int], terms: HashSet, association: np.ndarray, counts: np.ndarray, documents: int):
         self.terms = terms
-        self.idf = np.log((documents + 1) / (counts + 1)) + 1
+        self.idf = (np.log((documents + 1) / (counts + 1)) + 1) * association
         labels = np.array([e.label for e in sample], dtype=np.int64)
-        found = np.zeros((len(sample), len(terms.keys)))
-        for row, e in enumerate(sample):
+        vectors = []
+        for e in sample:
             at, term = terms.find(e.terms)
-            found[row, term] = e.counts[at]
-        vectors = self._unit(found)
+            vectors.append((term, self._unit(term, e.counts[at])))
         # examples that share their strongest term lie in the same blocks, which keeps the bounds low
-        order = np.lexsort((labels, vectors.argmax(axis=1) if vectors.size else labels))
-        self.labels, vectors = labels[order], vectors[order]
-        self.index = BlockMaxIndex(vectors)
+        strongest = np.array([term[weight.argmax()] if len(term) else -1 for term, weight in vectors], dtype=np.int64)
+        order = np.lexsort((labels, strongest))
+        self.labels, vectors = labels[order], [vectors[k] for k in order]
+        self.doc_ids = np.array([e.doc_id for e in sample], dtype=np.int64)[order]
+        row = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        term, weight = (np.concatenate([np.zeros(0, kind), *(v[k] for v in vectors)]) for k, kind in ((0, np.int64), (1, float)))
+        self.index = BlockMaxIndex(len(vectors), len(terms.keys), row, term, weight)
         sizes = np.bincount(labels, minlength=2)
         self.share = totals.get(1, 0) / max(sum(totals.values()), 1)
         both = sizes.min() > 0
         weight = np.array([totals.get(c, 0) / max(sizes[c], 1) for c in (0, 1)])[self.labels] if both else np.ones(len(labels))
-        raw = np.array([self._vote(v, skip) for skip, v in enumerate(vectors)])
+        raw = np.array([self._vote(*self._near(*v, skip)) for skip, v in enumerate(vectors)])
         self.at, self.chance = isotonic(raw, self.labels, weight) if both else (np.zeros(1), np.full(1, self.share))
 
-    def _unit(self, counts: np.ndarray) -> np.ndarray:
-        weights = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * self.idf
-        return weights / np.maximum(np.linalg.norm(weights, axis=1, keepdims=True), 1e-12)
+    def _unit(self, term: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        weights = (1 + np.log(counts)) * self.idf[term]
+        return weights / max(np.linalg.norm(weights), 1e-12)
+
+    def _near(self, term: np.ndarray, weight: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        return self.index.search(term, weight, NEIGHBOURS, skip) if len(term) else (np.zeros(0, np.int64), np.zeros(0))
 
-    def _vote(self, vector: np.ndarray, skip: int = -1) -> float:
+    def _vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
         """-1 without neighbours, else the weighted share of label 1."""
-        terms = np.flatnonzero(vector)
-        near, cosine = self.index.search(terms, vector[terms], NEIGHBOURS, skip) if len(terms) else ((), ())
         if not len(near):
             return -1.0
         weight = 1 / (np.maximum(1 - cosine, 0) + 0.05)
         return float((weight * self.labels[near]).sum() / weight.sum())
 
-    def evidence(self, counts: np.ndarray) -> list[int]:
-        """Places of the examples that vote on one text, by its term counts."""
-        vector = self._unit(counts[None, :])[0]
-        terms = np.flatnonzero(vector)
-        return self.index.search(terms, vector[terms], NEIGHBOURS)[0].tolist() if len(terms) else []
-
-    def score(self, column: pa.Array) -> np.ndarray:
-        n, size = len(column), len(self.terms.keys)
+    def explain(self, column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Score and evidence (a list of doc_id, label, cosine) of each text."""
+        n, size = len(column), max(len(self.terms.keys), 1)
         owner, hashes = term_hashes(column)
         at, term = self.terms.find(hashes)
-        counts = np.bincount(owner[at] * size + term, minlength=n * size).reshape(n, size) if size else np.zeros((n, 0))
-        raw = np.full(n, -1.0)
-        some = np.flatnonzero(counts.any(axis=1))
-        kinds, kind = np.unique(counts[some], axis=0, return_inverse=True)
-        raw[some] = np.array([self._vote(vector) for vector in self._unit(kinds)])[kind.ravel()] if len(some) else raw[some]
-        return np.clip(0.99 * np.interp(raw, self.at, self.chance) + 0.01 * np.maximum(raw, 0), 0, 1)
+        key, counts = np.unique(owner[at] * size + term, return_counts=True)
+        text, term = key // size, key % size
+        ends = np.searchsorted(text, np.arange(n + 1))
+        raw, seen, evidence = np.full(n, -1.0), {}, [(np.zeros(0, np.int64), np.zeros(0))] * n
+        for k in np.unique(text).tolist():
+            own, times = term[ends[k] : ends[k + 1]], counts[ends[k] : ends[k + 1]]
+            copy = seen.setdefault((own.tobytes(), times.tobytes()), k)
+            evidence[k] = self._near(own, self._unit(own, times)) if copy == k else evidence[copy]
+            raw[k] = self._vote(*evidence[k])
+        score = np.clip(0.99 * np.interp(raw, self.at, self.chance) + 0.01 * np.maximum(raw, 0), 0, 1)
+        near, cosine = (np.concatenate([e[j] for e in evidence]) if n else np.zeros(0) for j in (0, 1))
+        near = near.astype(np.int64)
+        structs = pa.StructArray.from_arrays([pa.array(self.doc_ids[near]), pa.array(self.labels[near].astype(np.int32)), pa.array(cosine)], names=["doc_id", "label", "cosine"])
+        return score, pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(e[0]) for e in evidence)]), pa.int32()), structs)
+
+    def score(self, column: pa.Array) -> np.ndarray:
+        return self.explain(column)[0]
+
+
+EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     sample, totals = examples(docs, labels, "toxic", 3, 1, PER_CLASS)
-    terms = HashSet(associated_terms(sample))
-    return ToxicityModel(sample, totals, terms, *corpus_counts(docs, terms))
+    known, association = associated_terms(sample)
+    terms = HashSet(known)  # in the same order, as both are sorted
+    return ToxicityModel(sample, totals, terms, association, *corpus_counts(docs, terms))
 
 
-def with_score(docs: DataFrame, model: object, out: str) -> DataFrame:
-    """``docs`` with model.score of every whole text as column ``out``; no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    given = docs.withColumn("_folded_text", folded())
-    k = len(given.columns) - 1
-    names = [*docs.columns, out]
+def scored(docs: DataFrame, model: object, evidence: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """(d, score[, evidence]): the columns ``keep`` (all) of ``docs`` in a struct and model.score of every whole text; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the examples
+    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in (docs.columns if keep is None else keep))).alias("d"), folded().alias("text"))
+    names = ["d", "score", "evidence"][: 2 + evidence]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, k, 2 << 20):
+            for part in slices(batch, 1, 2 << 20):
                 for at in range(0, part.num_rows, 512):
                     some = part.slice(at, 512)
-                    yield pa.RecordBatch.from_arrays([*some.columns[:k], pa.array(shared.value.score(some.column(k)), pa.float64())], names=names)
+                    if evidence:
+                        score, voters = shared.value.explain(some.column(1))
+                        yield pa.RecordBatch.from_arrays([some.column(0), pa.array(score, pa.float64()), voters], names=names)
+                    else:
+                        yield pa.RecordBatch.from_arrays([some.column(0), pa.array(shared.value.score(some.column(1)), pa.float64())], names=names)
 
-    return given.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    fields = [given.schema["d"], T.StructField("score", T.DoubleType()), T.StructField("evidence", EVIDENCE)]
+    return given.mapInArrow(run, T.StructType(fields[: 2 + evidence]))
+
+
+def with_score(docs: DataFrame, model: object, out: str) -> DataFrame:
+    """``docs`` with model.score of every whole text as a further column ``out``."""
+    if out in docs.columns:
+        raise ValueError(f"docs have a column {out} already")
+    return unpacked(scored(docs, model), docs.columns, **{out: F.col("score")})
 
 
 def keep_harmless(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score below the threshold, with their columns."""
-    return with_score(docs, fit(docs, labels), "_toxicity").where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    return unpacked(scored(docs, fit(docs, labels)).where(F.col("score") < THRESHOLD), docs.columns)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, read_table(spark, sf_dir, "labels"))
-    return with_score(docs, model, "score").select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    found = scored(docs, model, evidence=True, keep=["doc_id"]).select("d.doc_id", "score", "evidence")
+    return found.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")

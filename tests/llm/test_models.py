@@ -90,7 +90,8 @@ def test_block_max_search_is_exact():
     rng = np.random.default_rng(2)
     vectors = rng.random((500, 20)) * (rng.random((500, 20)) < 0.2)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    index = tox.BlockMaxIndex(vectors, 16)
+    row, term = np.nonzero(vectors)
+    index = tox.BlockMaxIndex(500, 20, row, term, vectors[row, term], 16)
     for k in range(50):
         terms = np.flatnonzero(vectors[k])
         if not len(terms):
@@ -102,6 +103,85 @@ def test_block_max_search_is_exact():
         assert np.allclose(exact[got], exact[want]) and np.allclose(cosine, exact[got])
 
 
+def test_toxicity_equals_brute_force(spark):
+    """Scores and evidence over dense vectors of all example terms, without index, blocks or batches."""
+    import numpy as np
+
+    from inkspan.llm.labelled import isotonic
+
+    rng = random.Random(12)
+    words, bad = [f"w{k}" for k in range(60)], ["vile", "foul", "nasty"]
+    rows = []
+    for k in range(240):
+        text = [rng.choice(words) for _ in range(rng.randrange(5, 40))] + [rng.choice(bad) for _ in range(k % 3 == 0 and rng.randrange(3))]
+        rng.shuffle(text)
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame([*rows, (None, "vile foul"), (500, None), (501, "unheard of")], "doc_id long, text string")
+    labels = {k: int(k % 3 == 0) for k in range(200)}
+    table = spark.createDataFrame([(k, y) for k, y in labels.items()], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in tox.scored(docs, tox.fit(docs, table), evidence=True).select("d.doc_id", "score", "evidence").collect()}
+    train = [k for k in labels if zlib.crc32(str(k).encode()) % 3 != 1]
+    texts = {k: t.split() for k, t in rows} | {None: ["vile", "foul"], 501: ["unheard", "of"], 500: []}
+    vocabulary = sorted({w for k in train for w in texts[k]})
+    n = [sum(labels[k] == c for k in train) for c in (0, 1)]
+    weight = {}
+    for w in vocabulary:
+        c = [sum(labels[k] == y and w in texts[k] for k in train) + 0.5 for y in (0, 1)]
+        z = abs(np.log(c[1] / (n[1] - c[1] + 1)) - np.log(c[0] / (n[0] - c[0] + 1))) / np.sqrt(1 / c[0] + 1 / c[1])
+        share = z**8 / (z**8 + 3**8)
+        if share >= 0.01:
+            weight[w] = share * (np.log((len(texts) + 1) / (sum(w in t for t in texts.values()) + 1)) + 1)
+
+    def vector(k):
+        v = np.array([weight[w] * (1 + np.log(texts[k].count(w))) if w in texts[k] else 0 for w in weight])
+        return v / max(np.linalg.norm(v), 1e-12)
+
+    examples = {k: vector(k) for k in train}
+
+    def vote(v, skip=None):
+        near = sorted(((float(v @ e), k) for k, e in examples.items() if k != skip and v @ e > 1e-12), reverse=True)[: tox.NEIGHBOURS]
+        q = [1 / (max(1 - c, 0) + 0.05) for c, _ in near]
+        return sum(x * labels[k] for x, (_, k) in zip(q, near, strict=True)) / sum(q) if near else -1.0, near
+
+    totals = [sum(labels[k] == c for k in train) for c in (0, 1)]
+    at, chance = isotonic(np.array([vote(examples[k], k)[0] for k in train]), np.array([labels[k] for k in train]), np.array([totals[labels[k]] / n[labels[k]] for k in train]))
+    same = 0
+    for k in texts:
+        raw, near = vote(vector(k))
+        score = float(np.clip(0.99 * np.interp(raw, at, chance) + 0.01 * max(raw, 0), 0, 1))
+        assert np.allclose(sorted(e.cosine for e in got[k].evidence), sorted(c for c, _ in near)) and all(e.label == labels[e.doc_id] for e in got[k].evidence)
+        same += abs(score - got[k].score) < 1e-9  # examples that tie for the last place may differ
+    assert same >= 0.9 * len(texts) and got[500].evidence == [] and got[None].score > 0.5
+
+
+def test_scores_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "some text", 5, "x"), (2, None, 6, "y")], "doc_id long, text string, score int, `d.text` string")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert sorted(map(tuple, tox.keep_harmless(docs, none).collect())) == sorted(map(tuple, docs.collect()))
+    with pytest.raises(ValueError, match="score"):
+        tox.with_score(docs, tox.fit(docs, none), "score")
+
+
+def test_quality_neighbours_equal_brute_force():
+    """Votes by blocked products against one cosine after the other, with ties at the last place."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    model = ql.QualityModel.__new__(ql.QualityModel)
+    vectors = rng.standard_normal((90, 6)).astype(np.float32)
+    vectors[60:] = vectors[:30]  # every third vector occurs twice
+    model.vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    model.labels = rng.integers(0, 2, 90).astype(float)
+    asked = rng.standard_normal((700, 6)).astype(np.float32)
+    asked /= np.linalg.norm(asked, axis=1, keepdims=True)
+    got = model._votes(asked)
+    for q, vote in zip(asked, got, strict=True):
+        cosine = (model.vectors @ q).astype(float)
+        near = cosine >= sorted(cosine)[-ql.NEIGHBOURS] - 1e-6
+        weight = np.exp(ql.SHARPNESS * cosine[near])
+        assert abs(vote - (weight * model.labels[near]).sum() / weight.sum()) < 1e-3
+
+
 ODD = [(1, None), (2, ""), (None, "some words"), (3, "word " * 20000), (3, "word " * 20000), (4, "\x00 12 !!")]
 
 
