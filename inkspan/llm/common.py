@@ -132,6 +132,39 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def crossing_pairs(members: DataFrame, signs: DataFrame, links: DataFrame, agreeing: int, block: int) -> DataFrame:
+    """Distinct (a, b) of all pairs of ``members`` (key, id) that share a key and that ``links`` do not connect, less those of few equal minima.
+
+    ``signs`` holds id and columns of minima, of which ``agreeing`` at least must be equal. The largest component of a key lies
+    in blocks of about ``block`` members that meet the blocks of the other members, which also meet one another.
+    """
+    roots = stage(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "id"))
+    named = stage(lookup_join(members, roots, ["id"], "left").select("key", "id", F.coalesce("root", "id").alias("root")))
+    parts = named.groupBy("key", "root").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = [F.ceil(n / block).cast("int").alias(name) for n, name in ((F.col("most.n"), "inner"), (F.col("all") - F.col("most.n"), "outer"))]
+    open_ = stage(lookup_join(named, stage(sizes.select("key", F.col("most.root").alias("main"), *blocks)), ["key"]))
+    marks = stage(lookup_join(signs, stage(open_.select("id").distinct()), ["id"], "left_semi").dropDuplicates(["id"]))
+    main = F.col("root") == F.col("main")
+    own = F.pmod(F.xxhash64("id"), F.when(main, F.col("inner")).otherwise(F.col("outer"))).cast("int")
+
+    def cell(kind: int, low: Column, high: Column, side: Column) -> Column:
+        return F.struct(F.xxhash64("key", F.lit(kind), low, high).alias("cell"), side.alias("side"))
+
+    # sides 0 and 1 of a cell are compared with one another, side 2 with itself
+    inner, outer = F.sequence(F.lit(0), F.col("inner") - 1), F.sequence(F.lit(0), F.col("outer") - 1)
+    o = F.col("own")
+    lead = F.transform(outer, lambda k: cell(0, o, k, F.lit(0)))
+    rest = F.concat(F.transform(inner, lambda k: cell(0, k, o, F.lit(1))), F.transform(outer, lambda k: cell(1, F.least(o, k), F.greatest(o, k), F.when(o < k, 0).when(o > k, 1).otherwise(2))))
+    dealt = open_.withColumn("own", own).select("id", "root", F.explode(F.when(main, lead).otherwise(rest)).alias("c")).select("id", "root", "c.*")
+    dealt = stage(lookup_join(dealt, marks, ["id"]))
+    left, right = dealt.where("side <> 1"), dealt.where("side <> 0")
+    right = right.select("cell", *(F.col(c).alias(f"r{c}") for c in right.columns if c != "cell"))
+    equal = sum(((F.col(m) == F.col(f"r{m}")).cast("int") for m in signs.columns if m != "id"), F.lit(0))
+    met = left.join(right.hint("merge"), "cell").where("root <> rroot and (side < rside or (side = rside and id < rid))").where(equal >= agreeing)
+    return met.select(F.least("id", "rid").alias("a"), F.greatest("id", "rid").alias("b")).distinct()
+
+
 def _fingerprint(links: DataFrame) -> tuple:
     row = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
     return row["n"], row["h"]

@@ -111,6 +111,50 @@ def test_one_of_each_near_copy(spark):
     assert nd.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def kept_by_brute_force(texts):
+    parts = []
+    for text in texts:
+        words = text.lower().split()
+        parts.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    sets = Sets()
+    for a in range(len(parts)):
+        for b in range(a):
+            if 5 * min(len(parts[a]), len(parts[b])) >= 4 * max(len(parts[a]), len(parts[b])):
+                shared = len(parts[a] & parts[b])
+                if shared >= 0.8 * (len(parts[a]) + len(parts[b]) - shared):
+                    sets.join(a, b)
+    return {k for k in range(len(texts)) if sets.find(k) == k}
+
+
+def test_near_copies_of_any_length_around_a_hot_passage(spark):
+    """Short texts, texts that repeat one passage, and copies among hundreds of texts that share a passage."""
+    rng = random.Random(21)
+    texts = []
+
+    def add(words, edits):
+        texts.append(" ".join(words))
+        for _ in range(edits):
+            edited = list(words)
+            at = rng.randrange(1, len(edited) - 1)
+            edited[at if len(edited) > 60 else rng.choice((0, -1))] = "edited"
+            texts.append(" ".join(edited))
+
+    for n in [*range(20, 90, 2)] * 2:
+        add([rng.choice(WORDS) for _ in range(n)], rng.randrange(3))
+    for _ in range(10):
+        add([rng.choice(WORDS) for _ in range(15)] * 9 + [rng.choice(WORDS) for _ in range(9)], 1)
+    hot = [rng.choice(WORDS) for _ in range(50)]
+    for k in range(240):
+        own = [rng.choice(WORDS) for _ in range(40)]
+        add(hot + own if k % 2 else own + hot, int(k % 12 == 0))
+    want = kept_by_brute_force(texts)
+    docs = spark.createDataFrame([(k, t, 1, "x") for k, t in enumerate(texts)], "doc_id long, text string, row int, `d.e` string")
+    left = nd.one_of_each(docs)
+    got = {r.doc_id for r in left.collect()}
+    assert left.columns == docs.columns and len(want) < len(texts) - 40
+    assert want <= got and len(got - want) <= 1, (len(texts), len(want), sorted(got - want))
+
+
 def brute_vectors(rows):
     sets, links = Sets(), {}
     for k, (vec_id, v, label) in enumerate(rows):
