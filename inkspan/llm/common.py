@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ from pyspark.sql import Window as W
 BROADCAST_ROWS = 200_000
 #: The same for a side that is one column of longs (some 20 MB as a hash table).
 BROADCAST_KEYS = 500_000
-#: Bytes of strings that a broadcast side may hold in all.
-BROADCAST_BYTES = 8 << 20
+#: Bytes of strings and arrays that a broadcast side may hold in all.
+BROADCAST_BYTES = 24 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,19 +133,61 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def crossing_pairs(members: DataFrame, signs: DataFrame, links: DataFrame, agreeing: int, block: int) -> DataFrame:
-    """Distinct (a, b) of all pairs of ``members`` (key, id) that share a key and that ``links`` do not connect, less those of few equal minima.
+def open_keys(members: DataFrame, links: DataFrame, block: int) -> DataFrame:
+    """(key, id, weight, root, main, inner, outer) of the ``members`` (key, id, weight) of keys that ``links`` (a, b) leave with several components.
 
-    ``signs`` holds id and columns of minima, of which ``agreeing`` at least must be equal. The largest component of a key lies
-    in blocks of about ``block`` members that meet the blocks of the other members, which also meet one another.
+    ``main`` is the root of a key's largest component; ``inner`` and ``outer`` are the blocks of its members and of the others.
     """
     roots = stage(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "id"))
-    named = stage(lookup_join(members, roots, ["id"], "left").select("key", "id", F.coalesce("root", "id").alias("root")))
+    named = stage(lookup_join(members, roots, ["id"], "left").select("key", "id", "weight", F.coalesce("root", "id").alias("root")))
     parts = named.groupBy("key", "root").agg(F.count("*").alias("n"))
     sizes = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
     blocks = [F.ceil(n / block).cast("int").alias(name) for n, name in ((F.col("most.n"), "inner"), (F.col("all") - F.col("most.n"), "outer"))]
-    open_ = stage(lookup_join(named, stage(sizes.select("key", F.col("most.root").alias("main"), *blocks)), ["key"]))
-    marks = stage(lookup_join(signs, stage(open_.select("id").distinct()), ["id"], "left_semi").dropDuplicates(["id"]))
+    return stage(lookup_join(named, stage(sizes.select("key", F.col("most.root").alias("main"), *blocks)), ["key"]))
+
+
+def leader_pairs(open_: DataFrame, turn: int) -> DataFrame:
+    """Distinct (a, b) of the members outside a key's main component with one member of it and with their own of most weight."""
+    outside = open_.where("root <> main").select("key", "id", "weight")
+    out = None
+    for side, place in ((open_.where("root = main"), F.xxhash64("id", F.lit(turn))), (outside, F.col("weight"))):
+        lead = stage(side.groupBy("key").agg(F.max(F.struct(place.alias("p"), "id")).getField("id").alias("lead")))
+        pairs = lookup_join(outside, lead, ["key"]).where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out.distinct()
+
+
+#: Three lanes of a long: 20 bits of a value and one that an addition sets where the value is not zero.
+_LANE, _LANES = 21, 3
+_FULL = sum(((1 << (_LANE - 1)) - 1) << (_LANE * k) for k in range(_LANES))
+_SET = sum(1 << (_LANE * k + _LANE - 1) for k in range(_LANES))
+
+
+def _lanes(columns: list[str]) -> Column:
+    """20 bits of each of up to three columns as one long."""
+    out = F.lit(0).cast("long")
+    for k, c in enumerate(columns):
+        out = out.bitwiseOR(F.shiftleft(F.col(c).cast("long").bitwiseAND(F.lit((1 << (_LANE - 1)) - 1)), _LANE * k))
+    return out
+
+
+def ends_of(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """The rows of ``table`` (id, ...) that staged ``pairs`` (a, b) name; often small enough to broadcast."""
+    ids = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    return stage(lookup_join(table, ids, ["id"], "left_semi", "shuffle_hash"))
+
+
+def crossing_pairs(open_: DataFrame, signs_of: Callable[[DataFrame], DataFrame], agreeing: int) -> DataFrame:
+    """Distinct (a, b) of all pairs of different components within each of the open keys, less those of few equal minima.
+
+    ``signs_of`` gives id and columns of minima for a table of ids; ``agreeing`` of them at least must be equal. Blocks of the main
+    component meet the blocks of the other members, which also meet one another.
+    """
+    signs = signs_of(stage(open_.select("id").distinct()))
+    minima = [m for m in signs.columns if m != "id"]
+    # three minima a long, 20 bits of each, as a member lies in many cells
+    lanes = [_lanes(minima[at : at + _LANES]).alias(f"w{at // _LANES}") for at in range(0, len(minima), _LANES)]
+    marks = stage(signs.select("id", *lanes))
     main = F.col("root") == F.col("main")
     own = F.pmod(F.xxhash64("id"), F.when(main, F.col("inner")).otherwise(F.col("outer"))).cast("int")
 
@@ -160,11 +203,38 @@ def crossing_pairs(members: DataFrame, signs: DataFrame, links: DataFrame, agree
     dealt = stage(lookup_join(dealt, marks, ["id"]))
     left, right = dealt.where("side <> 1"), dealt.where("side <> 0")
     right = right.select("cell", *(F.col(c).alias(f"r{c}") for c in right.columns if c != "cell"))
-    equal = sum(((F.col(m) == F.col(f"r{m}")).cast("int") for m in signs.columns if m != "id"), F.lit(0))
-    met = left.join(right.hint("merge"), "cell").where("root <> rroot and (side < rside or (side = rside and id < rid))").where(equal >= agreeing)
+    unequal = sum((F.bit_count((F.col(f"w{k}").bitwiseXOR(F.col(f"rw{k}")) + F.lit(_FULL)).bitwiseAND(F.lit(_SET))) for k in range(len(lanes))), F.lit(0))
+    met = left.join(right.hint("merge"), "cell").where("root <> rroot and (side < rside or (side = rside and id < rid))").where(unequal <= len(minima) - agreeing)
     return met.select(F.least("id", "rid").alias("a"), F.greatest("id", "rid").alias("b")).distinct()
 
 
+def band_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], signs_of: Callable[[DataFrame], DataFrame], agreeing: int, block: int, rounds: int) -> DataFrame:
+    """(a, b): links that connect all pairs of ``members`` (key, id) that share a key and that ``verify`` keeps.
+
+    The weight of a member is the sum of its keys' sizes; an original has more of it than its copies, which are all like the
+    original but not like one another. All members of a key are compared with that of most weight. Where that leaves
+    several components, ``rounds`` times the members outside the largest are compared with further leaders; at last all
+    pairs of different components that are left are compared, but for those of few equal minima.
+    """
+    sizes = stage(members.groupBy("key").agg(F.count("*").alias("n")))
+    weights = stage(lookup_join(members, sizes, ["key"]).groupBy("id").agg(F.sum("n").alias("weight")))
+    members = stage(lookup_join(members, weights, ["id"]))
+    lead = stage(members.groupBy("key").agg(F.max(F.struct("weight", "id")).getField("id").alias("lead")))
+    first = lookup_join(members, lead, ["key"]).where("id <> lead")
+    tried = stage(first.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct())
+    links = stage(verify(tried))
+    open_ = open_keys(members, links, block)
+    for turn in range(rounds):
+        if open_.isEmpty():
+            return links
+        pairs = stage(leader_pairs(open_, turn).join(tried, ["a", "b"], "left_anti"))
+        tried = stage(tried.unionByName(pairs))
+        links = stage(links.unionByName(verify(pairs)))
+        open_ = open_keys(open_.select("key", "id", "weight"), links, block)
+    crossing = stage(crossing_pairs(open_, signs_of, agreeing).join(tried, ["a", "b"], "left_anti"))
+    return links.unionByName(verify(crossing))
+
+
 def _fingerprint(links: DataFrame) -> tuple:
     row = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
     return row["n"], row["h"]
