@@ -26,6 +26,8 @@ class Index:
     stats: DataFrame
     tokenizer: tx.Tokenizer = tx.tokens
     stable: bool = False
+    #: Whether the other tables follow from ``chunks`` alone, so that they may be made from saved chunks.
+    derived: bool = False
 
     def persist(self) -> Index:
         for table in (self.chunks, self.postings, self.term_df, self.stats):
@@ -37,15 +39,25 @@ class Index:
             table.unpersist()
 
     def save(self, path: str) -> None:
-        """Parquet tables; postings are ranged by term, so a search reads the row groups of its terms only."""
-        self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-        self.postings.repartitionByRange("term", "field").sortWithinPartitions("term", "field").write.mode("overwrite").parquet(f"{path}/postings")
-        self.term_df.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_df")
-        self.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+        """Parquet tables; postings are ranged by term, so a search reads the row groups of its terms only.
+
+        Each table is made from the one saved before it: notes are read and cut once, chunks tokenized once.
+        """
+        spark = self.chunks.sparkSession
+
+        def put(table: DataFrame, name: str) -> DataFrame:
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+            return spark.read.schema(table.schema).parquet(f"{path}/{name}")
+
+        chunks = put(self.chunks, "chunks")
+        postings = postings_of(chunks, self.tokenizer, self.stable) if self.derived else self.postings
+        postings = put(postings.repartitionByRange("term", "field").sortWithinPartitions("term", "field"), "postings")
+        put(frequencies(postings).repartitionByRange("term").sortWithinPartitions("term"), "term_df")
+        put(statistics(chunks, postings).coalesce(1), "stats")
 
     @staticmethod
-    def load(spark: SparkSession, path: str, tokenizer: tx.Tokenizer = tx.tokens) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("chunks", "postings", "term_df", "stats")), tokenizer)
+    def load(spark: SparkSession, path: str, tokenizer: tx.Tokenizer = tx.tokens, stable: bool = False) -> Index:
+        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("chunks", "postings", "term_df", "stats")), tokenizer, stable)
 
     def size(self) -> DataFrame:
         """One row: n_notes with a chunk, n_chunks."""
@@ -58,15 +70,27 @@ def field_tokens(chunks: DataFrame, tokenizer: tx.Tokenizer = tx.tokens, stable:
     return chunks.select("id", F.explode(F.array(*bags)).alias("_b")).select("id", "_b.field", "_b.tokens")
 
 
+def postings_of(chunks: DataFrame, tokenizer: tx.Tokenizer = tx.tokens, stable: bool = False) -> DataFrame:
+    """(field, term, id, tf, dl) of chunks; one shuffle, tf is summed in the map tasks first."""
+    terms = field_tokens(chunks, tokenizer, stable).select("id", "field", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    return terms.groupBy("field", "term", "id").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
+
+
+def frequencies(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+
+
+def statistics(chunks: DataFrame, postings: DataFrame) -> DataFrame:
+    """(field, n, total): every chunk has every field; the tokens of a field are the sum of its postings' tf."""
+    totals = postings.groupBy("field").agg(F.sum("tf").alias("total"))
+    fields = chunks.sparkSession.createDataFrame([(n,) for n in FIELDS.values()], "field int").join(F.broadcast(totals), "field", "left")  # three rows
+    return fields.join(F.broadcast(chunks.agg(F.count("*").alias("n")))).select("field", "n", F.coalesce("total", F.lit(0).cast("long")).alias("total"))
+
+
 def from_chunks(chunks: DataFrame, tokenizer: tx.Tokenizer = tx.tokens, stable: bool = False) -> Index:
     """Tables of an index over chunks that have ids."""
-    bags = field_tokens(chunks, tokenizer, stable)
-    terms = bags.select("id", "field", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    # one shuffle; tf is summed in the map tasks first
-    postings = terms.groupBy("field", "term", "id").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
-    term_df = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-    stats = bags.groupBy("field").agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("total"))
-    return Index(chunks, postings, term_df, stats, tokenizer, stable)
+    postings = postings_of(chunks, tokenizer, stable)
+    return Index(chunks, postings, frequencies(postings), statistics(chunks, postings), tokenizer, stable, True)
 
 
 def build(notes: DataFrame, tokenizer: tx.Tokenizer = tx.tokens, stable: bool = False, plain_only: bool = False, native_ids: bool = False) -> Index:
@@ -99,12 +123,7 @@ def _replace(index: Index, paths: DataFrame, fresh: Index | None) -> Index:
     postings = index.postings.join(gone, "id", "left_anti").select(*index.postings.columns)
     if fresh:
         chunks, postings = chunks.unionByName(fresh.chunks), postings.unionByName(fresh.postings)
-    term_df = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-    # the length of a field is on each of its postings; chunks without a token in it add nothing
-    lengths = postings.groupBy("id", "field").agg(F.first("dl").alias("dl")).groupBy("field").agg(F.sum("dl").alias("total"))
-    fields = chunks.sparkSession.createDataFrame([(n,) for n in FIELDS.values()], "field int").join(F.broadcast(lengths), "field", "left")
-    stats = fields.join(F.broadcast(chunks.agg(F.count("*").alias("n")))).select("field", "n", F.coalesce("total", F.lit(0)).alias("total"))
-    return Index(chunks, postings, term_df, stats, index.tokenizer, index.stable)
+    return Index(chunks, postings, frequencies(postings), statistics(chunks, postings), index.tokenizer, index.stable)
 
 
 def clear(index: Index) -> Index:

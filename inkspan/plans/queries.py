@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,11 +86,32 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk(notes, plain_only=plain).withColumn("id", F.concat("path", F.lit("#"), F.lpad(F.col("ordinal").cast("string"), 6, "0")))
 
 
-def _index(spark: SparkSession, sf_dir: str) -> Index:
+def built_index(spark: SparkSession, sf_dir: str) -> Index:
     stable = tx.all_stable(_notes(spark, sf_dir), "text", "title")
     return from_chunks(_chunks(spark, sf_dir), stable=stable)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder for saved indexes that driver and executors share: spark.checkpoint.dir; in a local session a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(folder or 'file://' + tempfile.gettempdir()).rstrip('/')}/inkspan-index-{uuid.uuid4().hex}"
+
+
+_SAVED: dict[tuple[str, str], Index] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of the documents, built and saved once in an application; queries then read the row groups of their terms."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SAVED:
+        index, path = built_index(spark, sf_dir), scratch(spark)
+        index.save(path)
+        _SAVED[key] = Index.load(spark, path, index.tokenizer, index.stable)
+    return _SAVED[key]
+
+
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "benchmark")
     return rows.select(F.col("item_id").cast("string").alias("key"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("kind"), F.col("text").alias("query"))
@@ -466,14 +489,14 @@ def chunk_general_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk(notes).select("path", "heading", "start_line", "ordinal", F.length("text").alias("points"))
 
 
-@_query(None)
+@_query("SELECT CAST(NULL AS VARCHAR) AS id, CAST(NULL AS DOUBLE) AS score WHERE false")
 def incremental_equals_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores that an index kept by upsert and remove gives but a rebuilt one does not, and the other way round: no rows."""
-    notes = _notes(spark, sf_dir)
-    first, changed, gone = (notes.where(F.pmod(F.xxhash64("path"), F.lit(10)) == k) for k in (0, 1, 2))
+    notes = _notes(spark, sf_dir).withColumn("_part", F.pmod(F.xxhash64("path"), F.lit(3)))
+    kept, changed, gone = (notes.where(F.col("_part") == k).drop("_part") for k in range(3))
     changed = changed.withColumn("text", F.concat("text", F.lit(" the changed thing")))
-    index = remove(upsert(build(notes.where(F.pmod(F.xxhash64("path"), F.lit(10)).isin(0, 2)), stable=False), changed), gone)
-    fresh = build(first.unionByName(changed))
+    index = remove(upsert(build(notes.drop("_part"), stable=False), changed), gone)
+    fresh = build(kept.unionByName(changed))
     asked = spark.createDataFrame([("q", QUERY_TEXT)], "key string, query string")
     a, b = (scores(i, asked).select("id", F.round("score", 9).alias("score")) for i in (index, fresh))
     return a.exceptAll(b).unionByName(b.exceptAll(a))
