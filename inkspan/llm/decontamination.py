@@ -5,24 +5,27 @@ words of every document count (the whole document where it is shorter). A window
 item if the weighted Jaccard similarity of their five-word shingles (weights: counts; fewer words:
 the whole item) is at least ``similarity``.
 
-1. Windows that hold fewer item shingles than that similarity needs are passed over; this is exact and
-   leaves few windows.
-2. SimHash of a window from its shingle hashes; items of the same size within ``radius`` bits come from a
-   multi-index: with radius + 1 blocks of bits, codes within the radius agree on a block. At similarity 0.8
-   two codes differ in 9.7 bits on average (standard deviation 2.9); the radius of 20 is beyond three deviations.
+1. Shingles of items are anchors. A document's items are those of whose shingles it holds as many as that similarity needs
+   of one window, and of an item's windows those that hold so many of any item; both are exact, and few pairs are left.
+2. SimHash of a window from its shingle hashes; pairs with an item beyond ``radius`` bits are passed over. At similarity 0.8
+   two codes differ in 9.7 bits on average (standard deviation 2.9); the radius of 20 is beyond three deviations. (A
+   multi-index for so large a radius has blocks of three bits, which nearly any two codes share; therefore the anchors
+   choose the pairs.)
 3. Exact weighted similarity of the pairs found.
 
-Documents are scanned in place: no shuffle. The benchmark is taken in blocks of ``BLOCK_BYTES`` of text, one
-scan a block, so what a task holds of it is bounded whatever its size.
+Documents are scanned in place: no shuffle. A benchmark beyond ``BLOCK_BYTES`` of text is taken in blocks, each in a job of
+its own whose leaks are staged and joined with the documents at the end, so what a task holds of it is bounded
+whatever its size.
 
 Defined cases: null or empty texts and items match nothing; rows with null ids take part; repeated items are
-each reported; repeated rows are each judged; an empty benchmark leaves every document clean; all columns of
-the input are kept.
+each reported; repeated rows are each judged; of windows that tie the first is reported; texts are read whole, in slices of
+bounded bytes; an empty benchmark leaves every document clean; all columns of the input are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkspan.llm.common import read_table
+from inkspan.llm.common import lookup_join, packed, read_table, row_key, stage, unpacked
 from inkspan.llm.textscan import HashSet, column_bytes, shingle_hashes, slices, spread, word_hashes
 
 BLOCK_BYTES = 16 << 20
@@ -44,33 +47,6 @@ def simhash(hashes: np.ndarray) -> np.uint64:
     return np.packbits(2 * bits > len(hashes)).view(">u8")[0].astype(np.uint64)
 
 
-class SizeClass:
-    """Items of one number of words: their codes and the multi-index over blocks of bits."""
-
-    def __init__(self, items: list[int], codes: np.ndarray, radius: int):
-        self.items, self.codes, self.radius = items, codes, radius
-        edges = np.linspace(0, 64, radius + 2).astype(int)
-        self.blocks = []
-        for low, high in zip(edges[:-1], edges[1:], strict=True):
-            shift, mask = np.uint64(low), np.uint64((1 << int(high - low)) - 1)
-            value = (codes >> shift) & mask
-            order = np.argsort(value, kind="stable")
-            self.blocks.append((shift, mask, value[order], order))
-
-    def near(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs within the radius."""
-        found = []
-        for shift, mask, values, order in self.blocks:
-            value = (codes >> shift) & mask
-            low = np.searchsorted(values, value, side="left")
-            window, at = spread(low, np.searchsorted(values, value, side="right") - low)
-            found.append(window * len(order) + order[at])
-        pair = np.unique(np.concatenate(found))
-        window, item = pair // len(self.codes), pair % len(self.codes)
-        close = np.bitwise_count(codes[window] ^ self.codes[item]) <= self.radius
-        return window[close], item[close]
-
-
 class ItemIndex:
     """All that a task needs of a block of benchmark items."""
 
@@ -94,7 +70,18 @@ class ItemIndex:
                 every.append(hashes)
                 codes[k] = simhash(hashes)
         self.anchors = HashSet(np.concatenate(every), 22)
-        self.classes = {w: SizeClass(ks, codes[ks], radius) for w, ks in sorted(sizes.items())}
+        self.radius, self.codes = radius, codes
+        self.classes = {w: np.array(ks) for w, ks in sorted(sizes.items())}
+        self.need = np.full(len(items), np.iinfo(np.int64).max)
+        for w, ks in self.classes.items():
+            self.need[ks] = np.ceil(similarity * (w - WIDTH + 1) - 1e-9)
+        # items of each anchor, and how often the item has it
+        owner = np.repeat(np.arange(len(items)), [len(u) for u, _ in self.shingles])
+        keys = np.concatenate([np.zeros(0, np.uint64), *(u for u, _ in self.shingles)])
+        at, key = self.anchors.find(keys)
+        order = np.lexsort((owner[at], key))
+        self.item_of = owner[at][order]
+        self.items_from = np.searchsorted(key[order], np.arange(len(self.anchors.keys) + 1))
         self.short = {w: (HashSet(np.array(list(by), dtype=np.uint64)), by) for w, by in short.items()}
         self.longest = max(self.classes, default=0)
 
@@ -105,8 +92,17 @@ class ItemIndex:
         shared = int(np.minimum(counts[a], n[b]).sum())
         return shared / (int(counts.sum()) + len(window) - shared)
 
-    def matches(self, hashes: np.ndarray, anchored: np.ndarray) -> list[dict]:
-        """The best window of each leaked item; hashes: a document's shingles, anchored: positions of item shingles."""
+    def wanted(self, keys: np.ndarray) -> np.ndarray:
+        """Items of which a document with these anchors (repeats included) holds enough shingles for a match."""
+        _, at = spread(self.items_from[keys], self.items_from[keys + 1] - self.items_from[keys])
+        item, held = np.unique(self.item_of[at], return_counts=True)
+        return item[held >= self.need[item]]
+
+    def matches(self, hashes: np.ndarray, anchored: np.ndarray, keys: np.ndarray) -> list[dict]:
+        """The best window of each leaked item; hashes: a document's shingles, anchored: positions of item shingles, keys: which."""
+        wanted = self.wanted(keys)
+        if not len(wanted):
+            return []
         begin, end = max(0, int(anchored[0]) - self.longest), min(len(hashes), int(anchored[-1]) + self.longest)
         own = hashes[begin:end]
         held = np.zeros(len(own) + 1, dtype=np.int64)
@@ -115,6 +111,9 @@ class ItemIndex:
         bits = None
         best: dict[int, tuple[float, int, int]] = {}
         for words, group in self.classes.items():
+            group = np.intersect1d(group, wanted, assume_unique=True)
+            if not len(group):
+                continue
             size = words - WIDTH + 1
             span = min(size, len(hashes))
             if span > len(own):
@@ -126,8 +125,9 @@ class ItemIndex:
                 bits = np.zeros((len(own) + 1, 64), dtype=np.int32)
                 np.cumsum(np.unpackbits(own.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1), axis=0, out=bits[1:])
             codes = np.packbits(2 * (bits[start + span] - bits[start]) > span, axis=1).view(">u8")[:, 0].astype(np.uint64)
-            for window, item in zip(*(x.tolist() for x in group.near(codes)), strict=True):
-                k, at = group.items[item], int(start[window])
+            near = np.nonzero(np.bitwise_count(codes[:, None] ^ self.codes[group]) <= self.radius)
+            for window, item in zip(*(x.tolist() for x in near), strict=True):
+                k, at = int(group[item]), int(start[window])
                 if k in best and best[k][0] == 1.0:
                     continue
                 found = self.weighted(own[at : at + span], k)
@@ -140,13 +140,13 @@ class ItemIndex:
         words, first = word_hashes(*column_bytes(column))
         out: list[list[dict]] = [[] for _ in range(len(column))]
         hashes = shingle_hashes(words, WIDTH)
-        at, _ = self.anchors.find(hashes)
+        at, key = self.anchors.find(hashes)
         text = np.searchsorted(first, at, side="right") - 1
         inside = at + WIDTH <= first[text + 1]
-        at, text = at[inside], text[inside]
+        at, text, key = at[inside], text[inside], key[inside]
         for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(text)) + 1) if len(at) else []:
             t = int(text[some[0]])
-            out[t] = self.matches(hashes[first[t] : first[t + 1] - WIDTH + 1], at[some] - first[t])
+            out[t] = self.matches(hashes[first[t] : first[t + 1] - WIDTH + 1], at[some] - first[t], key[some])
         for width, (known, by) in self.short.items():
             grams = shingle_hashes(words, width)
             at, key = known.find(grams)
@@ -174,38 +174,54 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 20, out: str = "_leaks") -> DataFrame:
-    """``docs`` with an array of its leaks (item_id, first_word, words, similarity) in column ``out``."""
-    found = docs.withColumn(out, F.array().cast(T.ArrayType(MATCH)))
-    for block in item_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, similarity, radius))  # bounded by BLOCK_BYTES
-        given = found.withColumn("_scanned_text", F.lower(F.col("text").cast("string")).cast("binary"))
-        k = len(given.columns) - 1
+def _scan(rows: DataFrame, block: list[tuple[int | None, bytes]], similarity: float, radius: int) -> DataFrame:
+    """(d, leaks) of (d, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast(ItemIndex(block, similarity, radius))  # bounded by BLOCK_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.scan(part.column(1)), pa.list_(_ARROW_MATCH))], names=["d", "leaks"])
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, k):
-                    old = part.column(k - 1).to_pylist()
-                    new = shared.value.scan(part.column(k))
-                    both = [(a or []) + b for a, b in zip(old, new, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*part.columns[: k - 1], pa.array(both, pa.list_(_ARROW_MATCH))], names=part.schema.names[:k])
+    return rows.mapInArrow(run, T.StructType([rows.schema["d"], T.StructField("leaks", T.ArrayType(MATCH))]))
 
-        found = given.mapInArrow(run, T.StructType(given.schema.fields[:k]))
-    return found
+
+def leaks_of(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 20) -> DataFrame:
+    """(d, leaks): the columns of ``docs`` in a struct and an array of its leaks (item_id, first_word, words, similarity)."""
+    text = F.lower(F.col("text").cast("string")).cast("binary").alias("text")
+    blocks = item_blocks(benchmark)
+    block, further = next(blocks, []), next(blocks, None)
+    if further is None:
+        return _scan(packed(docs, text), block, similarity, radius)
+    found = None
+    for some in chain((block, further), blocks):
+        rows = docs.select(F.struct(row_key(docs).alias("row")).alias("d"), text)
+        part = stage(_scan(rows, some, similarity, radius).where("size(leaks) > 0").select("d.row", "leaks").dropDuplicates(["row"]))
+        found = part if found is None else found.unionByName(part)
+    found = stage(found.groupBy("row").agg(F.flatten(F.collect_list("leaks")).alias("leaks")))
+    rows = lookup_join(packed(docs, row_key(docs).alias("row")), found, ["row"], "left", "shuffle_hash")
+    return rows.select("d", F.coalesce("leaks", F.array().cast(T.ArrayType(MATCH))).alias("leaks"))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 20, out: str = "_leaks") -> DataFrame:
+    """``docs`` with an array of its leaks (item_id, first_word, words, similarity) in a further column ``out``."""
+    if out in docs.columns:
+        raise ValueError(f"docs have a column {out} already")
+    return unpacked(leaks_of(docs, benchmark, similarity, radius), docs.columns, **{out: F.col("leaks")})
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, with their columns."""
-    return find_leaks(docs, benchmark).where(F.size("_leaks") == 0).drop("_leaks")
+    return unpacked(leaks_of(docs, benchmark).where("size(leaks) = 0"), docs.columns)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, contaminated, item_ids (sorted), similarity (the largest; 0 without a leak) of every document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+    found = leaks_of(docs, read_table(spark, sf_dir, "benchmark"))
     return found.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.size("_leaks") > 0).alias("contaminated"),
-        F.array_sort(F.array_distinct(F.col("_leaks.item_id"))).alias("item_ids"),
-        F.coalesce(F.array_max(F.col("_leaks.similarity")), F.lit(0.0)).alias("similarity"),
+        F.col("d.doc_id").cast("long").alias("doc_id"),
+        (F.size("leaks") > 0).alias("contaminated"),
+        F.array_sort(F.array_distinct(F.col("leaks.item_id"))).alias("item_ids"),
+        F.coalesce(F.array_max(F.col("leaks.similarity")), F.lit(0.0)).alias("similarity"),
     )

@@ -14,9 +14,10 @@
    bounded however large the cell. A pair that several cells could find is counted in one of them. Tasks emit counts
    and spanning forests, not pairs.
 
-Defined cases: rows whose vec_id, label or vector is null, or whose vector is empty, zero or holds null or
+Defined cases: rows whose label or vector is null, or whose vector is empty, zero or holds null or
 non-finite components, link with nothing (component_id: their vec_id); vectors of different length are not compared;
-rows that repeat a vec_id count as vectors; an empty table gives an empty result; other columns are ignored.
+rows that repeat a vec_id count as vectors, those of a null vec_id too (they name no component and are not kept);
+ties have no order to decide, as links are counts; vectors of any length are compared whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -184,7 +185,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding, label)."""
     vec = F.col("embedding").cast("array<double>")
     sound = F.coalesce(F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0), F.lit(False))
-    valid = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & sound
+    valid = F.col("label").isNotNull() & sound
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(valid, F.xxhash64("label", "embedding")).alias("cid"), "label", vec.alias("embedding"))
     ids = stage(rows.select("vec_id", "cid"))
     classes = stage(
@@ -207,7 +208,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     named = stage(named.join(lowest, "root").select("cid", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"))
     out = lookup_join(ids, named, ["cid"], "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,15 +3,17 @@
 Subwords are runs of ``GRAMS`` bytes of the lower-cased text, in which everything that is no letter counts as one
 boundary; each is hashed to one of ``BUCKETS`` embeddings. A document is the mean of its subwords' embeddings, and a
 linear softmax gives the languages' chances. Embeddings and softmax are trained together by stochastic
-gradient descent in numpy, from at most ``PER_LANGUAGE`` examples of a language (texts of up to 32 KiB) that are not
-held out, and ``LANGUAGES`` languages, the most frequent. After training embeddings and weights fold into one
-table of scores per bucket, so a document costs one lookup a subword.
+gradient descent in numpy, from at most ``PER_LANGUAGE`` examples of each language (texts of up to 32 KiB) that are not
+held out; executors turn them into bucket counts, and the driver holds these sparsely. Of few languages embeddings and weights
+fold into one table of scores per bucket after training, so a document costs one lookup a subword.
 
 Calibrated rejection: the temperature of the softmax and the score below which a prediction is ``rejected`` are
 set on a part of the examples kept out of training, the latter so that at most ``MISSED`` of right predictions are rejected.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0.0; without any example so is every text;
-null languages teach nothing; null doc_ids and repeated rows are predicted as any row.
+Defined cases: null texts and texts without a letter are ``und`` with score 0.0; without any example so is every text; a
+single letter has subwords too, as boundaries stand at both ends; null languages teach nothing; of a doc_id that
+repeats the least text teaches; null doc_ids and repeated rows are predicted as any row; languages that tie go to the
+first by name; texts are read whole, in slices of bounded bytes; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,19 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import read_table
-from inkspan.llm.labelled import folded, held_out
+from inkspan.llm.common import lookup_join, read_table, stage
+from inkspan.llm.labelled import held_out
 from inkspan.llm.textscan import _random, column_bytes, mix, slices
 
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 14
 DIMENSIONS = 16
 PER_LANGUAGE = 512
-LANGUAGES = 256
 EXAMPLE_BYTES = 1 << 15
 MISSED = 0.005
 _SALTS = 16
@@ -70,18 +71,33 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         yield bucket[inside], np.concatenate(([0], np.cumsum(np.maximum(np.minimum(end, len(total)) - np.minimum(begin, len(total)), 0))))
 
 
+def ended() -> Column:
+    """The lower-cased text between boundaries."""
+    return F.encode(F.concat(F.lit(" "), F.lower(F.col("text").cast("string")), F.lit(" ")), "UTF-8")
+
+
+def bucket_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, counts) of a text."""
+    found = subwords(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))
+    return np.unique(np.concatenate([bucket for bucket, _ in found]), return_counts=True)
+
+
 class LanguageModel:
-    def __init__(self, names: list[str], texts: list[bytes], labels: np.ndarray, seed: int = 9, steps: int = 640, batch: int = 32, rate: float = 60.0):
-        self.names = names
-        if not names:
+    def __init__(self, names: list[str], examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 9, steps: int = 640, batch: int = 32, rate: float = 60.0):
+        self.names = names if examples else []
+        if not self.names:
             return
         rng = np.random.default_rng(seed)
-        rows = np.zeros((len(texts), BUCKETS), dtype=np.float32)
-        for k, text in enumerate(texts):
-            for bucket, _ in subwords(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)])):
-                rows[k] += np.bincount(bucket, minlength=BUCKETS)
-        rows /= np.maximum(rows.sum(axis=1, keepdims=True), 1)
-        order = rng.permutation(len(texts))
+
+        def dense(some: np.ndarray) -> np.ndarray:
+            """Shares of the buckets in a few examples."""
+            rows = np.zeros((len(some), BUCKETS), dtype=np.float32)
+            for k, e in enumerate(some.tolist()):
+                bucket, count = examples[e]
+                rows[k, bucket] = count / max(count.sum(), 1)
+            return rows
+
+        order = rng.permutation(len(examples))
         held = order[: len(order) // 5] if len(order) >= 20 else order[:0]
         train = order[len(held) :]
         embed = (rng.standard_normal((BUCKETS, DIMENSIONS)) / DIMENSIONS).astype(np.float32)
@@ -92,15 +108,19 @@ class LanguageModel:
             pace = rate * (1 - epoch / epochs)
             for at in range(0, len(train), batch):
                 some = train[at : at + batch]
-                mean = rows[some] @ embed
+                rows = dense(some)
+                mean = rows @ embed
                 error = (self._softmax(mean @ weights + bias) - target[labels[some]]) / len(some)
                 back = error @ weights.T
                 weights -= 0.05 * pace * mean.T @ error
                 bias -= 0.005 * pace * error.sum(axis=0)
-                embed -= pace * rows[some].T @ back
-        self.table, self.bias = (embed @ weights).astype(np.float64), bias.astype(np.float64)
+                embed -= pace * rows.T @ back
+        few = len(names) <= DIMENSIONS
+        self.table = (embed @ weights if few else embed).astype(np.float64)
+        self.head = np.eye(len(names)) if few else weights.astype(np.float64)
+        self.bias = bias.astype(np.float64)
         check = held if len(held) else train
-        raw = rows[check] @ self.table + self.bias
+        raw = np.concatenate([dense(check[at : at + batch]) @ self.table for at in range(0, len(check), batch)]) @ self.head + self.bias
         heats = np.geomspace(0.1, 20, 60)
         loss = [-np.log(np.maximum(self._softmax(raw * h)[np.arange(len(check)), labels[check]], 1e-12)).mean() for h in heats]
         self.heat = float(heats[int(np.argmin(loss))])
@@ -114,36 +134,44 @@ class LanguageModel:
         return x / x.sum(axis=1, keepdims=True)
 
     def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(language index, chance) of each text; -1 for no subword."""
+        """(language index, chance) of each text."""
         data, offsets = column_bytes(column)
-        total, count = np.zeros((len(column), len(self.names))), np.zeros(len(column))
+        width = self.table.shape[1]
+        total, count = np.zeros((len(column), width)), np.zeros(len(column))
         for bucket, first in subwords(data, offsets):
             n = np.diff(first)
             some = np.flatnonzero(n)
             count += n
             if len(some):
-                for c in range(len(self.names)):
+                for c in range(width):
                     total[some, c] += np.add.reduceat(self.table[:, c][bucket], first[:-1][some])
-        chance = self._softmax((total / np.maximum(count, 1)[:, None] + self.bias) * self.heat)
-        return np.where(count > 0, chance.argmax(axis=1), -1), chance.max(axis=1)
+        chance = self._softmax(((total / np.maximum(count, 1)[:, None]) @ self.head + self.bias) * self.heat)
+        return chance.argmax(axis=1), chance.max(axis=1)
 
 
 def fit(docs: DataFrame) -> LanguageModel:
     """Learns from text and language of documents that are not held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(3, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    names = sorted(r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
-    if not names:
-        return LanguageModel([], [], np.zeros(0, np.int64))
     order = F.md5(F.col("doc_id").cast("string"))
     # each (language, salt) keeps its first rows already before the shuffle, so a frequent language moves no more than a rare one
-    salted = known.where(F.col("lang").isin(names)).withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)))
+    salted = known.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)))
     ranked = salted.withColumn("_rank", F.row_number().over(W.partitionBy("lang", "_salt").orderBy(order, "doc_id"))).where(f"_rank <= {PER_LANGUAGE // _SALTS}")
-    ids = F.broadcast(ranked.select("doc_id", F.col("lang").alias("_lang")))  # PER_LANGUAGE * LANGUAGES rows at most
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), folded().alias("_folded")).where(f"octet_length(_folded) between 1 and {EXAMPLE_BYTES}")
-    rows = sorted((r["doc_id"], r["_lang"], bytes(r["_folded"])) for r in texts.join(ids, "doc_id").select("doc_id", "_lang", "_folded").collect())
+    ids = stage(ranked.select("doc_id", F.col("lang").alias("_lang")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ended().alias("_ended")).where(f"octet_length(_ended) between 3 and {EXAMPLE_BYTES}")
+    texts = lookup_join(texts, ids, ["doc_id"]).groupBy("doc_id", "_lang").agg(F.min("_ended").alias("_ended"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [bucket_counts(text) for text in batch.column(2).to_pylist()]
+            blobs = [pa.array([f[j].astype(np.int32).tobytes() for f in found], pa.binary()) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *blobs], names=["doc_id", "lang", "buckets", "counts"])
+
+    rows = sorted(map(tuple, texts.select("doc_id", "_lang", "_ended").mapInArrow(count, "doc_id long, lang string, buckets binary, counts binary").collect()))
     # repeated texts teach once
-    rows = list({(lang, text): (lang, text) for _, lang, text in rows}.values())
-    return LanguageModel(names, [t for _, t in rows], np.array([names.index(lang) for lang, _ in rows], dtype=np.int64))
+    rows = list({(lang, bytes(b), bytes(c)): None for _, lang, b, c in rows})
+    names = sorted({lang for lang, _, _ in rows})
+    at = {lang: k for k, lang in enumerate(names)}
+    return LanguageModel(names, [(np.frombuffer(b, np.int32), np.frombuffer(c, np.int32)) for _, b, c in rows], np.array([at[lang] for lang, _, _ in rows], dtype=np.int64))
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -165,7 +193,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[which], pa.string()), pa.array(score), pa.array(score < least)], names=["doc_id", "lang_pred", "score", "rejected"])
 
     lettered = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), lettered.alias("_lettered"), folded().alias("_folded")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), lettered.alias("_lettered"), ended().alias("_ended")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspan.llm.common import ordered_positions, read_table, stage
+from inkspan.llm.textscan import slices
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Cached words and pre-tokens of one Python worker.
@@ -135,8 +136,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int, end_id: int) ->
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_json)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 1, 1 << 20):  # ids and new words of a slice are held at once
                 rows: list[tuple] = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                     ids += end

@@ -1,19 +1,22 @@
 """Secret scans with a random forest against false positives. DataFrame operations only.
 
-Candidates are runs of 12 and more letters, digits, ``+ / _ -`` (and up to two ``=`` at the end) with a digit or with two
-changes between lower and upper case, found anywhere in whole texts; each comes with the 40 characters before and 20 after it. Features: length, character
-transitions, shares of character classes, distinct characters, longest runs, dictionary coverage, path marks and
-neighbouring words. The forest is trained from labelled findings: ``FINDINGS`` of them, made from a seed by the rules in
-``labelled_findings`` (keys, tokens and passwords in their usual places against identifiers, hashes, paths, dates,
-placeholders and long words), since no table labels secrets. Their features come from the same DataFrame
-expressions; the trees are grown on the driver and become one SQL expression, so scoring is a
-projection without Python.
+Candidates, found anywhere in whole texts, are (1) the value after a secret word and ``=`` or ``:``: six and more characters but
+white space, quotes, brackets, commas and semicolons; (2) signed tokens of parts joined by dots; (3) runs of 12 and more
+letters, digits, ``+ / _ -`` (and up to two ``=`` at the end) with a digit or with two changes between lower and upper
+case. Only ASCII letters and digits bound a run, so a key within Chinese or Japanese text counts. Each comes with the
+40 characters before and 20 after it. Features: length, character transitions, shares of character classes, distinct
+characters, longest runs, dictionary coverage, path marks and neighbouring words. The forest is trained from labelled findings:
+``FINDINGS`` of them, made from a seed by the rules in ``labelled_findings`` (keys, tokens, passwords and passphrases in their
+usual places against identifiers, hashes, paths, dates, placeholders, ordinary words and calls), since no table labels
+secrets. Their features come from the same DataFrame expressions; the trees are grown on the driver and become one SQL
+expression, so scoring is a projection without Python.
 
 Rows of the result: one for each candidate, with its number within the text, score (mean of the trees) and
 ``secret`` (score of at least 0.5).
 
 Defined cases: null and empty texts have no candidates; null doc_ids and repeated rows give their findings as any row;
-an empty table gives an empty result; other columns are ignored.
+texts of any length are scanned whole; findings of a text are numbered in order, so there are no ties; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +36,14 @@ FINDINGS = 4000
 TREES, DEPTH = 21, 6
 SECRET = 0.5
 
-_RUN = r"(?<![\p{L}\p{N}+/_-])(?=[A-Za-z+/_-]*(?:[0-9]|[a-z][A-Z][A-Za-z+/_-]*[a-z][A-Z]))[A-Za-z0-9+/_-]{12,}+={0,2}(?![\p{L}\p{N}])"
+#: Words beside a secret, and words beside other long identifiers.
+SECRET_WORDS = "pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth|bearer|private"
+OTHER_WORDS = "commit|sha(?:1|256|512)?|md5|checksum|digest|uuid|guid|etag|revision|version|isbn|order|invoice|href|src|url|http"
+
+_VALUE = rf"(?<=[:=\s\"'])(?<=(?i:{SECRET_WORDS})[a-zA-Z_]{{0,8}}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)[^\s\"'`<>(){{}}\[\],;:=]{{1}}[^\s\"'`<>(){{}}\[\],;]{{5,}}"
+_SIGNED = r"(?<![A-Za-z0-9._-])eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{4,}){1,2}"
+_PLAIN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*(?:[0-9]|[a-z][A-Z][A-Za-z+/_-]*[a-z][A-Z]))[A-Za-z0-9+/_-]{12,}+={0,2}(?![A-Za-z0-9])"
+_RUN = f"(?:{_VALUE}|{_SIGNED}|{_PLAIN})"
 _CANDIDATE = rf"({_RUN})"
 #: A lookbehind takes the fewest characters it can, so the 40 before a run and those from the start of a text are two patterns.
 _BEFORE = rf"(?s)(?:(?<=(.{{40}})))?(?:{_RUN})"
@@ -51,11 +61,15 @@ DICTIONARY = (
     "import index info input install item journal language large layout left level library line link list local "
     "location login main manager master media member menu message mobile model module month name network news note "
     "number object office option order output package page panel paper part path people photo picture place plan "
-    "player plugin point post preview price print product profile program project public query"
+    "player plugin point post preview price print product profile program project public query question queue random "
+    "range rate reader record region release remote report request required reset resource response result review "
+    "right role room root route sample schema score screen script search section select server service session "
+    "setting shared shop short side signal single site size small source space special sport staff stage standard "
+    "start state static status step store story stream string style subject summary support system table target "
+    "task team template test text theme thread thumb ticket time title today tool topic total track travel tree type "
+    "unit update upload user value vendor version video view visit voice volume wall water week width window word work "
+    "world writer year young zero zone"
 ).split()
-#: Words beside a secret, and words beside other long identifiers.
-SECRET_WORDS = "pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth|bearer|private"
-OTHER_WORDS = "commit|sha(?:1|256|512)?|md5|checksum|digest|uuid|guid|etag|revision|version|isbn|order|invoice|href|src|url|http"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -88,6 +102,9 @@ def features() -> dict[str, Column]:
         "hexadecimal": share("[0-9a-fA-F]"),
         "vowels": share("[aeiouAEIOU]"),
         "marks": share("[/_-]"),
+        "symbols": share("[^A-Za-z0-9/_+=-]"),
+        "plain_word": low.rlike("^[a-z]+[.!?]?$").cast("int"),
+        "call": (c.rlike(r"^(?:[a-z_]+\.)+[a-zA-Z_]+$|^\$|^%|^\*") | after.rlike(r"^\s*\(")).cast("int"),
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / size,
         "letter_run": longest("[A-Za-z]") / size,
         "lower_run": longest("[a-z]") / size,
@@ -128,8 +145,19 @@ def labelled_findings(count: int = FINDINGS, seed: int = 41) -> list[dict]:
         lambda: (pick(letters + upper + digits, 16, 48), prose() + key()),
         lambda: (rng.choice(["ghp_", "sk-", "sk_live_", "xoxb-", "AIza"]) + pick(letters + upper + digits, 20, 40), prose() + rng.choice(["", key()])),
         lambda: (pick(letters + digits, 3, 6) + pick(upper, 2, 4) + pick(digits + letters, 6, 16), prose() + key()),
+        lambda: (pick(letters, 4, 8) + pick(digits, 1, 4) + pick("!@#$%&*?", 1, 2) + pick(letters + digits, 0, 4), prose() + key()),
+        lambda: (pick(upper, 1, 1) + pick("@$!#", 1, 1) + pick(letters + digits, 4, 9) + pick("!?#" + digits, 1, 4), prose() + key()),
+        lambda: (pick(letters + digits, 3, 5) + pick(upper + digits, 3, 5) + pick(digits, 1, 2), prose() + key()),
+        lambda: ("".join(rng.choice([rng.choice(DICTIONARY), pick(letters, 4, 8)]) for _ in range(rng.randint(4, 5))), prose() + rng.choice(["password", "passphrase", "secret", "token"]) + rng.choice(["=", ": ", " = "])),
+        lambda: ("eyJ" + ".".join(pick(letters + upper + digits, 12, 40) for _ in range(3)), prose() + rng.choice(["", key()])),
     ]
     other = [
+        lambda: (rng.choice([*DICTIONARY, pick(letters, 6, 12)]).ljust(6, "s") + rng.choice(["", ".", "!"]), prose() + key()),
+        lambda: (".".join(rng.choice(DICTIONARY) for _ in range(rng.randint(2, 3))), prose() + key()),
+        lambda: (rng.choice(["$", "%", "***"]) + pick(upper + "_*", 5, 12), prose() + key()),
+        lambda: ("_".join(rng.choice(DICTIONARY) for _ in range(rng.randint(2, 3))), prose() + key()),
+        lambda: (rng.choice(DICTIONARY) + "-" + rng.choice(DICTIONARY), prose() + key()),
+
         lambda: (words(rng.randint(2, 4), rng.choice("-_/")) + rng.choice("-_/") + pick(digits, 1, 4), prose() + rng.choice(["", "see ", "https://example.com/"])),
         lambda: (str(uuid.UUID(int=rng.getrandbits(128))), prose() + rng.choice(["id: ", "uuid=", ""])),
         lambda: (pick(hexes, 40, 64), prose() + rng.choice(["commit ", "sha256:", "md5 ", "checksum: ", "digest="])),

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspan.llm.common import connected_components, lookup_join, read_table, stage
+from inkspan.llm.textscan import slices
 
 #: Codes that one node of the upper index may hold before it is cut again.
 GROUP_ROWS = 1024
@@ -78,8 +79,7 @@ def fingerprint(docs: DataFrame, width: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 1, 2 << 20):  # the words of a slice are lists at once
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints_of(part.column(1).to_pylist(), width).view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")

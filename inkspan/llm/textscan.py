@@ -49,13 +49,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a binary column; a null has no bytes."""
+    """(bytes, offsets) of a binary or string column; a null has no bytes."""
     n = len(column)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     large = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
     if column.null_count:
-        column = column.fill_null(b"")
+        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if large else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
     data = column.buffers()[2]
     data = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, dtype=np.uint8)
@@ -105,7 +105,7 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of at most ``most_bytes`` of the binary column (one row at least)."""
+    """The batch in parts of at most ``most_bytes`` of the binary or string column (one row at least)."""
     _, offsets = column_bytes(batch.column(column))
     at = 0
     while at < batch.num_rows:

@@ -210,6 +210,13 @@ def test_vectors_of_many_cells(spark, monkeypatch):
     assert got == {k: (links[k], sets.find(k)) for k in range(len(rows))} and sum(links.values()) == 400
 
 
+def test_vectors_without_id(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(None, v, 1), (7, v, 1), (5, [1.0, 2.0, 3.1], 1), (None, [9.0, -1.0, 0.0], 1)]
+    got = sorted(map(tuple, em.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()), key=str)
+    assert got == sorted([(None, 2, 5, False), (7, 2, 5, False), (5, 2, 5, True), (None, 0, None, False)], key=str)
+
+
 def test_vectors_of_nothing(spark):
     assert em.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
