@@ -4,7 +4,7 @@ Fit, on the driver, from at most ``PER_CLASS`` examples of each label:
 
 * vocabulary: all terms of the examples (lower-cased words, runs of symbols, not repetitions). A term's weight is its
   inverse document frequency times z^8 / (z^8 + 3^8), z being the log-odds of its document counts under the two labels over
-  their standard error: terms that go with a label count in full, those of no association hardly (under 0.01: not at all).
+  their standard error: terms that go with a label count in full, those of no association hardly (under 0.1: not at all).
   There is no limit on their number but that on the examples;
 * inverse document frequencies: counted over all documents of the corpus, in one scan that moves one row a
   term and task;
@@ -40,7 +40,7 @@ from inkspan.llm.textscan import HashSet, slices, spread
 
 PER_CLASS = 2048
 #: z at which a term has half its weight, the steepness, and the share under which it has none.
-HALF_Z, STEEPNESS, LEAST_SHARE = 3.0, 8, 0.01
+HALF_Z, STEEPNESS, LEAST_SHARE = 3.0, 8, 0.1
 NEIGHBOURS = 15
 BLOCK = 64
 THRESHOLD = 0.7

@@ -129,7 +129,7 @@ def test_toxicity_equals_brute_force(spark):
         c = [sum(labels[k] == y and w in texts[k] for k in train) + 0.5 for y in (0, 1)]
         z = abs(np.log(c[1] / (n[1] - c[1] + 1)) - np.log(c[0] / (n[0] - c[0] + 1))) / np.sqrt(1 / c[0] + 1 / c[1])
         share = z**8 / (z**8 + 3**8)
-        if share >= 0.01:
+        if share >= tox.LEAST_SHARE:
             weight[w] = share * (np.log((len(texts) + 1) / (sum(w in t for t in texts.values()) + 1)) + 1)
 
     def vector(k):
