@@ -8,9 +8,9 @@ Fit, on the driver, from at most ``PER_CLASS`` examples of each label:
   There is no limit on their number but that on the examples;
 * inverse document frequencies: counted over all documents of the corpus, in one scan that moves one row a
   term and task;
-* a block-max inverted index over the examples: postings lists by term, cut in blocks of ``BLOCK`` examples with the largest
-  weight of each (term, block). A search visits blocks by falling bound and ends when no bound exceeds the k-th
-  best cosine, which makes it exact;
+* a block-max inverted index over the examples: postings lists in blocks of ``BLOCK`` examples with the largest weight of each
+  (term, block). A search visits blocks by falling bound and passes over those whose bound is below the k-th best
+  cosine, which makes it exact;
 * votes: labels of the ``NEIGHBOURS`` best examples, weighted by 1 / (distance + 0.05), and made a probability by a
   monotone fit on leave-one-out votes, with the classes weighted back to their shares among labelled rows.
 
@@ -36,13 +36,14 @@ from pyspark.sql import types as T
 
 from inkspan.llm.common import read_table, unpacked
 from inkspan.llm.labelled import REPEAT, Example, examples, folded, held_out, isotonic, term_hashes
-from inkspan.llm.textscan import HashSet, slices, spread
+from inkspan.llm.textscan import HashSet, slices
 
 PER_CLASS = 2048
 #: z at which a term has half its weight, the steepness, and the share under which it has none.
 HALF_Z, STEEPNESS, LEAST_SHARE = 3.0, 8, 0.1
 NEIGHBOURS = 15
-BLOCK = 64
+#: Examples of a block, and blocks that are laid out at once.
+BLOCK, GROUP = 64, 8
 THRESHOLD = 0.7
 
 
@@ -84,52 +85,51 @@ def corpus_counts(docs: DataFrame, terms: HashSet) -> tuple[np.ndarray, int]:
 
 
 class BlockMaxIndex:
-    """Exact top-k cosine over sparse unit vectors: postings lists by term, with block maxima.
+    """Exact top-k cosine over sparse unit vectors: postings lists in blocks of vectors, with the largest weight of each (term, block).
 
-    ``row``, ``term`` and ``weight`` are the entries of the vectors.
+    ``row``, ``term`` and ``weight`` are the entries of the vectors. Queries come in batches; of a group of blocks the postings
+    are laid out for one matrix product with the queries that the bounds let in.
     """
 
     def __init__(self, rows: int, terms: int, row: np.ndarray, term: np.ndarray, weight: np.ndarray, block: int = BLOCK):
-        self.blocks, self.block = -(-rows // block), block
-        order = np.lexsort((row, term))
-        self.row, self.weight, term = row[order], weight[order], term[order]
-        cell = term * max(self.blocks, 1) + self.row // block
-        self.first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, np.int64)
-        self.size = np.diff(np.concatenate((self.first, [len(cell)])))
-        self.cell_block = self.row[self.first] // block
-        self.highest = np.maximum.reduceat(self.weight, self.first) if len(cell) else np.zeros(0)
-        self.cells = np.searchsorted(term[self.first], np.arange(terms + 1))
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, cosines) of the k best with a positive cosine, best first; ties go to the lower row."""
-        owner, cell = spread(self.cells[terms], self.cells[terms + 1] - self.cells[terms])
-        cell_block = self.cell_block[cell]
-        bound = np.bincount(cell_block, weights[owner] * self.highest[cell], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        rows, cosines = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 2
-        while at < len(order):
-            if len(rows) == k:  # blocks that cannot reach the k-th best are never opened
-                order = order[: at + int((bound[order[at:]] >= cosines[-1] - 1e-12).sum())]
-                step = max(len(order) - at, 1)
-            chosen = np.full(self.blocks, -1)
-            some = order[at : at + step]
-            chosen[some] = np.arange(len(some))
-            at += step
-            open_ = np.flatnonzero(chosen[cell_block] >= 0)
-            which, posting = spread(self.first[cell[open_]], self.size[cell[open_]])
-            from_ = open_[which]
-            place = chosen[cell_block[from_]] * self.block + self.row[posting] % self.block
-            total = np.bincount(place, weights[owner[from_]] * self.weight[posting], minlength=len(some) * self.block)
+        self.terms, self.block, blocks = terms, block, -(-rows // block)
+        order = np.lexsort((term, row // block))
+        self.row, self.term, self.weight = row[order], term[order], weight[order]
+        self.ends = np.searchsorted(self.row // block, np.arange(blocks + 1))
+        self.highest = np.zeros((terms, blocks))
+        np.maximum.at(self.highest, (self.term, self.row // block), self.weight)
+
+    def search(self, queries: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, cosines) of the k best with a positive cosine of each query (a row over the terms), best first; -1 and 0 fill up.
+
+        Ties go to the lower row. Row skip[i] is not found by query i.
+        """
+        n = len(queries)
+        rows, cosines = np.full((n, k), -1), np.zeros((n, k))
+        bound = queries @ self.highest
+        order = np.argsort(-bound.sum(axis=0), kind="stable")
+        for at in range(0, len(order), GROUP):
+            some = order[at : at + GROUP]
+            most = bound[:, some].max(axis=1)
+            open_ = np.flatnonzero((most > 0) & (most >= cosines[:, -1] - 1e-9))  # others cannot reach their k-th best here
+            if not len(open_):
+                continue
+            laid = np.zeros((self.terms, len(some) * self.block))
+            for j, b in enumerate(some.tolist()):
+                own = slice(self.ends[b], self.ends[b + 1])
+                laid[self.term[own], j * self.block + self.row[own] % self.block] = self.weight[own]
             place = (some[:, None] * self.block + np.arange(self.block)).ravel()
-            keep = (total > 0) & (place != skip)
-            rows, cosines = np.concatenate((rows, place[keep])), np.concatenate((cosines, total[keep]))
-            if len(rows) > k:
-                keep = cosines >= np.partition(cosines, -k)[-k]
-                rows, cosines = rows[keep], cosines[keep]
-            best = np.lexsort((rows, -cosines))[:k]
-            rows, cosines = rows[best], cosines[best]
+            found = queries[open_] @ laid
+            if skip is not None:
+                found[place[None, :] == skip[open_, None]] = 0
+            found = np.concatenate((cosines[open_], found), axis=1)
+            where = np.concatenate((rows[open_], np.broadcast_to(place, (len(open_), len(place)))), axis=1)
+            value = np.where(found > 1e-12, np.round(found, 12) - where * 1e-16, 0)
+            best = np.argpartition(-value, k - 1, axis=1)[:, :k]
+            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(value, best, axis=1), axis=1, kind="stable"), axis=1)
+            good = np.take_along_axis(value, best, axis=1) > 0
+            rows[open_] = np.where(good, np.take_along_axis(where, best, axis=1), -1)
+            cosines[open_] = np.where(good, np.take_along_axis(found, best, axis=1), 0)
         return rows, cosines
 
 
@@ -141,7 +141,8 @@ class ToxicityModel:
         vectors = []
         for e in sample:
             at, term = terms.find(e.terms)
-            vectors.append((term, self._unit(term, e.counts[at])))
+            weight = (1 + np.log(e.counts[at])) * self.idf[term]
+            vectors.append((term, weight / max(np.linalg.norm(weight), 1e-12)))
         # examples that share their strongest term lie in the same blocks, which keeps the bounds low
         strongest = np.array([term[weight.argmax()] if len(term) else -1 for term, weight in vectors], dtype=np.int64)
         order = np.lexsort((labels, strongest))
@@ -153,43 +154,48 @@ class ToxicityModel:
         sizes = np.bincount(labels, minlength=2)
         self.share = totals.get(1, 0) / max(sum(totals.values()), 1)
         both = sizes.min() > 0
-        weight = np.array([totals.get(c, 0) / max(sizes[c], 1) for c in (0, 1)])[self.labels] if both else np.ones(len(labels))
-        raw = np.array([self._vote(*self._near(*v, skip)) for skip, v in enumerate(vectors)])
-        self.at, self.chance = isotonic(raw, self.labels, weight) if both else (np.zeros(1), np.full(1, self.share))
-
-    def _unit(self, term: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        weights = (1 + np.log(counts)) * self.idf[term]
-        return weights / max(np.linalg.norm(weights), 1e-12)
-
-    def _near(self, term: np.ndarray, weight: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        return self.index.search(term, weight, NEIGHBOURS, skip) if len(term) else (np.zeros(0, np.int64), np.zeros(0))
-
-    def _vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
+        share = np.array([totals.get(c, 0) / max(sizes[c], 1) for c in (0, 1)])[self.labels] if both else np.ones(len(labels))
+        raw = np.zeros(len(vectors))
+        for some in self.batches(len(vectors)):
+            own = (row >= some.start) & (row < some.stop)
+            queries = np.zeros((some.stop - some.start, len(terms.keys)))
+            queries[row[own] - some.start, term[own]] = weight[own]
+            raw[some] = self._vote(*self.index.search(queries, NEIGHBOURS, np.arange(some.start, some.stop)))
+        self.at, self.chance = isotonic(raw, self.labels, share) if both else (np.zeros(1), np.full(1, self.share))
+
+    def batches(self, n: int) -> Iterator[slice]:
+        """Slices of so many texts that their vectors hold a bounded number of weights."""
+        step = max(1, min(512, (1 << 21) // max(len(self.terms.keys), 1)))
+        return (slice(at, min(at + step, n)) for at in range(0, n, step))
+
+    def _vote(self, near: np.ndarray, cosine: np.ndarray) -> np.ndarray:
         """-1 without neighbours, else the weighted share of label 1."""
-        if not len(near):
-            return -1.0
-        weight = 1 / (np.maximum(1 - cosine, 0) + 0.05)
-        return float((weight * self.labels[near]).sum() / weight.sum())
+        weight = np.where(near >= 0, 1 / (np.maximum(1 - cosine, 0) + 0.05), 0)
+        total = weight.sum(axis=1)
+        labels = np.append(self.labels, 0)[near]
+        return np.where(total > 0, (weight * labels).sum(axis=1) / np.maximum(total, 1e-12), -1.0)
 
     def explain(self, column: pa.Array) -> tuple[np.ndarray, pa.Array]:
         """Score and evidence (a list of doc_id, label, cosine) of each text."""
-        n, size = len(column), max(len(self.terms.keys), 1)
+        n, size = len(column), len(self.terms.keys)
         owner, hashes = term_hashes(column)
         at, term = self.terms.find(hashes)
-        key, counts = np.unique(owner[at] * size + term, return_counts=True)
-        text, term = key // size, key % size
+        key, counts = np.unique(owner[at] * max(size, 1) + term, return_counts=True)
+        text, term = key // max(size, 1), key % max(size, 1)
         ends = np.searchsorted(text, np.arange(n + 1))
-        raw, seen, evidence = np.full(n, -1.0), {}, [(np.zeros(0, np.int64), np.zeros(0))] * n
-        for k in np.unique(text).tolist():
-            own, times = term[ends[k] : ends[k + 1]], counts[ends[k] : ends[k + 1]]
-            copy = seen.setdefault((own.tobytes(), times.tobytes()), k)
-            evidence[k] = self._near(own, self._unit(own, times)) if copy == k else evidence[copy]
-            raw[k] = self._vote(*evidence[k])
+        rows, cosines = np.full((n, NEIGHBOURS), -1), np.zeros((n, NEIGHBOURS))
+        for some in self.batches(n):
+            own = slice(ends[some.start], ends[some.stop])
+            queries = np.zeros((some.stop - some.start, size))
+            queries[text[own] - some.start, term[own]] = (1 + np.log(counts[own])) * self.idf[term[own]]
+            queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
+            rows[some], cosines[some] = self.index.search(queries, NEIGHBOURS)
+        raw = self._vote(rows, cosines)
         score = np.clip(0.99 * np.interp(raw, self.at, self.chance) + 0.01 * np.maximum(raw, 0), 0, 1)
-        near, cosine = (np.concatenate([e[j] for e in evidence]) if n else np.zeros(0) for j in (0, 1))
-        near = near.astype(np.int64)
-        structs = pa.StructArray.from_arrays([pa.array(self.doc_ids[near]), pa.array(self.labels[near].astype(np.int32)), pa.array(cosine)], names=["doc_id", "label", "cosine"])
-        return score, pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(e[0]) for e in evidence)]), pa.int32()), structs)
+        good = rows >= 0
+        near = rows[good]
+        structs = pa.StructArray.from_arrays([pa.array(self.doc_ids[near]), pa.array(self.labels[near].astype(np.int32)), pa.array(cosines[good])], names=["doc_id", "label", "cosine"])
+        return score, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(good.sum(axis=1)))), pa.int32()), structs)
 
     def score(self, column: pa.Array) -> np.ndarray:
         return self.explain(column)[0]
