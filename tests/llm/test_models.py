@@ -59,6 +59,57 @@ def test_leaks(spark):
     assert two == {k: len(v) for k, v in got.items()}
 
 
+def test_leaks_equal_brute_force(spark):
+    """Every window of every item's size, and few pairs that the anchors let in."""
+    from collections import Counter
+
+    rng = random.Random(31)
+    words = [f"v{k}" for k in range(500)]
+    items = [[rng.choice(words) for _ in range(rng.choice((12, 30, 60)))] for _ in range(60)] + [["la"] * 9 + ["lo"] * 9, words[:5]]
+    texts = []
+    for k in range(160):
+        text = [rng.choice(words) for _ in range(rng.randrange(0, 120))]
+        if k % 2:
+            part = list(rng.choice(items))
+            for _ in range(rng.randrange(4)):
+                part[rng.randrange(len(part))] = rng.choice(words)
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = part
+        texts.append(text)
+
+    def grams(words):
+        return Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+
+    want = {}
+    for t, text in enumerate(texts):
+        for k, item in enumerate(items):
+            best = 0.0
+            for at in range(max(1, len(text) - len(item) + 1)):
+                a, b = grams(text[at : at + len(item)]), grams(item)
+                shared = sum((a & b).values())
+                best = max(best, shared / (sum(a.values()) + sum(b.values()) - shared) if shared else 0)
+            if best >= 0.8:
+                want[t, k] = round(best, 9)
+    docs = spark.createDataFrame([(t, " ".join(w), "x") for t, w in enumerate(texts)], "doc_id long, text string, `leaks.d` string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    for found in (dc.find_leaks(docs, bench), _in_blocks(docs, bench, 2000)):
+        assert {(r.doc_id, m.item_id): round(m.similarity, 9) for r in found.collect() for m in r._leaks} == want and len(want) > 20
+    with pytest.raises(ValueError, match="leaks.d"):
+        dc.find_leaks(docs, bench, out="leaks.d")
+    index = dc.ItemIndex([(k, " ".join(w).encode()) for k, w in enumerate(items)], 0.8, 20)
+    columns = pa.array([" ".join(w).encode() for w in texts], pa.binary())
+    pairs, wanted = 0, index.wanted
+    index.wanted = lambda keys: pairs_of(wanted(keys))
+
+    def pairs_of(found):
+        nonlocal pairs
+        pairs += len(found)
+        return found
+
+    index.scan(columns)
+    assert pairs <= 0.05 * len(items) * len(texts)
+
+
 def _in_blocks(docs, bench, size=100):
     whole = dc.item_blocks
     try:
