@@ -51,10 +51,10 @@ def texts(values: list[str]) -> Column:
     return F.array(*(F.lit(v) for v in values)).cast("array<string>")
 
 
-def eligible(path: Column, size: Column, folders: Column, config_dir: Column) -> Column:
-    """Markdown, not oversized and not in an excluded folder; needs no content."""
+def eligible(path: Column, size: Column, folders: Column, config_dir: Column, most: int = MAX_BYTES) -> Column:
+    """Markdown, not beyond ``most`` bytes and not in an excluded folder; needs no content."""
     none = F.array().cast("array<string>")
-    return F.lower(path).endswith(".md") & (size <= MAX_BYTES) & ~is_excluded(path, none, folders, none, config_dir)
+    return F.lower(path).endswith(".md") & (size <= most) & ~is_excluded(path, none, folders, none, config_dir)
 
 
 def allowed(path: Column, size: Column, tags: Column, folders: Column, excluded_tags: Column, config_dir: Column) -> Column:

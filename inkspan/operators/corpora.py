@@ -2,34 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.functions import text as tx
 
-#: Passages up to this number are compared directly where they are too short for an anchor.
-SHORT_PASSAGES = 1000
+
+def _grams(text: Column, most: int = 3) -> Column:
+    """Distinct runs of 1 to ``most`` characters."""
+    runs = (F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i, n=n: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(1, most + 1))
+    return F.array_distinct(F.flatten(F.array(*runs)))
 
 
 def passage_relevance(notes: DataFrame, passages: DataFrame, grade: int = 2) -> DataFrame:
     """(key, path, grade): notes (path, text) that contain a passage (key, query) verbatim.
 
-    A passage's longest inner word must be a word of the note, so notes and passages meet by an equi-join on words before the
-    containment test. Passages of fewer than three words have no inner word; they are few and compared directly.
+    A passage's longest inner word must be a word of the note, so paths and passages meet by an equi-join on words; passages of
+    fewer than three words have no inner word and meet by their first three characters. Texts join by path for the
+    containment test alone.
     """
     words = F.split("query", " ")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     anchor = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1)["w"]
     keyed = passages.select("key", "query", F.when(F.size(words) > 2, anchor).alias("_word"))
-    told = notes.select("path", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("_word"))
-    long = told.join(keyed.where("_word is not null"), "_word").where(F.contains("text", F.col("query")))
-    short = keyed.where("_word is null and query <> ''")
-    found = long.select("key", "path")
+    told = notes.select("path", F.explode(F.array_distinct(F.split("text", " "))).alias("_word"))
+    pairs = told.join(keyed.where("_word is not null"), "_word").select("key", "query", "path")
+    short = keyed.where("_word is null and query <> ''").withColumn("_word", F.substring("query", 1, 3))
     if not short.isEmpty():
-        if short.limit(SHORT_PASSAGES + 1).count() > SHORT_PASSAGES:
-            raise ValueError("too many passages of fewer than three words")
-        found = found.unionByName(notes.join(F.broadcast(short), F.contains(notes["text"], short["query"])).select("key", "path"))
-    return found.distinct().withColumn("grade", F.lit(grade))
+        spelled = notes.select("path", F.explode(_grams(F.col("text"))).alias("_word"))
+        pairs = pairs.unionByName(spelled.join(short, "_word").select("key", "query", "path"))
+    found = pairs.distinct().join(notes.select("path", "text"), "path").where(F.contains("text", F.col("query")))
+    return found.select("key", "path").distinct().withColumn("grade", F.lit(grade))
 
 
 def word_relevance(notes: DataFrame, least: int = 3, most: int = 12, most_notes: int = 4, limit: int = 400) -> tuple[DataFrame, DataFrame]:
@@ -52,7 +55,7 @@ def bigram_noise(notes: DataFrame, words: DataFrame) -> DataFrame:
     told = notes.select("path", folded.alias("_t")).where(F.length("_t") > 1).select("path", F.explode(F.array_distinct(pairs)).alias("bigram"))
     asked = words.select("word", F.explode(F.array_distinct(tx.bigrams(F.col("word")))).alias("bigram"))
     own = notes.select("path", F.explode(F.array_distinct(F.regexp_extract_all(folded, F.lit(r"([\p{IsKatakana}ー]+)"), F.lit(1)))).alias("word"))
-    near = told.join(F.broadcast(asked), "bigram").select("word", "path").distinct().join(own, ["word", "path"], "left_anti")  # words are a bounded query set
+    near = told.join(asked, "bigram").select("word", "path").distinct().join(own, ["word", "path"], "left_anti")
     return words.select("word").join(near.groupBy("word").agg(F.count("*").alias("noise")), "word", "left").select("word", F.coalesce("noise", F.lit(0)).alias("noise"))
 
 

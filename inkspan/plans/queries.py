@@ -401,8 +401,9 @@ def exclusion_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT lang, count(*) AS notes, CAST(sum(CASE WHEN octet_length(encode(text)) > 20000 THEN 1 ELSE 0 END) AS BIGINT) AS skipped FROM documents GROUP BY lang")
 def oversize_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.octet_length("text")
-    return _table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("notes"), F.sum(F.when(size > 20000, 1).otherwise(0)).cast("long").alias("skipped"))
+    path = F.concat(F.col("doc_id").cast("string"), F.lit(".md"))
+    fit = policy.eligible(path, F.octet_length("text"), policy.texts(["Private"]), F.lit(""), 20000)
+    return _table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("notes"), F.sum(F.when(fit, 0).otherwise(1)).cast("long").alias("skipped"))
 
 
 @_query("SELECT page_id, left(regexp_replace(url, '[\\\\/:*?\"<>|#^\\[\\]]', '_', 'g'), 120) AS name FROM pages")

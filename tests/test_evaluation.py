@@ -128,6 +128,29 @@ def test_stream_keeps_the_index_current(spark, tmp_path):
         query.stop()
 
 
+def test_a_writer_that_dies_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/index"
+    keep = IndexMaintainer(spark, root)
+    keep.rebuild(spark.createDataFrame([("a.md", "", "first words"), ("b.md", "", "other words")], "path string, title string, text string"))
+    batch = spark.createDataFrame([change(1, "modify", "a.md", "second words")], DDL)
+    # dies after the tables, before the mark
+    with monkeypatch.context() as m:
+        m.setattr(keep.spark, "createDataFrame", lambda *a, **b: (_ for _ in ()).throw(OSError("gone")) if a[1:] == ("value string",) else type(spark).createDataFrame(spark, *a, **b))
+        with pytest.raises(OSError, match="gone"):
+            keep.apply(batch, 0)
+    assert keep.version == 0 and search(keep.current(), "first", 5).count() == 1
+    # a mark without commit counts for nothing
+    (tmp_path / "index" / "current-7.json").mkdir()
+    again = IndexMaintainer(spark, root)
+    again.apply(batch, 0)
+    assert again.version == 1 and search(again.current(), "second", 5).count() == 1 and search(again.current(), "first", 5).count() == 0
+    again.apply(batch, 0)  # the batch ran already
+    assert again.version == 1
+    for k in range(4):
+        again.clear()
+    assert again.version == 5 and not (tmp_path / "index" / "v1").exists() and (tmp_path / "index" / "v3").exists()
+
+
 @pytest.mark.parametrize("name", ["corpus_hash", "chunk_general_literals", "exclusion_policy", "cache_ttl_lru"])
 def test_entry(spark, name):
     import __spark_entry__ as entry
