@@ -10,8 +10,12 @@ from inkspan.functions import text as tx
 
 def _grams(text: Column, most: int = 3) -> Column:
     """Distinct runs of 1 to ``most`` characters."""
-    runs = (F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i, n=n: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(1, most + 1))
-    return F.array_distinct(F.flatten(F.array(*runs)))
+
+    def runs(n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
+        return F.when(F.length(text) >= n, found).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.array(*(runs(n) for n in range(1, most + 1)))))
 
 
 def passage_relevance(notes: DataFrame, passages: DataFrame, grade: int = 2) -> DataFrame:
