@@ -12,6 +12,7 @@ from inkspan.llm.secretscan import op7_secretscan
 from inkspan.llm.sharding import op1_sharding
 from inkspan.llm.simhash import op6_simhash
 from inkspan.llm.toxicity import op2_toxicity
+from inkspan.llm.turns import op13_turns
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_linededup": op9_linededup,
     "op10_packing": op10_packing,
+    "op13_turns": op13_turns,
 }
 
 #: CRC-32 by its table, made from the polynomial; the same ranks as the operator.
@@ -41,4 +43,22 @@ links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM sound a JOIN sound b ON a.lab
 reach AS (SELECT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
 SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e LEFT JOIN (SELECT u, count(*) AS n FROM links GROUP BY u) k ON k.u = e.vec_id LEFT JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) c ON c.u = e.vec_id"""
 
-ORACLE_SQL: dict[str, str] = {"op1_sharding": _OP1, "op3_embeddings": _OP3}
+#: The same damage; one recursion a row over whole conversations, which writes the repaired text as it goes.
+_OP13 = r"""WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+named AS (SELECT coalesce('c' || conv_id, '-') AS conv, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS h FROM conversations),
+dealt AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(CAST(length(h) // 2 AS BIGINT)), lambda k: CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS d FROM named, crc),
+rows_ AS (SELECT conv, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM dealt, range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+placed AS (SELECT *, left(role, 1) AS r, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS i FROM rows_),
+marked AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault, lag(r) OVER (PARTITION BY conv ORDER BY i) AS before FROM placed),
+steps(p, r, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2), (0, 'D', 0), (1, 'D', 1), (2, 'D', 2), (3, 'D', 3)),
+fills(p, m, price, letters, lines) AS (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 3, 'I', 'user:' || chr(10)), (1, 2, 3, 'I', 'user:' || chr(10)), (3, 2, 3, 'I', 'user:' || chr(10)), (2, 3, 3, 'I', 'assistant:' || chr(10)), (0, 3, 6, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (1, 3, 6, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (3, 3, 6, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (2, 2, 6, 'II', 'assistant:' || chr(10) || 'user:' || chr(10))),
+least AS (SELECT DISTINCT conv, CAST(0 AS BIGINT) AS i, 0 AS p, {'cost': CAST(0 AS BIGINT), 'audit': '', 'body': ''} AS b FROM marked
+UNION ALL SELECT least.conv, least.i + 1, s.q, min({'cost': b.cost + f.price + CASE e WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN m.fault = 't' AND e <> 'D' THEN 3 ELSE 0 END, 'audit': b.audit || f.letters || e, 'body': b.body || f.lines || CASE e WHEN 'D' THEN '' WHEN 'K' THEN m.role || ':' || m.text || chr(10) ELSE CASE s.r WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || m.text || chr(10) END})
+FROM least JOIN marked m ON m.conv = least.conv AND m.i = least.i + 1 JOIN fills f ON f.p = least.p JOIN steps s ON s.p = f.m, (VALUES ('D'), ('K'), ('R')) edits(e)
+WHERE (e = 'D' AND s.r = 'D') OR (m.fault NOT IN ('b', 'd') AND ((e = 'K' AND s.r = m.r) OR (e = 'R' AND s.r IN ('u', 'a')))) GROUP BY least.conv, least.i, s.q),
+facts AS (SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv),
+chosen AS (SELECT conv, min({'cost': b.cost + f.price, 'audit': b.audit || f.letters, 'body': b.body || f.lines}) AS b FROM least JOIN facts USING (conv) JOIN fills f ON f.p = least.p WHERE i = n AND (f.m = 3 OR (f.m = 0 AND least.p = 0)) GROUP BY conv)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(b.cost, 0) AS BIGINT) AS cost, coalesce(b.audit, '') AS audit, sha256(CASE WHEN coalesce(b.body, '') = '' THEN '' ELSE left(b.body, length(b.body) - 1) END) AS repaired_sha256
+FROM (SELECT DISTINCT conv, conv_id FROM named) LEFT JOIN facts USING (conv) LEFT JOIN chosen USING (conv)"""
+
+ORACLE_SQL: dict[str, str] = {"op1_sharding": _OP1, "op3_embeddings": _OP3, "op13_turns": _OP13}
