@@ -6,6 +6,7 @@ from inkspan.llm.decontamination import op5_decontamination
 from inkspan.llm.embeddings import op3_embeddings
 from inkspan.llm.language import op8_language
 from inkspan.llm.linededup import op9_linededup
+from inkspan.llm.mixing import op11_mixing
 from inkspan.llm.packing import op10_packing
 from inkspan.llm.quality import op4_quality
 from inkspan.llm.secretscan import op7_secretscan
@@ -13,6 +14,7 @@ from inkspan.llm.sharding import op1_sharding
 from inkspan.llm.simhash import op6_simhash
 from inkspan.llm.toxicity import op2_toxicity
 from inkspan.llm.turns import op13_turns
+from inkspan.llm.whitening import op12_whitening
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_linededup": op9_linededup,
     "op10_packing": op10_packing,
+    "op11_mixing": op11_mixing,
+    "op12_whitening": op12_whitening,
     "op13_turns": op13_turns,
 }
 
