@@ -17,7 +17,7 @@ parallel form.
 
 Defined cases: null role, text, turn and conv_id (a conversation of its own) count as one space in strings, a null turn comes first; turns
 of one number go by role and text; rows that repeat are duplicates; texts are taken whole, whatever their length; role initials go by
-case, other ones than s, u and a are never kept; a conversation without rows needs no edits; a gap count beyond a long is null; an empty
+case, turns of other ones than s, u and a, or of an empty role, are never kept; a conversation without rows needs no edits; a gap count beyond a long is null; an empty
 table gives an empty result; further columns are ignored, whatever their names. Equal texts are told by MD5.
 """
 
