@@ -22,13 +22,15 @@ from inkspan.functions.policy import MAX_BYTES
 POINTS, OVERLAP = 1200, 120
 STEP = POINTS - OVERLAP
 
-# What counts as front matter, line end, fence, heading and paragraph break.
-_FRONT = re.compile("\ufeff?---[ \t]*")
-_FRONT_END = re.compile(r"(?:---|\.\.\.)[ \t]*")
-_LINES = re.compile("[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+")
+# What counts as a line, front matter, a fenced block, a heading and a paragraph break.
+_BEGIN, _END, _REST = r"(?:\A|(?<=\n)|(?<=\r)(?!\n))", r"(?=[\r\n]|\Z)", r"[^\r\n\u2028\u2029]"
 _LINE_END = re.compile("\n|\r(?!\n)")
-_FENCE = re.compile("( {0,3})(`{3,}|~{3,})([^\r\n\u2028\u2029]*)")
-_HEADING = re.compile("[ ]{0,3}#{1,6}(?:[ \t]+([^\r\n\u2028\u2029]*)|[ \t]*)")
+_FRONT = re.compile("\ufeff?---[ \t]*" + _END)
+_FRONT_BLOCK = re.compile(_FRONT.pattern + rf"(?s:.*?){_BEGIN}(?:---|\.\.\.)[ \t]*{_END}(?:\r\n|\r|\n)?")
+_FENCED = r"(?P<{0}>{1}{{3,}}+)(?:(?!{2}){3})*{4}(?s:.*?)(?:{5} {{0,3}}(?P={0}){1}*[ \t]*{4}|\Z)"
+_MARK = re.compile(
+    rf"{_BEGIN} {{0,3}}(?:{_FENCED.format('ticks', '`', '`', _REST, _END, _BEGIN)}|{_FENCED.format('waves', '~', '(?!)', _REST, _END, _BEGIN)}|(?P<heading>#{{1,6}}(?:[ \t]+(?P<title>{_REST}*)|[ \t]*){_END}))"
+)
 _CLOSING = re.compile("[ \t]+#+[ \t]*$")
 _PARAGRAPH = re.compile("(?:\r?\n|\r(?!\n))[ \t]*(?:\r?\n|\r(?!\n))")
 
@@ -51,51 +53,34 @@ def fixed_windows(text: Column) -> Column:
     return F.filter(F.transform(F.sequence(F.lit(0), last), window), lambda w: ~tx.is_blank(w["text"]))
 
 
-def windows(section: str, first_line: int) -> Iterator[tuple[str, int]]:
-    """(text, start line) of a section's windows: cut behind the last blank line, else hard with overlap."""
-    ends = [m.start() for m in _LINE_END.finditer(section)]
-    at = 0
-    while at < len(section):
-        end = min(at + POINTS, len(section))
-        hard = end < len(section)
-        if hard:
-            breaks = [m.end() for m in _PARAGRAPH.finditer(section[at:end])]
-            if breaks:
-                end, hard = at + breaks[-1], False
-        body = section[at:end]
-        if body.strip(tx.SPACES):
-            yield body, first_line + bisect_left(ends, at)
-        if end == len(section):
-            return
-        at = end - OVERLAP if hard else end
-
-
-def sections(text: str) -> Iterator[tuple[str, str, int]]:
-    """(heading, section, first line); nothing where front matter is not closed."""
-    lines = _LINES.findall(text)
-    bare = [x.rstrip("\r\n") for x in lines]
+def headings(text: str) -> list[tuple[int, str]]:
+    """(place, title) where sections begin: what is left after front matter, then every heading outside fenced blocks; none if front matter is not closed."""
+    front = _FRONT_BLOCK.match(text)
+    if front is None and _FRONT.match(text):
+        return []
+    first = front.end() if front else 0
+    # a fenced block is one match, so the headings in it are not found
+    return [(first, "")] + [(m.start(), _CLOSING.sub("", m["title"] or "").strip(tx.SPACES)) for m in _MARK.finditer(text, first) if m["heading"]]
+
+
+def spans(section: str) -> list[tuple[int, int]]:
+    """(begin, end) of the windows of a section: cut behind the last blank line that fits, else hard, and then the next one overlaps."""
+    out: list[tuple[int, int]] = []
     begin = 0
-    if lines and _FRONT.fullmatch(bare[0]):
-        begin = next((k for k in range(1, len(bare)) if _FRONT_END.fullmatch(bare[k])), len(bare)) + 1
-        if begin > len(bare):
-            return
-    heading, start, fence = "", begin, None
-    for k in range(begin, len(lines)):
-        mark = _FENCE.fullmatch(bare[k])
-        if fence:
-            if mark and mark[2][0] == fence[0] and len(mark[2]) >= fence[1] and not mark[3].strip(" \t"):
-                fence = None
-        elif mark and not (mark[2][0] == "`" and "`" in mark[3]):
-            fence = mark[2][0], len(mark[2])
-        elif title := _HEADING.fullmatch(bare[k]):
-            yield heading, "".join(lines[start:k]), start + 1
-            heading, start = _CLOSING.sub("", title[1] or "").strip(tx.SPACES), k
-    yield heading, "".join(lines[start:]), start + 1
+    while begin < len(section):
+        behind = [m.end() for m in _PARAGRAPH.finditer(section, begin, begin + POINTS)][-1:] if begin + POINTS < len(section) else [len(section)]
+        out.append((begin, *behind) if behind else (begin, begin + POINTS))
+        begin = behind[0] if behind else begin + STEP
+    return out
 
 
 def fragments(text: str) -> list[tuple[str, str, int]]:
     """(heading, text, start line) of every chunk of a note."""
-    return [(heading, body, line) for heading, section, first in sections(text) for body, line in windows(section, first)]
+    marks = headings(text)
+    ends = [at for at, _ in marks[1:]] + [len(text)]
+    line_ends = [m.start() for m in _LINE_END.finditer(text)]
+    pieces = [(title, at + b, at + e) for (at, title), end in zip(marks, ends, strict=False) for b, e in spans(text[at:end])]
+    return [(title, text[b:e], 1 + bisect_left(line_ends, b)) for title, b, e in pieces if text[b:e].strip(tx.SPACES)]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
