@@ -15,13 +15,16 @@ from inkspan.functions import policy
 from inkspan.functions import text as tx
 from inkspan.operators import cache, corpora, metrics, rerank
 from inkspan.operators.chunk import chunk, is_plain
+from inkspan.operators.impacts import ImpactIndex
 from inkspan.operators.index import Index, build, field_tokens, from_chunks, remove, upsert
-from inkspan.operators.search import first_of_each_note, idf, query_terms, scores, search_many
+from inkspan.operators.search import first_of_each_note, idf, query_terms, rank_order, scores, search_many
 from inkspan.sources.notes import document_notes
 from inkspan.streaming.changes import last_by_path, operations
+from inkspan.streaming.segments import SegmentedIndex
 
 LIMIT = 50
 QUERY_TEXT = "the thing and tionreen"
+COMMON_TEXT = "the and of to"
 
 # Parts of SQL that several queries share -----------------------------------------------------------------------
 
@@ -99,17 +102,50 @@ def scratch(spark: SparkSession) -> str:
     return f"{(folder or 'file://' + tempfile.gettempdir()).rstrip('/')}/inkspan-index-{uuid.uuid4().hex}"
 
 
-_SAVED: dict[tuple[str, str], Index] = {}
+_SAVED: dict[tuple[str, str, str], tuple[tuple, object]] = {}
+
+
+def _signature(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """Names, sizes and times of a table's files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while found.hasNext():
+        status = found.next()
+        out.append((str(status.getPath()), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def _saved(spark: SparkSession, sf_dir: str, kind: str, make: Callable[[str], object]) -> object:
+    """What ``make`` wrote to a folder once in an application; made anew when the documents changed or the folder is gone."""
+    key, now = (spark.sparkContext.applicationId, sf_dir, kind), _signature(spark, sf_dir, "documents")
+    if key in _SAVED and _SAVED[key][0][1:] == now and _exists(spark, _SAVED[key][0][0]):
+        return _SAVED[key][1]
+    path = scratch(spark)
+    made = make(path)
+    _SAVED[key] = ((path, *now), made)
+    return made
 
 
 def _index(spark: SparkSession, sf_dir: str) -> Index:
     """The index of the documents, built and saved once in an application; queries then read the row groups of their terms."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _SAVED:
-        index, path = built_index(spark, sf_dir), scratch(spark)
+
+    def make(path: str) -> Index:
+        index = built_index(spark, sf_dir)
         index.save(path)
-        _SAVED[key] = Index.load(spark, path, index.tokenizer, index.stable)
-    return _SAVED[key]
+        return Index.load(spark, path, index.tokenizer, index.stable)
+
+    return _saved(spark, sf_dir, "index", make)
+
+
+def _impacts(spark: SparkSession, sf_dir: str) -> ImpactIndex:
+    """The same postings by falling impact."""
+    return _saved(spark, sf_dir, "impacts", lambda path: ImpactIndex.save(_index(spark, sf_dir), path))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,15 +202,35 @@ def _query(sql: str | None = None) -> Callable:
 # Retrieval ------------------------------------------------------------------------------------------------------
 
 
-@_query(
-    f"WITH {_scores_sql(f'SELECT $$q$$ AS key, $${QUERY_TEXT}$$ AS query')} SELECT path, title, CAST(start_line AS INT) AS start_line, CAST(ordinal AS INT) AS ordinal, round(score, 6) AS score, CAST(pos AS INT) AS pos FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, path, start_line, ordinal) AS pos FROM scores JOIN chunks USING (path, ordinal)) WHERE pos <= {LIMIT}"
-)
+def _top_sql(query: str) -> str:
+    return f"WITH {_scores_sql(f'SELECT $$q$$ AS key, $${query}$$ AS query')} SELECT path, title, CAST(start_line AS INT) AS start_line, CAST(ordinal AS INT) AS ordinal, round(score, 6) AS score, CAST(pos AS INT) AS pos FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, path, start_line, ordinal) AS pos FROM scores JOIN chunks USING (path, ordinal)) WHERE pos <= {LIMIT}"
+
+
+@_query(_top_sql(QUERY_TEXT))
 def bm25_topk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.createDataFrame([("q", QUERY_TEXT)], "key string, query string")
     hits = search_many(_index(spark, sf_dir), asked, LIMIT)
     return hits.select("path", "title", "start_line", F.substring_index("id", "#", -1).cast("int").alias("ordinal"), F.round("score", 6).alias("score"), "pos")
 
 
+def _pruned(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    hits = _impacts(spark, sf_dir).top(query, LIMIT).hits
+    best = W.orderBy(*rank_order())  # LIMIT rows
+    return hits.select("path", "title", "start_line", F.substring_index("id", "#", -1).cast("int").alias("ordinal"), F.round("score", 6).alias("score"), F.row_number().over(best).alias("pos"))
+
+
+@_query(_top_sql(QUERY_TEXT))
+def bm25_topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best chunks, from the postings that can make a chunk one of them."""
+    return _pruned(spark, sf_dir, QUERY_TEXT)
+
+
+@_query(_top_sql(COMMON_TEXT))
+def bm25_topk_pruned_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for words that most documents of a language have."""
+    return _pruned(spark, sf_dir, COMMON_TEXT)
+
+
 @_query(f"WITH {_scores_sql(_BENCH)} SELECT key, path, CAST(ordinal AS INT) AS ordinal, round(score, 6) AS score, CAST(pos AS INT) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(score, 9) DESC, path, start_line, ordinal) AS pos FROM scores JOIN chunks USING (path, ordinal)) WHERE pos <= 10")
 def search_many_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = search_many(_index(spark, sf_dir), _asked(spark, sf_dir), 10)
@@ -501,3 +557,29 @@ def incremental_equals_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.createDataFrame([("q", QUERY_TEXT)], "key string, query string")
     a, b = (scores(i, asked).select("id", F.round("score", 9).alias("score")) for i in (index, fresh))
     return a.exceptAll(b).unionByName(b.exceptAll(a))
+
+
+_LAST_NOTES = "notes AS (SELECT lpad(CAST(doc_id AS VARCHAR), 10, '0') AS path, source AS title, CASE WHEN doc_id % 3 = 1 THEN text || ' the changed thing' ELSE text END AS text FROM documents WHERE doc_id % 3 <> 2)"
+_BOTH_SIDES = _scores_sql(f"SELECT $$q$$ AS key, $${QUERY_TEXT}$$ AS query").replace(_NOTES, _LAST_NOTES)
+
+
+@_query(f"WITH {_BOTH_SIDES} SELECT path, CAST(ordinal AS INT) AS ordinal, round(score, 6) AS appended, round(score, 6) AS merged, round(score, 6) AS rebuilt FROM scores")
+def segmented_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of an index that took two batches over all documents (a third edited, a third deleted), before and after its segments merge, and of a rebuilt one."""
+    notes = _notes(spark, sf_dir).withColumn("_role", F.col("path").cast("long") % 3)
+    edited = F.concat("text", F.lit(" the changed thing"))
+    stable = tx.all_stable(notes, "text", "title")
+    kept = SegmentedIndex(spark, scratch(spark), stable=stable)
+    kept.rebuild(notes.drop("_role"))
+    change = [F.col("path").cast("long").alias("stamp"), F.when(F.col("_role") == 1, "modify").otherwise("delete").alias("kind"), "path", F.lit(None).cast("string").alias("old_path"), "title", edited.alias("text")]
+    for batch, role in enumerate((1, 2)):
+        kept.apply(notes.where(F.col("_role") == role).select(*change), batch)
+    version, state = kept.log.latest()
+    kept.merge([s["name"] for s in state["segments"]])
+    fresh = build(notes.where("_role <> 2").withColumn("text", F.when(F.col("_role") == 1, edited).otherwise(F.col("text"))).drop("_role"), stable=stable)
+    asked = spark.createDataFrame([("q", QUERY_TEXT)], "key string, query string")
+    out = None
+    for name, index in (("appended", kept.index(version)), ("merged", kept.index()), ("rebuilt", fresh)):
+        found = scores(index, asked).join(index.chunks.select("id", "path", "ordinal"), "id").select("path", "ordinal", F.round("score", 6).alias(name))
+        out = found if out is None else out.join(found, ["path", "ordinal"], "full")
+    return out
