@@ -10,7 +10,7 @@ from collections.abc import Callable
 from datetime import date, timedelta
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspan import schema
@@ -18,13 +18,25 @@ from inkspan.functions.policy import MAX_BYTES
 from inkspan.functions.text import safe_name  # noqa: F401  used for file names of fetched pages
 
 
+def markdown_files(spark: SparkSession, root: str) -> DataFrame:
+    """All ``.md`` files below ``root`` (path, modificationTime, length, content); what is not selected is not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(root)
+
+
+def relative_path(root: str) -> Column:
+    """The path of a file below ``root``."""
+    base = root.rstrip("/").removeprefix("file://") + "/"
+    return F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + "".join(f"\\{c}" if not c.isalnum() and c not in "/_" else c for c in base), "")
+
+
+def title_of(path: str | Column) -> Column:
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.md$", "")
+
+
 def read_markdown(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Notes (path, title, text, tags, size, mtime) of all ``.md`` files below ``root``; larger files are not opened (the size is pushed to the scan)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_bytes)
-    base = root.rstrip("/").removeprefix("file://") + "/"
-    path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + "".join(f"\\{c}" if not c.isalnum() and c not in "/_" else c for c in base), "")
-    title = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
-    return files.select(path.alias("path"), title.alias("title"), F.decode("content", "UTF-8").alias("text"), F.array().cast("array<string>").alias("tags"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"))
+    files = markdown_files(spark, root).where(F.col("length") <= max_bytes)
+    return files.select(relative_path(root).alias("path"), title_of("path").alias("title"), F.decode("content", "UTF-8").alias("text"), F.array().cast("array<string>").alias("tags"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"))
 
 
 def count_oversized(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> int:
