@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkspan.operators.order import better, order_statistics, with_all
+
+#: Scores are summed in any order, so ranks go by scores rounded to so many places.
+RANK_PLACES = 9
 CUTS = (5, 10, 20, 50, 100, 200, 500, 1000)
 EPSILON = 1e-9
 
@@ -38,6 +42,36 @@ def first_ranks(queries: DataFrame, note_ranks: DataFrame, relevance: DataFrame,
     return queries.select("key", "kind").join(best, "key", "left")
 
 
+def ranks_by_counting(scored: DataFrame, places: DataFrame, queries: DataFrame, relevance: DataFrame, limit: int) -> DataFrame:
+    """The same as ``first_ranks`` from scores (key, id, score) of all matching chunks and their places (id, path, start_line), without ordering them.
+
+    The best relevant chunk of a query is a minimum; its rank is one more than the notes that have a better chunk, its position one more than
+    the better chunks. Both are sums that map tasks begin; only chunks that score as high as the best relevant one meet their places.
+    """
+    best = ("path", "start_line", "id")
+    wanted = places.join(relevance.groupBy("path", "key").agg(F.max("grade").alias("grade")), "path")
+    order = better(F.col("score"), RANK_PLACES, *best)
+    hits = scored.join(wanted, ["key", "id"]).select("key", order.alias("o"), "grade")
+    marks = hits.groupBy("key").agg(F.min("o").alias("any"), F.min(F.when(F.col("grade") >= 2, F.col("o"))).alias("exact"))
+    # a relevant chunk of grade 2 is a relevant one, so it cannot rank before the best
+    far = marks.withColumn("far", F.coalesce("exact", "any"))
+    reach = scored.join(far, "key").where(-F.round("score", RANK_PLACES) <= F.col("far.s")).join(places, "id").withColumn("o", order).where("o < far")
+    of_note = reach.groupBy("key", "path").agg(F.sum(F.when(F.col("o") < F.col("any"), 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("o") < F.col("exact"), 1).otherwise(0)).alias("e"))
+    count = lambda c: F.sum(F.when(F.col(c) > 0, 1).otherwise(0))
+    ahead = of_note.groupBy("key").agg(count("a").alias("notes"), F.sum("a").alias("chunks"), count("e").alias("notes_exact"), F.sum("e").alias("chunks_exact"))
+    both = marks.join(ahead, "key", "left")
+    rank = lambda c: (F.coalesce(c, F.lit(0)) + 1).cast("int")
+    exact = F.col("exact").isNotNull()
+    out = both.select(
+        "key",
+        rank("notes").alias("deep_rank"),
+        F.when(rank("chunks") <= limit, rank("notes")).alias("rank"),
+        F.when(exact, rank("notes_exact")).alias("deep_rank_exact"),
+        F.when(exact & (rank("chunks_exact") <= limit), rank("notes_exact")).alias("rank_exact"),
+    )
+    return queries.select("key", "kind").join(out, "key", "left")
+
+
 def recall_table(ranks: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
     """For all queries (kind ``all``) and each kind: queries, hit shares at the cuts, matched share, mrr, median rank."""
     hit = [F.avg(F.when(F.col("deep_rank") <= k, 1.0).otherwise(0.0)).alias(f"recall_{k}") for k in cuts]
@@ -47,9 +81,10 @@ def recall_table(ranks: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
         *hit,
         F.avg(F.when(F.col("deep_rank").isNotNull(), 1.0).otherwise(0.0)).alias("matched"),
         F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"),
-        upper_median(F.col("rank")).alias("median_rank"),
     )
-    return out.withColumn("kind", F.when(F.col("_all") == 1, "all").otherwise(F.col("kind"))).drop("_all")
+    out = out.withColumn("kind", F.when(F.col("_all") == 1, "all").otherwise(F.col("kind"))).drop("_all")
+    medians = order_statistics(with_all(ranks.select("kind", "rank"), "kind"), ["kind"], "rank", {"median_rank": 0.5}).drop("n")
+    return out.join(medians.withColumnRenamed("kind", "_kind"), F.col("kind").eqNullSafe(F.col("_kind")), "left").drop("_kind")
 
 
 def miss_causes(ranks: DataFrame, shared: DataFrame, limit: int) -> DataFrame:
@@ -58,14 +93,16 @@ def miss_causes(ranks: DataFrame, shared: DataFrame, limit: int) -> DataFrame:
     none = F.coalesce("n_shared", F.lit(0)) == 0
     count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
     deep = F.col("deep_rank")
-    return missed.agg(
+    out = missed.agg(
         F.count("*").alias("missed"),
         count(none).alias("no_shared_term"),
         count(~none & deep.isNotNull()).alias("ranked_below_cut"),
         count(~none & deep.isNull()).alias("matched_but_absent"),
-        upper_median(deep).alias("deep_rank_median"),
         F.max("deep_rank").alias("deep_rank_max"),
     )
+    median = order_statistics(missed.withColumn("_one", F.lit(1)), ["_one"], "deep_rank", {"deep_rank_median": 0.5})
+    columns = ["missed", "no_shared_term", "ranked_below_cut", "matched_but_absent", "deep_rank_median", "deep_rank_max"]
+    return out.withColumn("_one", F.lit(1)).join(median, "_one", "left").select(*columns)
 
 
 def shared_terms(queries: DataFrame, relevance: DataFrame, notes: DataFrame, tokens_of: object) -> DataFrame:
@@ -110,8 +147,9 @@ def report_samples(hits: DataFrame, size: int = 3) -> DataFrame:
 
 def frame_stats(frames: DataFrame, column: str = "gap_ms", slow_ms: float = 200) -> DataFrame:
     """Largest value, the one at 5 % from the top, how many exceed ``slow_ms``, and the sum."""
-    falling = F.sort_array(F.collect_list(column), asc=False)
-    return frames.agg(F.max(column).alias("max"), F.get(falling, F.floor(F.size(falling) * 0.05).cast("int")).alias("p95"), F.sum(F.when(F.col(column) > slow_ms, 1).otherwise(0)).cast("long").alias("slow"), F.sum(column).alias("total"))
+    sums = frames.agg(F.max(column).alias("max"), F.sum(F.when(F.col(column) > slow_ms, 1).otherwise(0)).cast("long").alias("slow"), F.sum(column).alias("total"))
+    top = order_statistics(frames.withColumn("_one", F.lit(1)), ["_one"], column, {"p95": 0.05}, falling=True)
+    return sums.withColumn("_one", F.lit(1)).join(top, "_one", "left").select("max", "p95", "slow", "total")
 
 
 def ordered_first(df: DataFrame, n: int, *order: str) -> DataFrame:

@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 
 from inkspan.functions import text as tx
 from inkspan.operators.index import FIELD_WEIGHTS, Index
+from inkspan.operators.metrics import RANK_PLACES
 
 #: BM25 saturation and length normalization.
 K1, B = 1.2, 0.75
-#: Scores are summed in any order, so ranks go by scores rounded to 9 places.
-RANK_PLACES = 9
 #: Queries up to this number are broadcast with their terms.
 BROADCAST_QUERIES = 10_000
 
