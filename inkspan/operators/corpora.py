@@ -55,7 +55,7 @@ def bigram_noise(notes: DataFrame, words: DataFrame) -> DataFrame:
     Both sides meet on bigrams; the runs that are the word itself leave by an anti-join.
     """
     folded = tx.fold(F.col("text"))
-    pairs = F.transform(F.sequence(F.lit(1), F.length("_t") - 1), lambda i: F.substring(F.col("_t"), i, F.lit(2)))
+    pairs = F.regexp_extract_all("_t", F.lit("(?s)(?=(..))"), F.lit(1))  # one pass, where substrings by number would count from the start each time
     told = notes.select("path", folded.alias("_t")).where(F.length("_t") > 1).select("path", F.explode(F.array_distinct(pairs)).alias("bigram"))
     asked = words.select("word", F.explode(F.array_distinct(tx.bigrams(F.col("word")))).alias("bigram"))
     own = notes.select("path", F.explode(F.array_distinct(F.regexp_extract_all(folded, F.lit(r"([\p{IsKatakana}ー]+)"), F.lit(1)))).alias("word"))

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -177,10 +177,6 @@ def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.ranks_by_counting(scores(index, asked), index.chunks.select("id", "path", "start_line"), asked, _relevance(spark, sf_dir), LIMIT)
 
 
-def _literals(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
-    return spark.createDataFrame(rows, ddl)
-
-
 def _values(rows: list[tuple], names: str) -> str:
     def one(v: object) -> str:
         if v is None:
@@ -364,17 +360,6 @@ def rank_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.rank_movement(a, b)
 
 
-_KANA = [("a", "プロジェクト計画とデプロイ"), ("b", "プログラマーの日記"), ("c", "デプロイ手順とロイヤル"), ("d", "関係のないメモ"), ("e", "プロ")]
-_WORDS = [("デプロイ",), ("プロジェクト",), ("メモ",)]
-
-
-@_query(
-    f"WITH notes AS (SELECT * FROM {_values(_KANA, 'path, text')}), words AS (SELECT * FROM {_values(_WORDS, 'word')}), told AS (SELECT DISTINCT path, unnest(list_transform(range(1, length(text)), lambda i: substring(text, i, 2))) AS bigram FROM notes WHERE length(text) > 1), asked AS (SELECT DISTINCT word, unnest(list_transform(range(1, length(word)), lambda i: substring(word, i, 2))) AS bigram FROM words), own AS (SELECT DISTINCT path, unnest(regexp_extract_all(text, '[\\p{{Katakana}}ー]+')) AS word FROM notes), near AS (SELECT DISTINCT word, path FROM told JOIN asked USING (bigram) EXCEPT SELECT word, path FROM own) SELECT w.word, count(path) AS noise FROM words w LEFT JOIN near USING (word) GROUP BY w.word"
-)
-def bigram_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpora.bigram_noise(_literals(spark, _KANA, "path string, text string"), _literals(spark, _WORDS, "word string"))
-
-
 @_query(
     f"WITH {_NOTES}, s AS (SELECT DISTINCT path, unnest(string_split(text, chr(10))) AS sentence FROM notes), amb AS (SELECT sentence FROM s GROUP BY sentence HAVING count(DISTINCT path) > 1) SELECT path, count(*) AS unambiguous FROM s WHERE sentence NOT IN (SELECT sentence FROM amb) GROUP BY path"
 )
@@ -409,36 +394,57 @@ def diagnostics_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Text and policy ------------------------------------------------------------------------------------------------
 
-# Inputs and the results that the contract sets for them.
-_TOKENS = [
-    ("bm25 管理 再ランキング", ["bm25", "管理", "w:管理", "c:管", "c:理", "再ラ", "ラン", "ンキ", "キン", "ング", "w:ランキング", "c:再"]),
-    ("Foo_bar 123 a-b 日 あ カ", ["foo_bar", "123", "a", "b", "日", "c:日", "あ", "カ"]),
-    ("𠮷野家 😀 ABC", ["𠮷野", "野家", "w:𠮷野家", "c:𠮷", "c:野", "c:家", "abc"]),
-    ("障害対応", ["障害", "害対", "対応", "w:障害対応", "c:障", "c:害", "c:対", "c:応"]),
-    ("メモ", ["メモ", "w:メモ"]),
-    ("! 😀", []),
-]
+#: Latin letters of the documents and the Han, Hiragana and Katakana that stand for them, so that there is such text to cut.
+_LETTERS, _SCRIPTS = "aeiotnshrdl", "管理ラーあキ障害再ンの"
+_PLAIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+_WIDE = "".join(chr(ord(c) + 0xFEE0) for c in _PLAIN)
+_TOKENS_OF = (
+    r"flatten(list_transform(regexp_extract_all(folded, '[a-z0-9_]+|[\p{Han}\p{Hiragana}\p{Katakana}ー]+'), lambda r: CASE WHEN regexp_matches(r, '^[a-z0-9_]') THEN [r] ELSE "
+    r"CASE WHEN length(r) < 2 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substring(r, i, 2)) END || list_transform(regexp_extract_all(r, '[\p{Katakana}ー]{2,}'), lambda w: 'w:' || w) "
+    r"|| list_transform(regexp_extract_all(r, '\p{Han}{2,8}'), lambda w: 'w:' || w) || list_transform(regexp_extract_all(r, '\p{Han}'), lambda w: 'c:' || w) END))"
+)
+_CJK_BAGS = f"bags AS (SELECT doc_id, {_TOKENS_OF} AS toks FROM (SELECT doc_id, translate(lower(text), '{_LETTERS}', '{_SCRIPTS}') AS folded FROM documents))"
+
 
+def _in_scripts(text: str) -> Column:
+    return F.translate(F.lower(text), _LETTERS, _SCRIPTS)
 
-@_query(f"SELECT text, array_to_string(toks, ' ') AS tokens, CAST(len(toks) AS INT) AS n FROM {_values(_TOKENS, 'text, toks')}")
-def tokenize_cjk_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _literals(spark, [(t,) for t, _ in _TOKENS], "text string").withColumn("_t", tx.tokens(tx.fold(F.col("text"))))
-    return rows.select("text", F.array_join("_t", " ").alias("tokens"), F.size("_t").alias("n"))
 
+def _digests(bags: DataFrame) -> DataFrame:
+    return bags.select("doc_id", F.md5(F.array_join("toks", " ").cast("binary")).alias("tokens"), F.size("toks").alias("n"))
 
-# Inputs and the results that the contract sets for them.
-_WIDE = [("ＢＭ２５", "bm25"), ("ｶﾀｶﾅ", "カタ タカ カナ w:カタカナ"), ("①ﬁ", "1fi")]
+
+@_query(f"WITH {_CJK_BAGS} SELECT doc_id, md5(array_to_string(toks, ' ')) AS tokens, CAST(len(toks) AS INT) AS n FROM bags")
+def tokenize_cjk_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents, their letters replaced by Han, Hiragana and Katakana."""
+    return _digests(_table(spark, sf_dir, "documents").select("doc_id", tx.tokens(tx.fold(_in_scripts("text"))).alias("toks")))
 
 
-@_query(f"SELECT text, tokens FROM {_values(_WIDE, 'text, tokens')}")
+@_query(f"WITH bags AS (SELECT doc_id, {_TOKENS_OF} AS toks FROM (SELECT doc_id, lower(text) AS folded FROM documents)) SELECT doc_id, md5(array_to_string(toks, ' ')) AS tokens, CAST(len(toks) AS INT) AS n FROM bags")
 def tokenize_wide_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _literals(spark, [(t,) for t, _ in _WIDE], "text string")
-    return rows.select("text", F.array_join(tx.tokens(tx.fold(F.col("text"))), " ").alias("tokens"))
+    """Tokens of all documents in full-width letters and digits: those of the plain ones."""
+    return _digests(_table(spark, sf_dir, "documents").select("doc_id", tx.tokens(tx.fold(F.translate("text", _PLAIN, _WIDE))).alias("toks")))
 
 
-@_query(f"SELECT term, CASE WHEN starts_with(term, 'w:') THEN 1.2 WHEN starts_with(term, 'c:') THEN 0.5 ELSE 1.0 END::DOUBLE AS weight FROM {_values([('w:管理',), ('c:管',), ('bm25',), ('管理',)], 'term')}")
+@_query(f"WITH {_CJK_BAGS}, t AS (SELECT unnest(toks) AS term FROM bags) SELECT CASE WHEN starts_with(term, 'w:') THEN 1.2 WHEN starts_with(term, 'c:') THEN 0.5 ELSE 1.0 END::DOUBLE AS weight, count(*) AS tokens, count(DISTINCT term) AS terms FROM t GROUP BY weight")
 def token_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literals(spark, [("w:管理",), ("c:管",), ("bm25",), ("管理",)], "term string").withColumn("weight", tx.token_weight(F.col("term")))
+    """How many tokens of the documents in other scripts have which weight."""
+    terms = _table(spark, sf_dir, "documents").select(F.explode(tx.tokens(tx.fold(_in_scripts("text"), True))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return terms.groupBy(tx.token_weight(F.col("term")).alias("weight")).agg(F.sum("n").alias("tokens"), F.count("*").alias("terms"))
+
+
+_RUNS = r"[\p{Katakana}ー]+"
+
+
+@_query(
+    f"WITH notes AS (SELECT doc_id AS path, translate(lower(text), '{_LETTERS}', '{_SCRIPTS}') AS text FROM documents), words AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(translate(lower(text), '{_LETTERS}', '{_SCRIPTS}'), '{_RUNS}')) AS word FROM benchmark) WHERE length(word) BETWEEN 2 AND 4), told AS (SELECT DISTINCT path, unnest(list_transform(range(1, length(text)), lambda i: substring(text, i, 2))) AS bigram FROM notes WHERE length(text) > 1), asked AS (SELECT DISTINCT word, unnest(list_transform(range(1, length(word)), lambda i: substring(word, i, 2))) AS bigram FROM words), own AS (SELECT DISTINCT path, unnest(regexp_extract_all(text, '{_RUNS}')) AS word FROM notes), near AS (SELECT DISTINCT word, path FROM told JOIN asked USING (bigram) EXCEPT SELECT word, path FROM own) SELECT w.word, count(path) AS noise FROM words w LEFT JOIN near USING (word) GROUP BY w.word"
+)
+def bigram_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For the Katakana words of the benchmark in other scripts: documents that have a bigram of it but not the word."""
+    notes = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), _in_scripts("text").alias("text"))
+    runs = F.regexp_extract_all(_in_scripts("text"), F.lit(r"([\p{IsKatakana}ー]+)"), F.lit(1))
+    words = _table(spark, sf_dir, "benchmark").select(F.explode(runs).alias("word")).where(F.length("word").between(2, 4)).distinct()
+    return corpora.bigram_noise(notes, words)
 
 
 @_query(f"WITH {_INDEX} SELECT path, CAST(ordinal AS INT) AS ordinal, CAST(field AS INT) AS field, CAST(len(toks) AS INT) AS dl FROM bags")
@@ -447,31 +453,36 @@ def field_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bags.select(F.substring_index("id", "#", 1).alias("path"), F.substring_index("id", "#", -1).cast("int").alias("ordinal"), "field", F.size("tokens").alias("dl"))
 
 
-# Inputs and the results that the contract sets for them.
-_PATHS = [("./Private//a.md", "private/a.md"), ("x/../Private/a.md", "private/a.md"), ("../a.md", None), ("a\\.cache\\n.md", "a/.cache/n.md"), ("Archive/old/a.md", "archive/old/a.md"), ("/", ""), ("a/../../b", None)]
+#: A page's address as the path of a note.
+_PAGE = "regexp_replace(url, '^https?://', '')"
 
 
-@_query(f"SELECT path, normalized FROM {_values(_PATHS, 'path, normalized')}")
+@_query(
+    f"SELECT page_id, CASE page_id % 6 WHEN 3 THEN NULL WHEN 5 THEN NULL ELSE lower(regexp_replace({_PAGE}, '/+$', '')) END AS normalized FROM pages"
+)
 def path_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literals(spark, [(p,) for p, _ in _PATHS], "path string").withColumn("normalized", policy.normalize_path(F.col("path")))
+    """Addresses of pages, written in six ways that name the same path or leave the root."""
+    path = F.regexp_replace("url", "^https?://", "")
+    ways = [F.concat(F.lit("./"), path), F.replace(path, F.lit("/"), F.lit("//")), F.concat(F.lit("x/../"), path), F.concat(F.lit("../"), path), F.translate(path, "/", "\\"), F.concat(F.lit("a/../../"), path)]
+    written = F.get(F.array(*ways), (F.col("page_id") % 6).cast("int"))
+    return _table(spark, sf_dir, "pages").select("page_id", policy.normalize_path(written).alias("normalized"))
 
 
-# Inputs and the results that the contract sets for them.
-_EXCLUDED = [
-    *((p, [], ["Private", "Archive/old/"], [], "Settings", True) for p in ("Private/a.md", "private", "Archive/old/a.md", "Settings/a.md", ".vault/a.md", "a/.cache/n.md", "./Private//a.md", "x/../Private/a.md", "../a.md")),
-    *((p, [], ["Private", "Archive/old/"], [], "Settings", False) for p in ("Privateish/a.md", "Archive/older/a.md", "Settings2/a.md", "x/Private/a.md", "public/a.md", ".hidden.md")),
-    ("any.md", [], [""], [], "", False),
-    ("any.md", [], ["/"], [], "", True),
-    *(("a.md", [t], [], ["#private"], "", True) for t in ("#Private", "private/child", "#PRIVATE/child/deep")),
-    *(("a.md", [t], [], ["private", ""], "", False) for t in ("privateish", "x/private", "public")),
-]
+_PREFIXES = ["", ".vault/", "Settings/", "x/", "Archive/old/", "Archive/older/", "Settings2/"]
+_TAGS = [[], ["#Private"], ["private/child"], ["privateish", "x/private"]]
 
 
-@_query(f"SELECT path, array_to_string(tags, ',') AS tags, excluded FROM {_values(_EXCLUDED, 'path, tags, folders, excluded_tags, config_dir, excluded')}")
+@_query(
+    f"WITH p AS (SELECT page_id, {_values([(k, v) for k, v in enumerate(_PREFIXES)], 'k, v').replace('(VALUES', '(SELECT v FROM (VALUES', 1).replace(') AS t(k, v)', ') AS t(k, v) WHERE k = page_id % 7)')} || {_PAGE} AS path FROM pages) "
+    "SELECT page_id, regexp_matches(path, '(^|/)[.][^/]+/') OR starts_with(lower(path), 'settings/') OR starts_with(lower(path), 'archive/old/') OR page_id % 4 IN (1, 2) AS excluded FROM p"
+)
 def exclusion_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _literals(spark, [r[:5] for r in _EXCLUDED], "path string, tags array<string>, folders array<string>, excluded_tags array<string>, config_dir string")
-    verdict = policy.is_excluded(*(F.col(c) for c in ("path", "tags", "folders", "excluded_tags", "config_dir")))
-    return rows.withColumn("excluded", verdict).select("path", F.array_join(rows["tags"], ",").alias("tags"), "excluded")
+    """Pages below seven folders with four sets of tags against excluded folders, tags and the settings folder."""
+    prefix = F.get(policy.texts(_PREFIXES), (F.col("page_id") % 7).cast("int"))
+    tags = F.get(F.array(*(policy.texts(t) for t in _TAGS)), (F.col("page_id") % 4).cast("int"))
+    path = F.concat(prefix, F.regexp_replace("url", "^https?://", ""))
+    verdict = policy.is_excluded(path, tags, policy.texts(["Private", "Archive/old/"]), policy.texts(["#private", ""]), F.lit("Settings"))
+    return _table(spark, sf_dir, "pages").select("page_id", verdict.alias("excluded"))
 
 
 @_query("SELECT url, regexp_matches(regexp_replace(url, '^http://', ''), '^[^/]+/fr(/|$)') AS excluded FROM pages")
@@ -520,24 +531,32 @@ def rerank_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.merge(hits.select("key", "pos"), judged).select("key", "pos", "new_pos")
 
 
-# Inputs and the results that the contract sets for them.
-_CASES = [
-    ("sound", {"answers": {"d0": {"type": "score", "score": 1.6, "probabilities": {"0": 0.05, "1": 0.3, "2": 0.65}}}, "usage": {"inputTokens": 312}}, 1.6, 312, None),
-    ("bare", {"answers": {"d0": {"type": "score", "score": 1.25}}}, 1.25, None, None),
-    ("warned", {"answers": {"d0": {"type": "score", "score": 1.25}}, "warnings": [{"type": "x"}]}, None, None, "provider-warning"),
-    ("wrong type", {"answers": {"d0": {"type": "boolean"}}}, None, None, "invalid-response"),
-    ("too high", {"answers": {"d0": {"type": "score", "score": 3}}}, None, None, "invalid-response"),
-    ("no model", {"answers": {"d0": {"type": "score", "score": 1}}, "model": ""}, None, None, "invalid-response"),
-    ("uneven", {"answers": {"d0": {"type": "score", "score": 1.6, "probabilities": {"0": 0.05, "1": 0.3, "2": 0.5}}}}, None, None, "invalid-response"),
-    ("rounded", {"answers": {"d0": {"type": "score", "score": 1.6, "probabilities": {"0": 0.05, "1": 0.35, "2": 0.6}}}, "rounding": {"probabilityDecimals": 1}}, 1.6, None, None),
-]
 HOSTED = rerank.Route("hosted", "https://judge.example/evaluate", headers={"model-id": "judge-1"}, provider={"hosted": {"retention": False}})
 
 
-@_query(f"SELECT name, CAST(score AS DOUBLE) AS score, CAST(input_tokens AS BIGINT) AS input_tokens, error FROM {_values([(n, s, t, e) for n, _, s, t, e in _CASES], 'name, score, input_tokens, error')}")
+@_query(
+    "WITH t AS (SELECT conv_id, turn, (conv_id * 7 + turn) % 8 AS c, length(text) % 41 * 5 AS s, length(text) AS n FROM conversations) SELECT conv_id, turn, CASE WHEN c IN (0, 1, 6) THEN s / 100.0 END::DOUBLE AS score, CASE WHEN c = 1 THEN n END::BIGINT AS input_tokens, CASE WHEN c IN (0, 1, 6) THEN NULL WHEN c = 2 THEN 'provider-warning' ELSE 'invalid-response' END AS error FROM t"
+)
 def judgement_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _literals(spark, [(n, json.dumps(b), 1) for n, b, *_ in _CASES], "name string, body string, n int")
-    return rerank.validate_all(rows, HOSTED).select("name", F.get("scores", F.lit(0)).alias("score"), "input_tokens", "error")
+    """Answers of a judge about all turns, sound and in six ways not: warned, of another type, too high, without model, with shares that do not add up."""
+
+    def number(hundredths: Column) -> Column:
+        return F.format_string("%d.%02d", F.floor(hundredths / 100), hundredths % 100)
+
+    s = F.length("text") % 41 * 5
+    none, full = F.greatest(100 - s, F.lit(0)), F.greatest(s - 100, F.lit(0))
+    grade = F.concat(F.lit('"type":"score","score":'), number(s))
+
+    def shares(more: int) -> Column:
+        return F.concat(grade, F.lit(',"probabilities":{"0":'), number(none + more), F.lit(',"1":'), number(100 - none - full), F.lit(',"2":'), number(full), F.lit("}"))
+
+    answers = [grade, grade, grade, F.lit('"type":"boolean"'), F.concat(F.lit('"type":"score","score":'), number(s + 300)), grade, shares(0), shares(10)]
+    behind = ["", None, ',"warnings":[{"type":"x"}]', "", "", ',"model":""', "", ""]
+    more = [F.concat(F.lit(',"usage":{"inputTokens":'), F.length("text"), F.lit("}")) if b is None else F.lit(b) for b in behind]
+    case = ((F.col("conv_id") * 7 + F.col("turn")) % 8).cast("int")
+    body = F.concat(F.lit('{"answers":{"d0":{'), F.get(F.array(*answers), case), F.lit("}}"), F.get(F.array(*more), case), F.lit("}"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", body.alias("body"), F.lit(1).alias("n"))
+    return rerank.validate_all(rows, HOSTED).select("conv_id", "turn", F.get("scores", F.lit(0)).alias("score"), "input_tokens", "error")
 
 
 @_query("SELECT CAST(event_id AS VARCHAR) AS key, event_id * 7 % 1000 AS expires, event_id * 13 % 997 AS used FROM events WHERE event_id * 7 % 1000 > 400 ORDER BY used DESC, key LIMIT 200")
@@ -564,13 +583,26 @@ def change_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operations(_changes(spark, sf_dir)).groupBy("op").agg(F.count("*").alias("operations"), F.countDistinct("path").alias("paths"))
 
 
-_GENERAL = [("front.md", "﻿---\r\nkey: x\r\n---\r\nintro\r\n# Topic ##\r\nbody\r\n"), ("open.md", "---\nkey: x"), ("fence.md", "lead\n# Real\n```js\n# fake\n```\n## Last\nend"), ("para.md", "a" * 700 + "\n\n" + "b" * 700)]
+_HEADS = ["---\nkey: x\n---\n", "```\n# not a heading\n```\n", "---\nnever closed\n", "", "~~~~\n~~~\n# not one\n~~~~\n"]
+_GENERAL_SQL = rf"""WITH RECURSIVE made AS (SELECT lpad(CAST(doc_id AS VARCHAR), 10, '0') AS path, doc_id % 5 AS head, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, ', (\S)', ',' || chr(10) || chr(10) || '\1', 'g') ELSE replace(text, '. ', '.' || chr(10) || '## Part ##' || chr(10)) END AS body FROM documents WHERE doc_id % 5 <> 2),
+whole AS (SELECT path, CASE head WHEN 0 THEN 3 ELSE 0 END AS front, CASE head WHEN 1 THEN '```' || chr(10) || '# not a heading' || chr(10) || '```' || chr(10) WHEN 4 THEN '~~~~' || chr(10) || '~~~' || chr(10) || '# not one' || chr(10) || '~~~~' || chr(10) ELSE '' END || body AS body FROM made),
+parts AS (SELECT path, front, unnest(string_split(body, '## Part ##' || chr(10))) AS part, unnest(range(len(string_split(body, '## Part ##' || chr(10))))) AS k FROM whole),
+texts AS (SELECT path, front, k, CASE WHEN k > 0 THEN '## Part ##' || chr(10) ELSE '' END || part AS part FROM parts),
+placed AS (SELECT path, k, part, front + coalesce(sum(length(part) - length(replace(part, chr(10), ''))) OVER (PARTITION BY path ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lines FROM texts),
+cut AS (SELECT path, k, part, lines, CAST(0 AS BIGINT) AS off, length(part) AS n FROM placed WHERE part <> ''
+UNION ALL SELECT path, k, part, lines, CASE WHEN contains(substring(part, off + 1, 1200), chr(10) || chr(10)) THEN off + length(regexp_extract(substring(part, off + 1, 1200), '(?s)^.*\n\n')) ELSE off + 1080 END, n FROM cut WHERE n - off > 1200),
+bodies AS (SELECT path, k, off, lines + 1 + length(substring(part, 1, off)) - length(replace(substring(part, 1, off), chr(10), '')) AS start_line, CASE WHEN n - off > 1200 THEN CASE WHEN contains(substring(part, off + 1, 1200), chr(10) || chr(10)) THEN regexp_extract(substring(part, off + 1, 1200), '(?s)^.*\n\n') ELSE substring(part, off + 1, 1200) END ELSE substring(part, off + 1) END AS body FROM cut)
+SELECT path, CASE WHEN k > 0 THEN 'Part' ELSE '' END AS heading, CAST(start_line AS INT) AS start_line, CAST(row_number() OVER (PARTITION BY path ORDER BY k, off) - 1 AS INT) AS ordinal, CAST(length(body) AS INT) AS points, md5(body) AS digest FROM bodies WHERE regexp_matches(body, '\S')"""
 
 
-@_query(None)
+@_query(_GENERAL_SQL)
 def chunk_general_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = _literals(spark, [(p, "", t) for p, t in _GENERAL], "path string, title string, text string")
-    return chunk(notes).select("path", "heading", "start_line", "ordinal", F.length("text").alias("points"))
+    """Chunks of all documents as Markdown: with front matter (closed or not), fences, headings behind sentences or blank lines behind commas."""
+    docs = _notes(spark, sf_dir)
+    number = F.col("path").cast("long")
+    text = F.when(number % 2 == 0, F.regexp_replace("text", r", (\S)", ",\n\n$1")).otherwise(F.replace("text", F.lit(". "), F.lit(".\n## Part ##\n")))
+    notes = docs.withColumn("text", F.concat(F.get(policy.texts(_HEADS), (number % 5).cast("int")), text))
+    return chunk(notes).select("path", "heading", "start_line", "ordinal", F.length("text").alias("points"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @_query("SELECT CAST(NULL AS VARCHAR) AS id, CAST(NULL AS DOUBLE) AS score WHERE false")
