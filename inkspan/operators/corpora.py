@@ -2,40 +2,75 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.functions import text as tx
 
 
-def _grams(text: Column, most: int = 3) -> Column:
-    """Distinct runs of 1 to ``most`` characters."""
+#: Words, or characters of passages of less than three words, that an anchor has at most.
+ANCHOR_WORDS, ANCHOR_CHARACTERS = 4, 6
+#: Grams of passages up to which they are broadcast; a gram is one long.
+BROADCAST_GRAMS = 1_000_000
+
+
+def _word_grams(text: Column, size: int, inner: bool) -> Column:
+    """Hashes of all runs of ``size`` words; with ``inner`` without the first and the last word, which may be parts of longer ones."""
+
+    def runs(words: Column) -> Column:
+        if inner:
+            words = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+        last = F.size(words) - (size - 1)
+        found = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.lit(size), F.slice(words, i, F.lit(size))))
+        return F.when(last >= 1, F.array_distinct(found)).otherwise(F.array().cast("array<bigint>"))
+
+    # an array of one, so that the text is split once and not for every run
+    return F.flatten(F.transform(F.array(F.split(text, " ")), runs))
+
+
+def _character_grams(text: Column, size: int) -> Column:
+    """Hashes of all runs of ``size`` characters, in one pass."""
+    return F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))), lambda g: F.xxhash64(F.lit(-size), g))
+
 
-    def runs(n: int) -> Column:
-        found = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
-        return F.when(F.length(text) >= n, found).otherwise(F.array().cast("array<string>"))
+def passage_anchors(notes: DataFrame, passages: DataFrame) -> DataFrame:
+    """(key, path, gram, df): notes that have the rarest gram of a passage, and how many notes have it.
 
-    return F.array_distinct(F.flatten(F.array(*(runs(n) for n in range(1, most + 1)))))
+    A note with the passage has every gram of it. Grams of the passages alone leave the scan of the notes; they are counted there, each passage takes
+    the one that fewest notes have, and passages of which a gram is nowhere take none.
+    """
+    inner = F.size(F.split("query", " ")) - 2
+    sized = passages.where("query is not null and query <> ''").withColumn("_w", F.least(inner, F.lit(ANCHOR_WORDS))).withColumn("_c", F.least(F.length("query"), F.lit(ANCHOR_CHARACTERS)))
+    kinds = [(n, True) for n in range(1, ANCHOR_WORDS + 1)] + [(n, False) for n in range(1, ANCHOR_CHARACTERS + 1)]
+    used = {(r["_w"], True) if r["_w"] > 0 else (r["_c"], False) for r in sized.select("_w", "_c").distinct().collect()}  # a few sizes
+    asked, told = [], []
+    for size, by_word in (k for k in kinds if k in used):
+        grams = _word_grams(F.col("query"), size, True) if by_word else _character_grams(F.col("query"), size)
+        own = F.col("_w") == size if by_word else (F.col("_w") <= 0) & (F.col("_c") == size)
+        asked.append(sized.where(own).select("key", F.explode(grams).alias("gram")))
+        told.append(_word_grams(F.col("text"), size, False) if by_word else _character_grams(F.col("text"), size))
+    if not asked:
+        return passages.sparkSession.createDataFrame([], "key string, path string, gram long, df long")
+    asked = reduce(DataFrame.unionByName, asked).persist(StorageLevel.MEMORY_AND_DISK)
+    wanted = asked.select("gram").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_GRAMS else wanted
+    # one scan of the notes, whatever the sizes
+    held = notes.select("path", F.explode(F.concat(*told)).alias("gram")).join(wanted, "gram", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+    counts = held.groupBy("gram").agg(F.count("*").alias("df"))
+    rarest = asked.join(counts, "gram", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("m")).where("m.df > 0")
+    return held.join(rarest.select("key", "m.gram", "m.df"), "gram").select("key", "path", "gram", "df")
 
 
 def passage_relevance(notes: DataFrame, passages: DataFrame, grade: int = 2) -> DataFrame:
     """(key, path, grade): notes (path, text) that contain a passage (key, query) verbatim.
 
-    A passage's longest inner word must be a word of the note, so paths and passages meet by an equi-join on words; passages of
-    fewer than three words have no inner word and meet by their first three characters. Texts join by path for the
-    containment test alone.
+    Paths and passages meet by the passage's rarest gram in the notes; texts join by path for the containment test alone.
     """
-    words = F.split("query", " ")
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    anchor = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1)["w"]
-    keyed = passages.select("key", "query", F.when(F.size(words) > 2, anchor).alias("_word"))
-    told = notes.select("path", F.explode(F.array_distinct(F.split("text", " "))).alias("_word"))
-    pairs = told.join(keyed.where("_word is not null"), "_word").select("key", "query", "path")
-    short = keyed.where("_word is null and query <> ''").withColumn("_word", F.substring("query", 1, 3))
-    if not short.isEmpty():
-        spelled = notes.select("path", F.explode(_grams(F.col("text"))).alias("_word"))
-        pairs = pairs.unionByName(spelled.join(short, "_word").select("key", "query", "path"))
-    found = pairs.distinct().join(notes.select("path", "text"), "path").where(F.contains("text", F.col("query")))
+    pairs = passage_anchors(notes, passages).select("key", "path").join(passages.select("key", "query"), "key")
+    found = pairs.join(notes.select("path", "text"), "path").where(F.contains("text", F.col("query")))
     return found.select("key", "path").distinct().withColumn("grade", F.lit(grade))
 
 
@@ -81,6 +116,69 @@ def corpus_hash(notes: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n_notes"), F.sha2(ordered, 256).alias("corpus_hash"))
 
 
+def _stream_digest(batches):
+    """SHA-256 of the pieces as they pass."""
+    import hashlib
+
+    import pyarrow as pa
+
+    state, n = hashlib.sha256(), 0
+    for batch in batches:
+        for piece in batch.column(0).to_pylist():
+            state.update(piece.encode())
+            n += 1
+    yield pa.RecordBatch.from_pydict({"n": [n], "digest": [state.hexdigest()]})
+
+
+def exact_digest(pieces: DataFrame, piece: Column, *order: str) -> DataFrame:
+    """One row (n, digest): SHA-256 of the pieces in order, one behind the other.
+
+    A SHA-256 has no parallel form, so one task sorts (with spill) and streams them; it keeps one batch. ``hash_tree`` is the one to use at scale.
+    """
+    return pieces.select(piece.alias("_p"), *order).repartition(1).sortWithinPartitions(*order).select("_p").mapInArrow(_stream_digest, "n long, digest string")
+
+
+def exact_corpus_hash(notes: DataFrame) -> DataFrame:
+    """(n, digest) over ``path``, NUL, ``text``, NUL of the notes by path (in the order of UTF-8)."""
+    return exact_digest(notes, F.concat(F.col("path"), F.lit("\x00"), F.col("text"), F.lit("\x00")), "path")
+
+
+#: Hexadecimal digits of a path's SHA-256 that name its leaf.
+TREE_DEPTH = 3
+
+
+def hash_leaves(notes: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
+    """(node, digest, n): leaves of a hash tree, by the first ``depth`` digits of the path's SHA-256.
+
+    A note's digest is the SHA-256 of path, NUL and text, a leaf's that of its notes' digests in the order of the paths' SHA-256. With 16 ** depth
+    leaves, ``depth`` sets how many notes a leaf has.
+    """
+    rows = notes.select(F.sha2("path", 256).alias("h"), F.sha2(F.concat(F.col("path"), F.lit("\x00"), F.col("text")), 256).alias("d"))
+    gathered = rows.groupBy(F.left("h", F.lit(depth)).alias("node")).agg(F.sort_array(F.collect_list(F.struct("h", "d"))).alias("notes"))
+    return gathered.select("node", F.sha2(F.array_join(F.transform("notes", lambda x: x["d"]), ""), 256).alias("digest"), F.size("notes").cast("long").alias("n"))
+
+
+def hash_root(leaves: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
+    """(n_notes, corpus_hash): a node is the SHA-256 of its children's digests in the order of their digit; at most 16 meet in a task's group."""
+    level = leaves
+    for k in range(depth - 1, -1, -1):
+        gathered = level.groupBy(F.left("node", F.lit(k)).alias("node")).agg(F.sort_array(F.collect_list(F.struct("node", "digest"))).alias("c"), F.sum("n").alias("n"))
+        level = gathered.select("node", F.sha2(F.array_join(F.transform("c", lambda x: x["digest"]), ""), 256).alias("digest"), "n")
+    return level.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n_notes"), F.coalesce(F.max("digest"), F.sha2(F.lit("").cast("binary"), 256)).alias("corpus_hash"))
+
+
+def update_leaves(leaves: DataFrame, notes: DataFrame, changed: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
+    """The leaves after the notes of the paths ``changed`` changed, came or went: those leaves alone are made anew from ``notes``."""
+    touched = changed.select(F.left(F.sha2("path", 256), F.lit(depth)).alias("node")).distinct()
+    inside = notes.withColumn("node", F.left(F.sha2("path", 256), F.lit(depth))).join(touched, "node", "left_semi").drop("node")
+    return leaves.join(touched, "node", "left_anti").select("node", "digest", "n").unionByName(hash_leaves(inside, depth))
+
+
+def grade_counts(relevance: DataFrame) -> DataFrame:
+    """(grade, judgements)."""
+    return relevance.groupBy("grade").agg(F.count("*").alias("judgements"))
+
+
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, status): added, removed or changed (by SHA-256) notes."""
     a, b = (t.select("path", F.sha2("text", 256).alias(n)) for t, n in ((before, "a"), (after, "b")))

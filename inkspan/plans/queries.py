@@ -349,15 +349,22 @@ def ndcg_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.ndcg(_best_notes(spark, sf_dir, 10), _relevance(spark, sf_dir)).select("key", F.round("ndcg", 9).alias("ndcg"))
 
 
-@_query(
-    "WITH a AS (SELECT CAST(item_id AS VARCHAR) AS key, CASE WHEN item_id % 3 = 0 THEN NULL ELSE item_id % 7 END AS rank FROM benchmark), b AS (SELECT CAST(item_id AS VARCHAR) AS key, CASE WHEN item_id % 5 = 0 THEN NULL ELSE item_id % 4 END AS rank FROM benchmark), c AS (SELECT coalesce(CAST(a.rank AS DOUBLE), CAST('Infinity' AS DOUBLE)) AS x, coalesce(CAST(b.rank AS DOUBLE), CAST('Infinity' AS DOUBLE)) AS y FROM a LEFT JOIN b USING (key)) SELECT CAST(sum(CASE WHEN y < x THEN 1 ELSE 0 END) AS BIGINT) AS better, CAST(sum(CASE WHEN y > x THEN 1 ELSE 0 END) AS BIGINT) AS worse, CAST(sum(CASE WHEN y = x THEN 1 ELSE 0 END) AS BIGINT) AS same FROM c"
-)
+_MOVED = """,
+counted AS (SELECT key, path, ordinal, count(DISTINCT term) AS score FROM asked_terms JOIN postings USING (term) GROUP BY key, path, ordinal),
+ranked2 AS (SELECT key, path, row_number() OVER (PARTITION BY key ORDER BY score DESC, path, start_line, ordinal) AS pos FROM counted JOIN chunks USING (path, ordinal)),
+firsts2 AS (SELECT key, path, min(pos) AS pos FROM ranked2 GROUP BY key, path),
+note_ranks2 AS (SELECT key, path, pos, row_number() OVER (PARTITION BY key ORDER BY pos) AS rank FROM firsts2),
+ranks2 AS (SELECT key, min(rank) FILTER (pos <= 50) AS rank FROM note_ranks2 JOIN relevance USING (key, path) GROUP BY key),
+both_ AS (SELECT coalesce(CAST(b.rank AS DOUBLE), CAST('Infinity' AS DOUBLE)) AS x, coalesce(CAST(a.rank AS DOUBLE), CAST('Infinity' AS DOUBLE)) AS y FROM ranks a LEFT JOIN ranks2 b USING (key))"""
+
+
+@_query(f"WITH {_RANKED}{_MOVED} SELECT CAST(coalesce(sum(CASE WHEN y < x THEN 1 ELSE 0 END), 0) AS BIGINT) AS better, CAST(coalesce(sum(CASE WHEN y > x THEN 1 ELSE 0 END), 0) AS BIGINT) AS worse, CAST(coalesce(sum(CASE WHEN y = x THEN 1 ELSE 0 END), 0) AS BIGINT) AS same FROM both_")
 def rank_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _table(spark, sf_dir, "benchmark")
-    key = F.col("item_id").cast("string").alias("key")
-    a = items.select(key, F.when(F.col("item_id") % 3 != 0, F.col("item_id") % 7).alias("rank"))
-    b = items.select(key, F.when(F.col("item_id") % 5 != 0, F.col("item_id") % 4).alias("rank"))
-    return metrics.rank_movement(a, b)
+    """How weighting moves the rank of the first relevant document, against the number of terms that match."""
+    index, asked = _index(spark, sf_dir), _asked(spark, sf_dir)
+    matches = index.postings.join(F.broadcast(query_terms(asked, index)), "term").groupBy("key", "id").agg(F.count_distinct("term").cast("double").alias("score"))  # terms of a benchmark of checked size, as in scores()
+    places, told = index.chunks.select("id", "path", "start_line"), _relevance(spark, sf_dir)
+    return metrics.rank_movement(metrics.ranks_by_counting(matches, places, asked, told, LIMIT), _ranks(spark, sf_dir))
 
 
 @_query(
@@ -373,14 +380,39 @@ def corpus_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.corpus_hash(_notes(spark, sf_dir))
 
 
+@_query("SELECT count(*) AS n, sha256(string_agg(path || chr(0) || text || chr(0), '' ORDER BY path)) AS digest FROM (SELECT lpad(CAST(doc_id AS VARCHAR), 10, '0') AS path, text FROM documents)")
+def corpus_hash_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of all documents, path by path, as one stream of bytes."""
+    return corpora.exact_corpus_hash(_notes(spark, sf_dir))
+
+
+@_query(
+    f"WITH {_NOTES}, d AS (SELECT sha256(path) AS h, sha256(path || chr(0) || text) AS d FROM notes), l3 AS (SELECT left(h, 3) AS node, sha256(string_agg(d, '' ORDER BY h)) AS d, count(*) AS n FROM d GROUP BY 1), l2 AS (SELECT left(node, 2) AS node, sha256(string_agg(d, '' ORDER BY node)) AS d, sum(n) AS n FROM l3 GROUP BY 1), l1 AS (SELECT left(node, 1) AS node, sha256(string_agg(d, '' ORDER BY node)) AS d, sum(n) AS n FROM l2 GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n_notes, sha256(string_agg(d, '' ORDER BY node)) AS corpus_hash FROM l1"
+)
+def corpus_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root of the hash tree of all documents, a third of which were edited back after the leaves were made."""
+    notes = _notes(spark, sf_dir)
+    edited = F.col("path").cast("long") % 3 == 0
+    before = corpora.hash_leaves(notes.withColumn("text", F.when(edited, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
+    return corpora.hash_root(corpora.update_leaves(before, notes, notes.where(edited)))
+
+
+@_query(f"WITH {_NOTES}, r AS (SELECT DISTINCT b.item_id, n.path, CASE WHEN n.text = b.text THEN 3 ELSE 2 END AS grade FROM benchmark b JOIN notes n ON contains(n.text, b.text)) SELECT CAST(grade AS INT) AS grade, count(*) AS judgements FROM r GROUP BY grade")
+def grade_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgements of each grade: documents that hold a benchmark passage (2) or are one (3)."""
+    asked, notes = _asked(spark, sf_dir), _notes(spark, sf_dir)
+    told = _relevance(spark, sf_dir).join(asked.select("key", "query"), "key").join(notes, "path")
+    return corpora.grade_counts(told.withColumn("grade", F.when(F.col("text") == F.col("query"), 3).otherwise(2)))
+
+
 @_query(
-    "WITH a AS (SELECT page_id, sha256(html) AS h FROM pages WHERE page_id % 5 <> 0), b AS (SELECT page_id, sha256(CASE WHEN page_id % 7 = 0 THEN html || '!' ELSE html END) AS h FROM pages WHERE page_id % 3 <> 0) SELECT CAST(coalesce(a.page_id, b.page_id) AS VARCHAR) AS path, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' ELSE 'changed' END AS status FROM a FULL JOIN b ON a.page_id = b.page_id WHERE a.h IS NULL OR b.h IS NULL OR a.h <> b.h"
+    "WITH a AS (SELECT page_id, sha256(html) AS h FROM pages WHERE page_id % 5 <> 0), b AS (SELECT page_id, sha256(CASE WHEN page_id % 7 = 0 THEN html || '!' ELSE html END) AS h FROM pages WHERE page_id % 3 <> 0 OR page_id % 5 = 0) SELECT CAST(coalesce(a.page_id, b.page_id) AS VARCHAR) AS path, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' ELSE 'changed' END AS status FROM a FULL JOIN b ON a.page_id = b.page_id WHERE a.h IS NULL OR b.h IS NULL OR a.h <> b.h"
 )
 def vault_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     path = F.col("page_id").cast("string").alias("path")
     before = pages.where("page_id % 5 <> 0").select(path, F.col("html").alias("text"))
-    after = pages.where("page_id % 3 <> 0").select(path, F.when(F.col("page_id") % 7 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html")).alias("text"))
+    after = pages.where("page_id % 3 <> 0 or page_id % 5 = 0").select(path, F.when(F.col("page_id") % 7 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html")).alias("text"))
     return corpora.diff(before, after)
 
 
