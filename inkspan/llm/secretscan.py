@@ -1,10 +1,10 @@
 """Secret scans with a random forest against false positives. DataFrame operations only.
 
-Candidates, found anywhere in whole texts, are (1) the value after a secret word and ``=`` or ``:``: six and more characters but
-white space, quotes, brackets, commas and semicolons; (2) signed tokens of parts joined by dots; (3) runs of 12 and more
-letters, digits, ``+ / _ -`` (and up to two ``=`` at the end) with a digit or with two changes between lower and upper
-case. Only ASCII letters and digits bound a run, so a key within Chinese or Japanese text counts. Each comes with the
-40 characters before and 20 after it. Features: length, character transitions, shares of character classes, distinct
+Candidates, found anywhere in whole texts in one pass, are (1) what is given to a name with a secret word in it, by ``=``, ``:``, ``=>`` or ``is``,
+also behind ``Bearer`` and the like: four and more characters but white space, quotes and brackets, and commas and semicolons only
+within; (2) the password of an address (``name:password@``); (3) signed tokens of parts joined by dots; (4) runs of 12 and more letters,
+digits, ``+ / _ -`` (and up to two ``=`` at the end) with a digit or with two changes between lower and upper case. Only ASCII letters and
+digits bound a run, so a key within Chinese or Japanese text counts. Each comes with the 40 characters before and 20 after it. Features: length, character transitions, shares of character classes, distinct
 characters, longest runs, dictionary coverage, path marks and neighbouring words. The forest is trained from labelled findings:
 ``FINDINGS`` of them, made from a seed by the rules in ``labelled_findings`` (keys, tokens, passwords and passphrases in their
 usual places against identifiers, hashes, paths, dates, placeholders, ordinary words and calls), since no table labels
@@ -37,18 +37,29 @@ TREES, DEPTH = 21, 6
 SECRET = 0.5
 
 #: Words beside a secret, and words beside other long identifiers.
-SECRET_WORDS = "pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth|bearer|private"
+SECRET_WORDS = "pass(?:word|wd|phrase)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|credential|auth|bearer|private"
 OTHER_WORDS = "commit|sha(?:1|256|512)?|md5|checksum|digest|uuid|guid|etag|revision|version|isbn|order|invoice|href|src|url|http"
 
-_VALUE = rf"(?<=[:=\s\"'])(?<=(?i:{SECRET_WORDS})[a-zA-Z_]{{0,8}}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)[^\s\"'`<>(){{}}\[\],;:=]{{1}}[^\s\"'`<>(){{}}\[\],;]{{5,}}"
+#: The secret words again, by their first letters, as this is tried at every letter of every text.
+_WORD = r"(?=[pPsStTaAcCbB])(?i:p(?:ass|wd|rivate)|secret|token|a(?:uth|pi[_ -]?key|ccess[_ -]?key)|credential|bearer)"
+_NAME = rf"{_WORD}[A-Za-z0-9_-]{{0,20}}[\"']?"
+_GIVEN = r"\s{0,3}(?:=>|:=|[:=]|\s(?i:is|was)\s)\s{0,3}[\"'(\[{<`]?(?:(?i:bearer|basic|digest|token)\s{1,3})?"
+_OPEN, _INNER = r"[^\s\"'`<>(){}\[\],;:=]", r"(?:[^\s\"'`<>(){}\[\],;]|[,;](?=[^\s\"'`<>(){}\[\],;]))"
+_VALUE = rf"((?:{_NAME}{_GIVEN}|(?<![A-Za-z])(?i:bearer)\s{{1,3}}))({_OPEN}{_INNER}{{3,}})"
+_ADDRESS = r"(://[^\s:/@\"'<>]{1,64}:)([^\s@/\"'<>]{3,})(?=@)"
 _SIGNED = r"(?<![A-Za-z0-9._-])eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{4,}){1,2}"
-_PLAIN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*(?:[0-9]|[a-z][A-Z][A-Za-z+/_-]*[a-z][A-Z]))[A-Za-z0-9+/_-]{12,}+={0,2}(?![A-Za-z0-9])"
-_RUN = f"(?:{_VALUE}|{_SIGNED}|{_PLAIN})"
-_CANDIDATE = rf"({_RUN})"
-#: A lookbehind takes the fewest characters it can, so the 40 before a run and those from the start of a text are two patterns.
-_BEFORE = rf"(?s)(?:(?<=(.{{40}})))?(?:{_RUN})"
-_FROM_START = rf"(?s)(?:(?<=\A(.{{0,39}})))?(?:{_RUN})"
-_AFTER = rf"(?s)(?:{_RUN})(?=(.{{0,20}}))"
+#: Twelve characters are asked for first, as most runs have fewer; a name that is given a value is none.
+_PLAIN = (
+    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{12})(?=[A-Za-z+/_-]*(?:[0-9]|[a-z][A-Z][A-Za-z+/_-]*[a-z][A-Z]))"
+    rf"(?![A-Za-z0-9_-]{{0,40}}?{_NAME}{_GIVEN}{_OPEN})[A-Za-z0-9+/_-]{{12,}}+={{0,2}}(?![A-Za-z0-9])"
+)
+#: Groups 1 and 3 are what stands before a candidate, 2, 4 and 5 are candidates.
+_CANDIDATE = rf"{_VALUE}|{_ADDRESS}|({_SIGNED}|{_PLAIN})"
+#: Sets candidates off from the text around them; in texts it counts as a space.
+_EDGE = "\x01"
+BEFORE, AFTER = 40, 20
+#: Parts of a text that hold the characters after a candidate: four of them are candidates, of at least three characters and an edge.
+_FOLLOWING = 16
 
 #: Words that long runs of ordinary text are made of.
 DICTIONARY = (
@@ -73,12 +84,28 @@ DICTIONARY = (
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, finding, candidate, before, after) of every candidate of whole texts."""
-    text = F.col("text").cast("string")
-    some = docs.select("doc_id", text.alias("text")).where(text.rlike(_CANDIDATE))
-    parts = [F.regexp_extract_all("text", F.lit(p), F.lit(1)).alias(n) for p, n in ((_CANDIDATE, "candidate"), (_BEFORE, "long"), (_FROM_START, "short"), (_AFTER, "after"))]
-    zipped = F.arrays_zip(*(F.col(n) for n in ("candidate", "long", "short", "after")))
-    return some.select("doc_id", *parts).select("doc_id", F.posexplode(zipped).alias("finding", "_c")).select("doc_id", "finding", "_c.candidate", F.concat("_c.short", "_c.long").alias("before"), "_c.after")
+    """(doc_id, finding, candidate, before, after) of every candidate of whole texts.
+
+    One pass sets the candidates off; what stands before each is carried along the parts, so no position is counted from the start of a text.
+    """
+    text = F.translate(F.col("text").cast("string"), _EDGE, " ")
+    parts = F.split(F.regexp_replace(text, F.lit(_CANDIDATE), F.lit(f"$1$3{_EDGE}$2$4$5{_EDGE}")), _EDGE)
+    none = F.array().cast("array<struct<candidate:string,before:string,after:string>>")
+
+    def found(parts: Column) -> Column:
+        def step(state: Column, k: Column) -> Column:
+            before = F.right(F.concat(state["tail"], F.get(parts, k - 1)), F.lit(BEFORE))
+            after = F.left(F.array_join(F.transform(F.slice(parts, k + 2, F.lit(_FOLLOWING)), lambda p: F.left(p, F.lit(AFTER))), ""), F.lit(AFTER))
+            own = F.get(parts, k)
+            one = F.struct(own.alias("candidate"), before.alias("before"), after.alias("after"))
+            return F.struct(F.right(F.concat(before, own), F.lit(BEFORE)).alias("tail"), F.concat(state["out"], F.array(one)).alias("out"))
+
+        # candidates are the odd parts
+        odd = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: k % 2 == 1)
+        return F.aggregate(odd, F.struct(F.lit("").alias("tail"), none.alias("out")), step, lambda state: state["out"])
+
+    rows = docs.select("doc_id", F.get(F.transform(F.array(parts), found), F.lit(0)).alias("_f"))
+    return rows.select("doc_id", F.posexplode_outer("_f").alias("finding", "_c")).where("_c is not null").select("doc_id", "finding", "_c.candidate", "_c.before", "_c.after")
 
 
 def features() -> dict[str, Column]:
@@ -137,7 +164,7 @@ def labelled_findings(count: int = FINDINGS, seed: int = 41) -> list[dict]:
 
     hexes, upper = digits + "abcdef", letters.upper()
     prose = lambda: " ".join(pick(letters, 2, 9) for _ in range(6)) + " "
-    key = lambda: rng.choice(["password", "passwd", "token", "secret", "api_key", "apikey", "auth_token", "access_key", "client_secret", "Bearer"]) + rng.choice(["=", ": ", " = ", ' = "', '="', " "])
+    key = lambda: rng.choice(["password", "passwd", "token", "secret", "api_key", "api key", "auth_token", "access_key", "client_secret", "Authorization: Bearer"]) + rng.choice(["=", ": ", " = ", ' = "', '="', " => '", " is ", " "])
     secret = [
         lambda: ("AKIA" + pick(upper + digits[2:8], 16, 16), prose() + rng.choice(["", "key ", "aws_access_key_id = "])),
         lambda: (pick(hexes, 16, 64), prose() + key()),
@@ -150,6 +177,7 @@ def labelled_findings(count: int = FINDINGS, seed: int = 41) -> list[dict]:
         lambda: (pick(letters + digits, 3, 5) + pick(upper + digits, 3, 5) + pick(digits, 1, 2), prose() + key()),
         lambda: ("".join(rng.choice([rng.choice(DICTIONARY), pick(letters, 4, 8)]) for _ in range(rng.randint(4, 5))), prose() + rng.choice(["password", "passphrase", "secret", "token"]) + rng.choice(["=", ": ", " = "])),
         lambda: ("eyJ" + ".".join(pick(letters + upper + digits, 12, 40) for _ in range(3)), prose() + rng.choice(["", key()])),
+        lambda: (pick(letters, 2, 5) + pick("$!,;&" + digits, 1, 3) + pick(letters + upper + digits, 3, 8), rng.choice([prose() + key(), pick(letters, 5, 9) + "://" + pick(letters, 3, 6) + ":"])),
     ]
     other = [
         lambda: (rng.choice([*DICTIONARY, pick(letters, 6, 12)]).ljust(6, "s") + rng.choice(["", ".", "!"]), prose() + key()),
