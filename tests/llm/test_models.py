@@ -304,3 +304,46 @@ def test_secrets_that_no_rule_made(spark):
     found = {r.doc_id for r in rows if r.secret}
     assert {r.doc_id for r in rows} >= set(range(len(secrets))), "every secret is a candidate"
     assert len(found & set(range(len(secrets)))) >= 7 and len(found - set(range(len(secrets)))) <= 1, (found, [(r.doc_id, r.candidate, round(r.score, 2)) for r in rows])
+
+
+SHAPES = {
+    "postgres://app:pa$$w0rd9X@db.local/x": "pa$$w0rd9X",
+    "the password is hunter2A9x": "hunter2A9x",
+    "Authorization: Bearer abcdefghijklmnop": "abcdefghijklmnop",
+    "api key: Qq7Zr9Tt": "Qq7Zr9Tt",
+    "PASSWORD => 'Tr0ub4dor&3'": "Tr0ub4dor&3",
+    "password=(s3cret!Pass)": "s3cret!Pass",
+    "password=a;b2C3d4e5": "a;b2C3d4e5",
+    "token: abc,defGHI123": "abc,defGHI123",
+    "my_secret_key_2024=abZ4": "abZ4",
+}
+
+
+def plain_candidates(text):
+    """(candidate, before, after) with Python's own matcher and slices of the text."""
+    import re
+
+    text = text.replace("\x01", " ")
+    spans = [m.span(next(g for g in (2, 4, 5) if m[g] is not None)) for m in re.finditer(ss._CANDIDATE, text, re.ASCII)]
+    return [(text[a:b], text[max(0, a - 40) : a], text[b : b + 20]) for a, b in spans]
+
+
+def test_candidates_and_their_context(spark):
+    rng = random.Random(12)
+    texts = [*SHAPES, "", None, "\x01", "nothing here"]
+    for n in (0, 39, 40, 41, 1000):
+        head = "".join(rng.choice("ab c.") for _ in range(n))
+        texts += [f"{head} password=Zx9kkQm27 and a tail that goes on", f"{head} 4f6d8a7b9c0e1f2a3b4c", f"{head} token: é漢字12345 token=x1y2z3 token=x1y2z3\n"]
+    made = ss.labelled_findings(300, seed=7)
+    for _ in range(40):
+        texts.append(rng.choice(["", "\n", " , "]).join(r["before"] + r["candidate"] + r["after"] for r in rng.sample(made, rng.randrange(1, 12))))
+    texts.append(" ".join(r["before"] + r["candidate"] for r in made * 4))
+    texts.append("a" * 100_000 + " key " + "b1" * 50_000)
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id int, text string, candidate string")
+    got = {}
+    for r in ss.candidates(docs).orderBy("doc_id", "finding").collect():
+        got.setdefault(r.doc_id, []).append((r.candidate, r.before, r.after))
+    assert got == {k: plain_candidates(t) for k, t in enumerate(texts) if t and plain_candidates(t)}
+    for text, secret in SHAPES.items():
+        assert [c for c, *_ in got[texts.index(text)]] == [secret]
