@@ -20,6 +20,7 @@ from inkspan.operators.index import Index, build, field_tokens, from_chunks, rem
 from inkspan.operators.order import better, order_statistics
 from inkspan.operators.search import first_of_each_note, idf, query_terms, rank_order, scores, search_many
 from inkspan.sources.notes import document_notes
+from inkspan.streaming import judgements
 from inkspan.streaming.changes import last_by_path, operations
 from inkspan.streaming.segments import SegmentedIndex
 
@@ -597,6 +598,22 @@ def cache_ttl_lru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.live_entries(rows, 400)
 
 
+_ENTRY = "STRUCT(key VARCHAR, judgement VARCHAR, expires BIGINT)[]"
+
+
+@_query(
+    f"""WITH RECURSIVE ops AS (SELECT CAST(user_id AS VARCHAR) AS cache, event_id AS seq, epoch_ms(ts) AS t, CASE WHEN event_id % 50 = 0 THEN 'clear' WHEN event_type IN ('signup', 'purchase') THEN 'put' ELSE 'get' END AS kind, CAST(event_id % 5 AS VARCHAR) AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+run AS (SELECT DISTINCT cache, CAST(0 AS BIGINT) AS i, CAST([] AS {_ENTRY}) AS held, CAST(NULL AS {_ENTRY}) AS got FROM ops
+UNION ALL SELECT o.cache, o.i, CASE o.kind WHEN 'clear' THEN CAST([] AS {_ENTRY}) WHEN 'put' THEN (list_filter(run.held, lambda e: e.key <> o.key) || [{{'key': o.key, 'judgement': CAST(o.seq AS VARCHAR), 'expires': o.t + 259200000}}])[-3:] ELSE list_filter(run.held, lambda e: e.key <> o.key) || list_filter(run.held, lambda e: e.key = o.key AND e.expires > o.t) END, CASE WHEN o.kind = 'get' THEN list_filter(run.held, lambda e: e.key = o.key AND e.expires > o.t) END FROM run JOIN ops o ON o.cache = run.cache AND o.i = run.i + 1)
+SELECT run.cache, o.seq, o.key, len(got) > 0 AS hit, got[1].judgement AS judgement FROM run JOIN ops o ON o.cache = run.cache AND o.i = run.i WHERE got IS NOT NULL"""
+)
+def cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every read finds in the caches of all users: three entries, three days; signups and purchases store, some events clear."""
+    kind = F.when(F.col("event_id") % 50 == 0, "clear").when(F.col("event_type").isin("signup", "purchase"), "put").otherwise("get")
+    rows = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("cache"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), kind.alias("kind"), (F.col("event_id") % 5).cast("string").alias("key"), F.col("event_id").cast("string").alias("judgement"))
+    return judgements.replay(rows, 3 * 24 * 3_600_000, 3)
+
+
 _OPS = "ops AS (SELECT event_id AS stamp, CAST(user_id AS VARCHAR) AS path, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op FROM events UNION ALL SELECT event_id, CAST(user_id + 1 AS VARCHAR), 'delete' FROM events WHERE event_type = 'signup')"
 
 
