@@ -35,7 +35,7 @@ QUERIES = {
 #: CRC-32 by its table, made from the polynomial; the same ranks as the operator.
 _OP1 = """WITH steps AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
 bytes AS (SELECT doc_id, source, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
-sums AS (SELECT doc_id, source, octet_length(encode(text)) + 1 AS size, xor(list_reduce(list_prepend(4294967295, list_transform(range(CAST(length(h) // 2 AS BIGINT)), lambda k: CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS text_crc32, substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS mixed FROM bytes, steps),
+sums AS (SELECT doc_id, source, octet_length(encode(text)) + 1 AS size, xor(list_reduce(list_prepend(4294967295, list_transform(range(CAST(length(h) // 2 AS BIGINT)), lambda k: CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS text_crc32, substr(md5('17:' || text), 1, 16) AS mixed FROM bytes, steps),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY mixed, doc_id, text_crc32, size) AS k, count(*) OVER (PARTITION BY source) AS n FROM sums),
 placed AS (SELECT *, row_number() OVER (ORDER BY (2 * k - 1) / (2 * n), source, k) - 1 AS position, count(*) OVER () AS total FROM ranked),
 cut AS (SELECT *, position * 8 // total AS s FROM placed)

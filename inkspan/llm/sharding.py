@@ -4,14 +4,14 @@ Rows of each source are ranked in a seeded random order; all rows are then sorte
 fractional rank (2k - 1) / 2n within their source and the sequence is cut into ``shards`` equal
 runs. Every run thus holds each source in its share of the whole, to within one row.
 
-Law ``rows``: counts of any two shards differ by one at most. The method spreads equal texts over
-the shards as it spreads any rows; it keeps no groups of copies together, which equal counts could not
-allow for a group of a third of all rows.
+Law ``rows``: counts of any two shards differ by one at most. The random order goes by the text, so equal texts of a source are
+neighbours and those of other sources get about the same fractional rank: a group of copies lies in few shards, parted by the
+cuts where it must be, as equal counts allow no more for a group of a third of all rows.
 
 Scale: two range shuffles of narrow rows (no text is moved). A hot source is split over ranges by its
 seeded order, so no task holds a source.
 
-Defined cases: a null source is a stratum of its own; a null text has no bytes (size 1, crc32 0);
+Defined cases: rows of one source and text go by doc_id; texts are taken whole, whatever their length; a null source is a stratum of its own; a null text has no bytes (size 1, crc32 0);
 rows with a null doc_id are ordered by crc32 and size; repeated rows are each placed; an empty
 table gives an empty result; further columns of the input are ignored.
 """
@@ -27,7 +27,7 @@ from inkspan.llm.common import lookup_join, ordered_positions, read_table, stage
 def interleave(docs: DataFrame, shards: int = 8, seed: int = 17, source: str = "source") -> DataFrame:
     """doc_id, source, size, text_crc32, position (global), shard, slot for every row of ``docs``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.concat(F.lit(f"{seed}:"), text).cast("binary")
     rows = docs.select(
         "doc_id",
         F.col(source).cast("string").alias("source"),
