@@ -20,6 +20,7 @@ WORD_WEIGHT, CHAR_WEIGHT = 1.2, 0.5
 
 #: Characters that NFKC leaves as they are, alone and in sequence (no combining marks among them).
 _STABLE = "^[\x01-\x7f¡-§©«-®°±¶·»¿-ıĴ-ľŁ-ňŊ-žƀ-ǃ]*$"
+_BELOW_CJK = "\\x00-\\u2e7f"
 _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー"
 #: What trimming takes off: Unicode spaces, line ends and the byte order mark.
 SPACES = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -73,10 +74,12 @@ def _cjk_tokens(run: Column) -> Column:
 
 
 def tokens(folded: Column) -> Column:
-    """The bag of tokens of folded text: words of Latin runs; bigrams, words and characters of others."""
-    found = runs(folded)
-    mixed = F.flatten(F.transform(found, lambda r: F.when(r.rlike("^[a-z0-9_]"), F.array(r)).otherwise(_cjk_tokens(r))))
-    return F.when(folded.rlike(f"[{_CJK}]"), mixed).otherwise(found)
+    """The bag of tokens of folded text: words of Latin runs; bigrams, words and characters of others.
+
+    Han, Hiragana and Katakana all lie beyond ``_BELOW_CJK``; a text without such characters is not asked for their scripts one by one.
+    """
+    mixed = F.flatten(F.transform(runs(folded), lambda r: F.when(r.rlike("^[a-z0-9_]"), F.array(r)).otherwise(_cjk_tokens(r))))
+    return F.when(folded.rlike(f"[^{_BELOW_CJK}]"), mixed).otherwise(_all(folded, "[a-z0-9_]+"))
 
 
 def bigram_tokens(folded: Column) -> Column:
