@@ -153,6 +153,11 @@ def pick_sentence(text: Column, title: Column, number: Column) -> Column:
     return F.when(F.size(fit) > 0, F.get(fit, F.pmod(number, F.size(fit)).cast("int")))
 
 
+def preview_cost(body_bytes: Column, price: float) -> Column:
+    """What a request may cost, from its bytes (a token has one at least) and the price of a million tokens, to six decimals."""
+    return F.round(body_bytes * F.lit(price) / 1e6, 6)
+
+
 def cost_text(cost: Column, tokens_used: Column, price: float) -> Column:
     """The charged cost, or the one that follows from tokens and the price of a million, to six decimals; else ``unknown``."""
     known = F.coalesce(cost, tokens_used * F.lit(price) / 1e6)

@@ -14,8 +14,8 @@ from inkspan.operators.metrics import RANK_PLACES
 
 #: BM25 saturation and length normalization.
 K1, B = 1.2, 0.75
-#: Queries up to this number are broadcast with their terms.
-BROADCAST_QUERIES = 10_000
+#: Queries up to this number and these bytes are broadcast with their terms.
+BROADCAST_QUERIES, BROADCAST_QUERY_BYTES = 10_000, 8 << 20
 
 
 def idf() -> Column:
@@ -38,8 +38,9 @@ def query_terms(queries: DataFrame, index: Index) -> DataFrame:
 def scores(index: Index, queries: DataFrame) -> DataFrame:
     """(key, id, score) of every chunk that shares a term with the query."""
     terms = query_terms(queries, index)
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        terms = F.broadcast(terms)  # a query is short text; their number is checked
+    size = queries.limit(BROADCAST_QUERIES + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("query")), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= BROADCAST_QUERIES and size["bytes"] <= BROADCAST_QUERY_BYTES:
+        terms = F.broadcast(terms)  # their number and bytes are checked
     found = index.postings.join(terms, "term")
     found = found.join(index.term_df.join(terms.select("term").distinct(), "term", "left_semi"), ["field", "term"])
     found = found.join(F.broadcast(index.stats), "field")  # three rows

@@ -553,6 +553,21 @@ def byte_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.fitting_prefix(turns, 21000).select("key", "pos", F.col("payload_bytes").cast("long").alias("payload_bytes"))
 
 
+_PRICE = 0.04
+
+
+@_query(
+    f"""WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS key, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS pos, text FROM conversations),
+c AS (SELECT key, pos, octet_length(encode('{{"title":"","heading":"","text":' || to_json(left(repeat(text, 9), 1200)) || '}}')) + {_QUESTION_BYTES} + 2 * length(CAST(pos - 1 AS VARCHAR)) + CASE WHEN pos > 1 THEN 2 ELSE 0 END AS cost FROM t WHERE pos <= 20),
+r AS (SELECT key, pos, CAST(sum(cost) OVER (PARTITION BY key ORDER BY pos) + 300 AS BIGINT) AS payload_bytes FROM c) SELECT key, count(*) AS documents, max(payload_bytes) AS body_bytes, round(max(payload_bytes) * {_PRICE} / 1e6, 6) AS cost FROM r WHERE payload_bytes <= 24576 GROUP BY key"""
+)
+def cost_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each conversation how many turns a request holds, its bytes and what it may cost."""
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("key"), F.row_number().over(W.partitionBy("conv_id").orderBy("turn")).alias("pos"), F.lit("").alias("title"), F.lit("").alias("heading"), F.repeat("text", 9).alias("text"))
+    sizes = rerank.fitting_prefix(turns, 300).groupBy("key").agg(F.count("*").alias("documents"), F.max("payload_bytes").cast("long").alias("body_bytes"))
+    return sizes.withColumn("cost", tx.preview_cost(F.col("body_bytes"), _PRICE))
+
+
 @_query(
     "WITH h AS (SELECT CAST(label AS VARCHAR) AS key, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INT) AS pos, vec_id FROM embeddings WHERE label IS NOT NULL), j AS (SELECT key, pos, CASE WHEN key = '0' THEN 0.5 ELSE ((vec_id * 37) % 21) / 10.0 END AS s FROM h WHERE pos <= 20), t AS (SELECT key, max(s) AS top FROM j GROUP BY key), m AS (SELECT h.key, h.pos, s, coalesce(top, 0) < 1 AS keep FROM h LEFT JOIN j ON h.key = j.key AND h.pos = j.pos LEFT JOIN t ON h.key = t.key) SELECT key, pos, CAST(row_number() OVER (PARTITION BY key ORDER BY CASE WHEN keep THEN 0 WHEN s IS NOT NULL THEN 0 ELSE 1 END, CASE WHEN keep THEN 0.0 ELSE -coalesce(s, 0.0) END, pos) AS INT) AS new_pos FROM m"
 )
