@@ -3,8 +3,8 @@
 Subwords are runs of ``GRAMS`` bytes of the lower-cased text, in which everything that is no letter counts as one
 boundary; each is hashed to one of ``BUCKETS`` embeddings. A document is the mean of its subwords' embeddings, and a
 linear softmax gives the languages' chances. Embeddings and softmax are trained together by stochastic
-gradient descent in numpy, from at most ``PER_LANGUAGE`` examples of each language (texts of up to 32 KiB) that are not
-held out; executors turn them into bucket counts, and the driver holds these sparsely. Of few languages embeddings and weights
+gradient descent in numpy, from at most ``PER_LANGUAGE`` examples of each language and ``EXAMPLES`` in all (texts of up to 32 KiB) that
+are not held out, of the ``LANGUAGES`` languages that most rows have; executors turn them into bucket counts, and the driver holds these sparsely. Of few languages embeddings and weights
 fold into one table of scores per bucket after training, so a document costs one lookup a subword.
 
 Calibrated rejection: the temperature of the softmax and the score below which a prediction is ``rejected`` are
@@ -34,6 +34,8 @@ GRAMS = (2, 3, 4)
 BUCKETS = 1 << 14
 DIMENSIONS = 16
 PER_LANGUAGE = 512
+#: Bounds of what the driver gets, whatever the column of languages holds.
+LANGUAGES, EXAMPLES = 512, 1 << 15
 EXAMPLE_BYTES = 1 << 15
 MISSED = 0.005
 _SALTS = 16
@@ -152,10 +154,13 @@ class LanguageModel:
 def fit(docs: DataFrame) -> LanguageModel:
     """Learns from text and language of documents that are not held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(3, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
+    frequent = stage(known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang"))
+    each = min(PER_LANGUAGE, EXAMPLES // max(1, frequent.count()))
+    known = lookup_join(known, frequent, ["lang"])
     order = F.md5(F.col("doc_id").cast("string"))
     # each (language, salt) keeps its first rows already before the shuffle, so a frequent language moves no more than a rare one
     salted = known.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)))
-    ranked = salted.withColumn("_rank", F.row_number().over(W.partitionBy("lang", "_salt").orderBy(order, "doc_id"))).where(f"_rank <= {PER_LANGUAGE // _SALTS}")
+    ranked = salted.withColumn("_rank", F.row_number().over(W.partitionBy("lang", "_salt").orderBy(order, "doc_id"))).where(f"_rank <= {each // _SALTS}")
     ids = stage(ranked.select("doc_id", F.col("lang").alias("_lang")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ended().alias("_ended")).where(f"octet_length(_ended) between 3 and {EXAMPLE_BYTES}")
     texts = lookup_join(texts, ids, ["doc_id"]).groupBy("doc_id", "_lang").agg(F.min("_ended").alias("_ended"))
