@@ -5,13 +5,14 @@ words of every document count (the whole document where it is shorter). A window
 item if the weighted Jaccard similarity of their five-word shingles (weights: counts; fewer words:
 the whole item) is at least ``similarity``.
 
-1. Shingles of items are anchors. A document's items are those of whose shingles it holds as many as that similarity needs
-   of one window, and of an item's windows those that hold so many of any item; both are exact, and few pairs are left.
-2. SimHash of a window from its shingle hashes; pairs with an item beyond ``radius`` bits are passed over. At similarity 0.8
-   two codes differ in 9.7 bits on average (standard deviation 2.9); the radius of 20 is beyond three deviations. (A
-   multi-index for so large a radius has blocks of three bits, which nearly any two codes share; therefore the anchors
-   choose the pairs.)
-3. Exact weighted similarity of the pairs found.
+1. Windows that hold too few shingles of any item (anchors) cannot reach the similarity and are left out; this is exact.
+2. SimHash of each other window from its shingle hashes. A multi-index over Hamming blocks (`hamming.py`), one for the items of
+   a size, gives all items within the radius. The radius follows the sizes: at the similarity two bits of codes of n
+   shingles differ with a chance that is computed exactly, and the radius is the least that at most ``LOSS`` of such pairs go
+   beyond (windows of up to 8 shingles: 0, from 200 on: 20). Shingles are taken as different from one another; runs of one repeated
+   shingle weigh more in a code, so a pair that differs in such a run may be lost more often.
+3. Of the items found, those of whose shingles the document holds too few go; this is exact. The others' weighted similarity is
+   computed exactly.
 
 Documents are scanned in place: no shuffle. A benchmark beyond ``BLOCK_BYTES`` of text is taken in blocks, each in a job of
 its own whose leaks are staged and joined with the documents at the end, so what a task holds of it is bounded
@@ -24,7 +25,9 @@ bounded bytes; an empty benchmark leaves every document clean; all columns of th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -34,10 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkspan.llm.common import lookup_join, packed, read_table, row_key, stage, unpacked
+from inkspan.llm.hamming import HammingIndex
 from inkspan.llm.textscan import HashSet, column_bytes, shingle_hashes, slices, spread, word_hashes
 
 BLOCK_BYTES = 16 << 20
 WIDTH = 5
+#: Share of the pairs at the very similarity whose codes may lie beyond the radius.
+LOSS = 0.0005
 MATCH = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("words", T.LongType()), T.StructField("similarity", T.DoubleType())])
 _ARROW_MATCH = pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("words", pa.int64()), ("similarity", pa.float64())])
 
@@ -47,10 +53,43 @@ def simhash(hashes: np.ndarray) -> np.uint64:
     return np.packbits(2 * bits > len(hashes)).view(">u8")[0].astype(np.uint64)
 
 
+def _coins(n: int) -> np.ndarray:
+    """Chances of 0, 1, ... n ones among n fair bits."""
+    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n + 1)))))
+    return np.exp(logs[n] - logs - logs[::-1] - n * math.log(2))
+
+
+def flip_chance(size: int, span: int, shared: int) -> float:
+    """Chance that a bit of the codes of ``size`` and ``span`` shingles differs, of which ``shared`` are the same and all others random."""
+    same = np.arange(shared + 1)
+
+    def over_half(n: int) -> np.ndarray:
+        """Chance of a one for each number of ones among the shared."""
+        above = np.concatenate((np.cumsum(_coins(n - shared)[::-1])[::-1], [0.0]))  # chance of at least k ones among the others
+        return above[np.clip(n // 2 + 1 - same, 0, n - shared + 1)]
+
+    a, b = over_half(size), over_half(span)
+    return float((_coins(shared) * (a * (1 - b) + b * (1 - a))).sum())
+
+
+@cache
+def radius_of(size: int, span: int, similarity: float) -> int:
+    """The least radius that all but ``LOSS`` of the pairs of ``size`` and ``span`` shingles at the similarity lie within."""
+    shared = math.ceil(similarity * (size + span) / (1 + similarity) - 1e-9)
+    if shared > min(size, span):
+        return 0
+    chance, within = min(1.0, flip_chance(size, span, shared)), 0.0
+    for bits in range(64):
+        within += math.comb(64, bits) * chance**bits * (1 - chance) ** (64 - bits)
+        if within >= 1 - LOSS:
+            return bits
+    return 64
+
+
 class ItemIndex:
     """All that a task needs of a block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]], similarity: float, radius: int):
+    def __init__(self, items: list[tuple[int | None, bytes]], similarity: float, radius: int | None = None):
         self.ids = [i for i, _ in items]
         self.similarity = similarity
         data = np.frombuffer(b"".join(t for _, t in items), dtype=np.uint8)
@@ -70,10 +109,10 @@ class ItemIndex:
                 every.append(hashes)
                 codes[k] = simhash(hashes)
         self.anchors = HashSet(np.concatenate(every), 22)
-        self.radius, self.codes = radius, codes
-        self.classes = {w: np.array(ks) for w, ks in sorted(sizes.items())}
+        self.radius = radius
+        self.classes = {w: (np.array(ks), HammingIndex(codes[ks])) for w, ks in sorted(sizes.items())}
         self.need = np.full(len(items), np.iinfo(np.int64).max)
-        for w, ks in self.classes.items():
+        for w, (ks, _) in self.classes.items():
             self.need[ks] = np.ceil(similarity * (w - WIDTH + 1) - 1e-9)
         # items of each anchor, and how often the item has it
         owner = np.repeat(np.arange(len(items)), [len(u) for u, _ in self.shingles])
@@ -110,9 +149,9 @@ class ItemIndex:
         held = np.cumsum(held)
         bits = None
         best: dict[int, tuple[float, int, int]] = {}
-        for words, group in self.classes.items():
-            group = np.intersect1d(group, wanted, assume_unique=True)
-            if not len(group):
+        for words, (group, index) in self.classes.items():
+            able = np.isin(group, wanted, assume_unique=True)
+            if not able.any():
                 continue
             size = words - WIDTH + 1
             span = min(size, len(hashes))
@@ -125,9 +164,9 @@ class ItemIndex:
                 bits = np.zeros((len(own) + 1, 64), dtype=np.int32)
                 np.cumsum(np.unpackbits(own.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1), axis=0, out=bits[1:])
             codes = np.packbits(2 * (bits[start + span] - bits[start]) > span, axis=1).view(">u8")[:, 0].astype(np.uint64)
-            near = np.nonzero(np.bitwise_count(codes[:, None] ^ self.codes[group]) <= self.radius)
-            for window, item in zip(*(x.tolist() for x in near), strict=True):
-                k, at = int(group[item]), int(start[window])
+            window, item = index.near(codes, radius_of(size, span, self.similarity) if self.radius is None else self.radius)
+            for w, item in zip(window[able[item]].tolist(), item[able[item]].tolist(), strict=True):
+                k, at = int(group[item]), int(start[w])
                 if k in best and best[k][0] == 1.0:
                     continue
                 found = self.weighted(own[at : at + span], k)
@@ -174,7 +213,7 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
         yield block
 
 
-def _scan(rows: DataFrame, block: list[tuple[int | None, bytes]], similarity: float, radius: int) -> DataFrame:
+def _scan(rows: DataFrame, block: list[tuple[int | None, bytes]], similarity: float, radius: int | None) -> DataFrame:
     """(d, leaks) of (d, text)."""
     shared = rows.sparkSession.sparkContext.broadcast(ItemIndex(block, similarity, radius))  # bounded by BLOCK_BYTES
 
@@ -186,8 +225,8 @@ def _scan(rows: DataFrame, block: list[tuple[int | None, bytes]], similarity: fl
     return rows.mapInArrow(run, T.StructType([rows.schema["d"], T.StructField("leaks", T.ArrayType(MATCH))]))
 
 
-def leaks_of(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 20) -> DataFrame:
-    """(d, leaks): the columns of ``docs`` in a struct and an array of its leaks (item_id, first_word, words, similarity)."""
+def leaks_of(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int | None = None) -> DataFrame:
+    """(d, leaks): the columns of ``docs`` in a struct and an array of its leaks (item_id, first_word, words, similarity); no ``radius``: by size."""
     text = F.lower(F.col("text").cast("string")).cast("binary").alias("text")
     blocks = item_blocks(benchmark)
     block, further = next(blocks, []), next(blocks, None)
@@ -203,7 +242,7 @@ def leaks_of(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, rad
     return rows.select("d", F.coalesce("leaks", F.array().cast(T.ArrayType(MATCH))).alias("leaks"))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 20, out: str = "_leaks") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int | None = None, out: str = "_leaks") -> DataFrame:
     """``docs`` with an array of its leaks (item_id, first_word, words, similarity) in a further column ``out``."""
     if out in docs.columns:
         raise ValueError(f"docs have a column {out} already")
