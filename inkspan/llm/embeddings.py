@@ -6,18 +6,17 @@
    and its error stays below ``SPREAD`` * sqrt((1 - f^2) / f^2 / (D - 1)) but for a chance that falls with
    exp(-SPREAD^2 / 2). Pairs whose upper bound reaches the threshold are computed exactly in double precision; all
    others are passed over. A link is always an exact cosine.
-3. Cells: of labels with over ``CELL_ROWS`` classes the first bits of the code name a cell, so that a cell holds
-   about so many. A vector is compared with its own cell and with every cell that can hold a partner: one on the other side
-   of some coordinates is at least as far as the root of the sum of their squares, and a cosine of the threshold allows a squared
-   distance of 2 - 2 * threshold. So no pair is passed over by its cell; how many cells are left depends on the vectors.
-4. A cell is dealt in blocks of ``BLOCK_ROWS`` resident vectors; visitors stream past a block, so a task's memory is
-   bounded however large the cell. A pair that several cells could find is counted in one of them. Tasks emit counts
-   and spanning forests, not pairs.
+3. The classes of a label are dealt to blocks of ``BLOCK_ROWS`` (fewer where vectors are long). A task holds one block, compares it
+   with itself and with up to ``CELL_ROWS`` visitors of lower pairs, which stream past it; so each pair of a label meets once, and a
+   task's memory and work are bounded however many vectors a label has. No partition of 64 dimensions prunes at this threshold
+   (cells by the first 14 bits of the code would leave 0.71 of all cells to visit), so none is made: a vector is sent to as many tasks
+   as there are blocks before its own, half of all on average, 31 for a million vectors of a label in 64 dimensions.
+4. Tasks emit counts and spanning forests, not pairs.
 
 Defined cases: rows whose label or vector is null, or whose vector is empty, zero or holds null or
 non-finite components, link with nothing (component_id: their vec_id); vectors of different length are not compared;
 rows that repeat a vec_id count as vectors, those of a null vec_id too (they name no component and are not kept);
-ties have no order to decide, as links are counts; vectors of any length are compared whole; an empty table gives an empty result; other columns are ignored.
+ties have no order to decide, as links are counts; equal 64-bit hashes of label and vector count as equal vectors (chance n^2 / 2^65); vectors of any length are compared whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspan.llm.common import connected_components, lookup_join, read_table, stage
@@ -35,7 +34,9 @@ from inkspan.llm.simhash import forest
 
 THRESHOLD = 0.93
 SPREAD = 4.0
-CELL_ROWS, BLOCK_ROWS = 4096, 2048
+#: Visitors and residents of a task at most, and entries of its residents' vectors.
+CELL_ROWS, BLOCK_ROWS = 1 << 20, 16384
+BLOCK_VALUES = 1 << 20
 TILE = 512
 
 
@@ -61,96 +62,69 @@ def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return turned, turned >= 0, np.abs(turned).sum(axis=1) / np.sqrt(size)
 
 
-def cells(turned: np.ndarray, bits: int, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(home cell, owner, cell): by the first ``bits`` rotated coordinates, each cell that may hold a vector within the threshold of its owner."""
-    bits = min(bits, turned.shape[1], 30)
-    value = turned[:, :bits]
-    home = ((value >= 0) * (1 << np.arange(bits))).sum(axis=1).astype(np.int64)
-    owner, cell, cost = np.arange(len(turned)), home, np.zeros(len(turned))
-    most = 2 - 2 * threshold + 1e-9
-    for bit in range(bits):
-        more = cost + value[owner, bit] ** 2
-        near = more <= most
-        owner, cell, cost = np.concatenate((owner, owner[near])), np.concatenate((cell, cell[near] ^ (1 << bit))), np.concatenate((cost, more[near]))
-    order = np.argsort(owner, kind="stable")
-    return home, owner[order], cell[order]
-
-
-def _index(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Adds home and probed cells to (cid, n, group, bits, embedding)."""
-    for batch in batches:
-        bits = batch.column(3).to_numpy()
-        sizes = np.diff(batch.column(4).offsets.to_numpy())
-        for size, own in {(int(s), int(b)) for s, b in zip(sizes, bits, strict=True)}:
-            chosen = batch.filter(pa.array((sizes == size) & (bits == own)))
-            step = max(1, min(TILE, (1 << 21) >> own))  # some two million cells at once
-            for at in range(0, chosen.num_rows, step):
-                part = chosen.slice(at, step)
-                home, owner, cell = cells(encode(matrix(part.column(4)))[0], own, threshold)
-                ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=part.num_rows))))
-                probes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cell, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in (0, 1, 2, 4)), pa.array(home), probes], names=["cid", "n", "group", "embedding", "home", "probes"])
-
-
 class _Block:
-    """Resident vectors of a block, as codes, factors and originals."""
+    """Vectors of (key, visitor, own, cid, n, embedding) rows, as codes, factors and originals."""
 
     def __init__(self, part: pa.RecordBatch):
-        self.cid, self.n = part.column(2).to_numpy(), part.column(3).to_numpy()
-        self.home, self.block = part.column(4).to_numpy(), part.column(5).to_numpy()
-        self.probes = part.column(6).to_pylist()
-        self.vectors = matrix(part.column(7))
+        self.cid, self.n = part.column(3).to_numpy(), part.column(4).to_numpy()
+        self.vectors = matrix(part.column(5))
         self.turned, self.signs, self.factor = encode(self.vectors)
         self.length = np.linalg.norm(self.vectors, axis=1)
 
 
-def _hits(visitors: _Block, residents: _Block, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(visitor, resident) with an exact cosine of at least ``threshold``."""
-    size = residents.turned.shape[1]
-    margin = SPREAD * np.sqrt(np.maximum(1 - residents.factor**2, 0) / residents.factor**2 / max(size - 1, 1))
-    signs = np.where(residents.signs, 1, -1).astype(np.float32).T / np.sqrt(size)
-    found = []
-    for at in range(0, len(visitors.cid), TILE):
-        estimate = visitors.turned[at : at + TILE].astype(np.float32) @ signs / residents.factor.astype(np.float32)
-        v, r = np.nonzero(estimate + margin.astype(np.float32) >= threshold - 1e-5)
+class _Residents(_Block):
+    """A block, laid out to be compared with many."""
+
+    def __init__(self, part: pa.RecordBatch, threshold: float):
+        super().__init__(part)
+        size = self.turned.shape[1]
+        self.threshold = threshold
+        self.codes = np.where(self.signs, 1, -1).astype(np.float32).T / np.float32(np.sqrt(size))
+        self.codes /= self.factor.astype(np.float32)
+        margin = SPREAD * np.sqrt(np.maximum(1 - self.factor**2, 0) / self.factor**2 / max(size - 1, 1))
+        self.least = (threshold - 1e-5 - margin).astype(np.float32)
+
+    def hits(self, visitors: _Block, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """(visitor, resident) with an exact cosine of at least the threshold, for a tile of visitors from ``at`` on."""
+        v, r = np.nonzero(visitors.turned[at : at + TILE].astype(np.float32) @ self.codes >= self.least)
+        v += at
+        keep = np.zeros(len(v), dtype=bool)
         for k in range(0, len(v), 1 << 16):
-            a, b = v[k : k + (1 << 16)] + at, r[k : k + (1 << 16)]
-            cosine = np.einsum("ij,ij->i", visitors.vectors[a], residents.vectors[b]) / (visitors.length[a] * residents.length[b])
-            found.append((a[cosine >= threshold], b[cosine >= threshold]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+            a, b = v[k : k + (1 << 16)], r[k : k + (1 << 16)]
+            keep[k : k + (1 << 16)] = np.einsum("ij,ij->i", visitors.vectors[a], self.vectors[b]) / (visitors.length[a] * self.length[b]) >= self.threshold
+        return v[keep], r[keep]
 
 
-def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Counts (cid, links) and edges (u, v); rows come sorted by (key, visitor), so residents come first.
+def _report(visitors: _Block, block: _Block, v: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
+    """Counts (cid, links) and a spanning forest (u, v) of the pairs."""
+    size = len(visitors.cid)
+    cid = np.concatenate((visitors.cid, block.cid))
+    counts = np.bincount(v, block.n[r], minlength=len(cid)) + np.bincount(size + r, visitors.n[v], minlength=len(cid))
+    label = forest(len(cid), v, size + r)
+    some, tied = np.flatnonzero(counts), np.flatnonzero(label != np.arange(len(cid)))
+    columns = [np.concatenate((cid[some], np.zeros(len(tied), np.int64))), np.concatenate((counts[some].astype(np.int64), np.zeros(len(tied), np.int64)))]
+    edges = [np.concatenate((np.zeros(len(some), np.int64), cid[x])) for x in (tied, label[tied])]
+    edge = np.arange(len(some) + len(tied)) >= len(some)
+    return pa.RecordBatch.from_arrays([*(pa.array(c, mask=edge) for c in columns), *(pa.array(e, mask=~edge) for e in edges)], names=["cid", "links", "u", "v"])
 
-    Columns: key, visitor, cid, n, home, block, probes, embedding.
-    """
-    names = ["cid", "links", "u", "v"]
+
+def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Counts and edges of (key, visitor, own, cid, n, embedding); rows come sorted by (key, visitor), so residents come first."""
     held: list[pa.RecordBatch] = []
     key = block = None
 
-    def report(visitors: _Block, v: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
-        """For the pairs that this block has to count."""
-        size = len(visitors.cid)
-        cid = np.concatenate((visitors.cid, block.cid))
-        counts = np.bincount(v, block.n[r], minlength=len(cid)) + np.bincount(size + r, visitors.n[v], minlength=len(cid))
-        label = forest(len(cid), v, size + r)
-        some, tied = np.flatnonzero(counts), np.flatnonzero(label != np.arange(len(cid)))
-        none = pa.nulls(len(tied), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(cid[some]), none]), pa.concat_arrays([pa.array(counts[some].astype(np.int64)), none]), pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(cid[tied])]), pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(cid[label[tied]])])], names=names)
-
     def settle() -> Iterator[pa.RecordBatch]:
-        """The residents are complete: compare them with one another."""
+        """The residents are complete: compare them with one another, if this is the task for it."""
         nonlocal block, held
         if held:
-            block = _Block(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            own = held[0].column(2)[0].as_py()
+            block = _Residents(pa.Table.from_batches(held).combine_chunks().to_batches()[0], threshold)
             held = []
-            v, r = _hits(block, block, threshold)
-            own = v < r
-            if own.any():
-                yield report(block, v[own], r[own])
+            for at in range(0, len(block.cid) if own else 0, TILE):
+                v, r = block.hits(block, at)
+                once = v < r
+                if once.any():
+                    yield _report(block, block, v[once], r[once])
 
     for batch in batches:
         keys, guest = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
@@ -166,40 +140,46 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
                 held.append(part)
                 continue
             yield from settle()
-            if block is None:
+            if block is None:  # a hash that leaves a block without residents
                 continue
-            for k in range(0, part.num_rows, 4096):
-                visitors = _Block(part.slice(k, 4096))
-                v, r = _hits(visitors, block, threshold)
-                here = block.home[0]
-                # a visitor of the same cell comes only to lower blocks; of another cell: the lower of two cells that find it counts
-                mine = visitors.home[v] >= here
-                for p in np.flatnonzero(~mine).tolist():
-                    mine[p] = int(visitors.home[v[p]]) not in block.probes[r[p]]
-                if mine.any():
-                    yield report(visitors, v[mine], r[mine])
+            for k in range(0, part.num_rows, TILE):
+                visitors = _Block(part.slice(k, TILE))
+                v, r = block.hits(visitors, 0)
+                if len(v):
+                    yield _report(visitors, block, v, r)
     yield from settle()
 
 
+def meetings(block: Column, blocks: Column) -> Column:
+    """Array of (to, span, visitor, own): where a vector of a block goes. A task is a block (to) with a span of visitors' blocks."""
+    span = max(1, CELL_ROWS // BLOCK_ROWS)
+
+    def one(to: Column, of: Column, visitor: Column, own: bool) -> Column:
+        return F.struct(to.alias("to"), F.floor(of / span).alias("span"), visitor.alias("visitor"), F.lit(own).alias("own"))
+
+    # a visitor of the blocks before its own, a resident of its own
+    here = F.transform(F.sequence(F.lit(0), block), lambda to: one(to, block, to < block, True))
+    # and a resident in the tasks of its block that later spans visit
+    later = F.filter(F.sequence(F.lit(0), F.floor((blocks - 1) / span)), lambda s: s > F.floor(block / span))
+    return F.concat(here, F.transform(later, lambda s: one(block, s * span, F.lit(False), False)))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding, label)."""
     vec = F.col("embedding").cast("array<double>")
     sound = F.coalesce(F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0), F.lit(False))
     valid = F.col("label").isNotNull() & sound
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(valid, F.xxhash64("label", "embedding")).alias("cid"), "label", vec.alias("embedding"))
+    narrow = dict(vectors.dtypes)["embedding"] == "array<float>"  # sent as it is; tasks compute in double precision
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(valid, F.xxhash64("label", "embedding")).alias("cid"), "label", F.col("embedding") if narrow else vec.alias("embedding"))
     ids = stage(rows.select("vec_id", "cid"))
     classes = stage(
         rows.where("cid is not null").groupBy("cid").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("embedding").alias("embedding")).withColumn("group", F.xxhash64("label", F.size("embedding"))).drop("label")
     )
-    groups = stage(classes.groupBy("group").agg(F.ceil(F.greatest(F.lit(0.0), F.log2(F.count("*") / CELL_ROWS))).cast("int").alias("bits")))
-    placed = stage(lookup_join(classes, groups, ["group"]).select("cid", "n", "group", "bits", "embedding").mapInArrow(lambda b: _index(b, threshold), "cid long, n long, group long, embedding array<double>, home long, probes array<long>"))
-    stats = stage(placed.groupBy("group", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")))
-    sent = placed.select("*", F.explode("probes").alias("cell"))
-    sent = lookup_join(sent, stats, ["group", "cell"]).withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
-    # residents go to their own block and, as visitors, to the lower ones of their cell
-    last = F.when(F.col("cell") == F.col("home"), F.col("block")).otherwise(F.col("blocks") - 1)
-    sent = sent.select("*", F.explode(F.sequence(F.lit(0), last)).alias("to"))
-    sent = sent.select(F.xxhash64("group", "cell", "to").alias("key"), ((F.col("cell") != F.col("home")) | (F.col("to") != F.col("block"))).alias("visitor"), "cid", "n", "home", "block", "probes", "embedding")
+    rows_of = F.greatest(F.lit(1), F.least(F.lit(BLOCK_ROWS), F.floor(BLOCK_VALUES / F.first(F.size("embedding")))))
+    groups = stage(classes.groupBy("group").agg(F.ceil(F.count("*") / rows_of).cast("int").alias("blocks")))
+    dealt = lookup_join(classes, groups, ["group"]).withColumn("block", F.pmod(F.xxhash64("cid", F.lit(1)), "blocks").cast("int"))
+    sent = dealt.select("cid", "n", "group", "embedding", F.inline(meetings(F.col("block"), F.col("blocks"))))
+    sent = sent.select(F.xxhash64("group", "to", "span").alias("key"), "visitor", "own", "cid", "n", "embedding")
     found = stage(sent.repartition("key").sortWithinPartitions("key", "visitor").mapInArrow(lambda b: _compare(b, threshold), "cid long, links long, u long, v long"))
     links = found.where("cid is not null").groupBy("cid").agg(F.sum("links").alias("links"))
     roots = stage(connected_components(found.where("u is not null").select("u", "v")).withColumnRenamed("node", "cid"))

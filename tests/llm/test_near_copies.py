@@ -210,6 +210,24 @@ def test_vectors_of_many_cells(spark, monkeypatch):
     assert got == {k: (links[k], sets.find(k)) for k in range(len(rows))} and sum(links.values()) == 400
 
 
+@pytest.mark.parametrize(("cell", "block", "blocks"), [(12, 5, 9), (40, 5, 8), (1, 5, 4), (1 << 20, 1 << 14, 5)])
+def test_blocks_meet_once(spark, monkeypatch, cell, block, blocks):
+    """Every two blocks share one task, every block is compared with itself in one, and no task has more visitors than its span."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(em, "CELL_ROWS", cell)
+    monkeypatch.setattr(em, "BLOCK_ROWS", block)
+    sent = spark.range(blocks).select(F.col("id").cast("int").alias("b")).select("b", F.inline(em.meetings(F.col("b"), F.lit(blocks)))).collect()
+    tasks, met = {}, []
+    for r in sent:
+        tasks.setdefault((r.to, r.span), {True: [], False: []})[r.visitor].append(r)
+    for (to, _), rows in tasks.items():
+        assert [r.b for r in rows[False]] == [to] and len(rows[True]) <= max(1, cell // block)
+        met += [(to, r.b) for r in rows[True]] + [(to, to)] * rows[False][0].own
+    assert sorted(met) == [(i, j) for i in range(blocks) for j in range(i, blocks)]
+    assert sum(r.visitor for r in sent) == blocks * (blocks - 1) // 2
+
+
 def test_vectors_without_id(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(None, v, 1), (7, v, 1), (5, [1.0, 2.0, 3.1], 1), (None, [9.0, -1.0, 0.0], 1)]
