@@ -157,14 +157,15 @@ def leader_pairs(open_: DataFrame, turn: int) -> DataFrame:
     return out.distinct()
 
 
-#: Three lanes of a long: 20 bits of a value and one that an addition sets where the value is not zero.
-_LANE, _LANES = 21, 3
+#: Seven lanes of a long: 8 bits of a value and one that an addition sets where the value is not zero. Equal values have equal lanes,
+#: so no pair is lost; one of 256 unequal values looks equal.
+_LANE, _LANES = 9, 7
 _FULL = sum(((1 << (_LANE - 1)) - 1) << (_LANE * k) for k in range(_LANES))
 _SET = sum(1 << (_LANE * k + _LANE - 1) for k in range(_LANES))
 
 
 def _lanes(columns: list[str]) -> Column:
-    """20 bits of each of up to three columns as one long."""
+    """The low bits of each of up to seven columns as one long."""
     out = F.lit(0).cast("long")
     for k, c in enumerate(columns):
         out = out.bitwiseOR(F.shiftleft(F.col(c).cast("long").bitwiseAND(F.lit((1 << (_LANE - 1)) - 1)), _LANE * k))
@@ -185,7 +186,7 @@ def crossing_pairs(open_: DataFrame, signs_of: Callable[[DataFrame], DataFrame],
     """
     signs = signs_of(stage(open_.select("id").distinct()))
     minima = [m for m in signs.columns if m != "id"]
-    # three minima a long, 20 bits of each, as a member lies in many cells
+    # seven minima a long, as a member lies in many cells
     lanes = [_lanes(minima[at : at + _LANES]).alias(f"w{at // _LANES}") for at in range(0, len(minima), _LANES)]
     marks = stage(signs.select("id", *lanes))
     main = F.col("root") == F.col("main")
@@ -200,7 +201,7 @@ def crossing_pairs(open_: DataFrame, signs_of: Callable[[DataFrame], DataFrame],
     lead = F.transform(outer, lambda k: cell(0, o, k, F.lit(0)))
     rest = F.concat(F.transform(inner, lambda k: cell(0, k, o, F.lit(1))), F.transform(outer, lambda k: cell(1, F.least(o, k), F.greatest(o, k), F.when(o < k, 0).when(o > k, 1).otherwise(2))))
     dealt = open_.withColumn("own", own).select("id", "root", F.explode(F.when(main, lead).otherwise(rest)).alias("c")).select("id", "root", "c.*")
-    dealt = stage(lookup_join(dealt, marks, ["id"]))
+    dealt = lookup_join(dealt, marks, ["id"])
     left, right = dealt.where("side <> 1"), dealt.where("side <> 0")
     right = right.select("cell", *(F.col(c).alias(f"r{c}") for c in right.columns if c != "cell"))
     unequal = sum((F.bit_count((F.col(f"w{k}").bitwiseXOR(F.col(f"rw{k}")) + F.lit(_FULL)).bitwiseAND(F.lit(_SET))) for k in range(len(lanes))), F.lit(0))
