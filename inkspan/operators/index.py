@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from inkspan.functions import text as tx
 from inkspan.operators.chunk import chunk, with_ids
+from inkspan.saving import write_clean
 
 #: Field numbers and their weights: title, heading, body.
 FIELDS = {"title": 0, "heading": 1, "text": 2}
@@ -46,7 +47,7 @@ class Index:
         spark = self.chunks.sparkSession
 
         def put(table: DataFrame, name: str) -> DataFrame:
-            table.write.mode("overwrite").parquet(f"{path}/{name}")
+            write_clean(spark, table.write.mode("overwrite"), f"{path}/{name}")
             return spark.read.schema(table.schema).parquet(f"{path}/{name}")
 
         chunks = put(self.chunks, "chunks")
@@ -87,10 +88,23 @@ def statistics(chunks: DataFrame, postings: DataFrame) -> DataFrame:
     return fields.join(F.broadcast(chunks.agg(F.count("*").alias("n")))).select("field", "n", F.coalesce("total", F.lit(0).cast("long")).alias("total"))
 
 
+def vocabulary(chunks: DataFrame, tokenizer: tx.Tokenizer = tx.tokens, stable: bool = False) -> DataFrame:
+    """(field, term, df, total): how many chunks have a term; a row without term has the number of chunks and of tokens of the field. One pass, no postings."""
+    terms = field_tokens(chunks, tokenizer, stable).select("field", F.size("tokens").cast("long").alias("dl"), F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("term"))
+    return terms.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("total"))
+
+
+def field_sums(chunks: DataFrame, tokenizer: tx.Tokenizer = tx.tokens, stable: bool = False) -> DataFrame:
+    """``statistics`` from the chunks alone, without a shuffle of postings."""
+    sums = field_tokens(chunks, tokenizer, stable).groupBy("field").agg(F.count("*").alias("n"), F.sum(F.size("tokens").cast("long")).alias("total"))
+    fields = chunks.sparkSession.createDataFrame([(n,) for n in FIELDS.values()], "field int")
+    return fields.join(F.broadcast(sums), "field", "left").select("field", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n", "total")))  # three rows
+
+
 def from_chunks(chunks: DataFrame, tokenizer: tx.Tokenizer = tx.tokens, stable: bool = False) -> Index:
     """Tables of an index over chunks that have ids."""
     postings = postings_of(chunks, tokenizer, stable)
-    return Index(chunks, postings, frequencies(postings), statistics(chunks, postings), tokenizer, stable, True)
+    return Index(chunks, postings, frequencies(postings), field_sums(chunks, tokenizer, stable), tokenizer, stable, True)
 
 
 def build(notes: DataFrame, tokenizer: tx.Tokenizer = tx.tokens, stable: bool = False, plain_only: bool = False, native_ids: bool = False) -> Index:
@@ -123,7 +137,7 @@ def _replace(index: Index, paths: DataFrame, fresh: Index | None) -> Index:
     postings = index.postings.join(gone, "id", "left_anti").select(*index.postings.columns)
     if fresh:
         chunks, postings = chunks.unionByName(fresh.chunks), postings.unionByName(fresh.postings)
-    return Index(chunks, postings, frequencies(postings), statistics(chunks, postings), index.tokenizer, index.stable)
+    return Index(chunks, postings, frequencies(postings), field_sums(chunks, index.tokenizer, index.stable), index.tokenizer, index.stable)
 
 
 def clear(index: Index) -> Index:

@@ -56,6 +56,11 @@ def ranks_by_counting(scored: DataFrame, places: DataFrame, queries: DataFrame,
     # a relevant chunk of grade 2 is a relevant one, so it cannot rank before the best
     far = marks.withColumn("far", F.coalesce("exact", "any"))
     reach = scored.join(far, "key").where(-F.round("score", RANK_PLACES) <= F.col("far.s")).join(places, "id").withColumn("o", order).where("o < far")
+    return ranks_of_marks(marks, reach, queries, limit)
+
+
+def ranks_of_marks(marks: DataFrame, reach: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """``first_ranks`` from the best relevant chunks (key, any, exact) and the chunks (key, path, o, any, exact) that may rank before them."""
     of_note = reach.groupBy("key", "path").agg(F.sum(F.when(F.col("o") < F.col("any"), 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("o") < F.col("exact"), 1).otherwise(0)).alias("e"))
     count = lambda c: F.sum(F.when(F.col(c) > 0, 1).otherwise(0))
     ahead = of_note.groupBy("key").agg(count("a").alias("notes"), F.sum("a").alias("chunks"), count("e").alias("notes_exact"), F.sum("e").alias("chunks_exact"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkspan.functions import text as tx
+from inkspan.operators import scan
 from inkspan.operators.index import FIELD_WEIGHTS, Index
 from inkspan.operators.metrics import RANK_PLACES
 
@@ -16,6 +17,10 @@ from inkspan.operators.metrics import RANK_PLACES
 K1, B = 1.2, 0.75
 #: Queries up to this number and these bytes are broadcast with their terms.
 BROADCAST_QUERIES, BROADCAST_QUERY_BYTES = 10_000, 8 << 20
+#: Queries up to which postings of their terms are read; more of them are answered in one pass over the chunks.
+FEW_QUERIES = 8
+#: Hits (key, place, id, score) that are broadcast to their chunks.
+BROADCAST_HITS = 100_000
 
 
 def idf() -> Column:
@@ -35,14 +40,31 @@ def query_terms(queries: DataFrame, index: Index) -> DataFrame:
     return queries.select("key", F.explode(F.array_distinct(index.tokenizer(tx.fold(F.col("query"), index.stable)))).alias("term"))
 
 
+def _size(queries: DataFrame) -> tuple[int, bool]:
+    """(number of queries, whether they may be sent to all tasks)."""
+    size = queries.limit(BROADCAST_QUERIES + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("query")), F.lit(0)).alias("bytes")).first()
+    return size["n"], size["n"] <= BROADCAST_QUERIES and size["bytes"] <= BROADCAST_QUERY_BYTES
+
+
+def in_one_pass(index: Index, queries: DataFrame, weighted: bool = True, few: int = 0) -> scan.Asked | None:
+    """The queries for a scan of the chunks; None where they are too many to send to all tasks, or no more than ``few``."""
+    n, fit = _size(queries)
+    return scan.asked(index, query_terms(queries, index).collect(), K1, B, weighted) if fit and n > few else None
+
+
 def scores(index: Index, queries: DataFrame) -> DataFrame:
     """(key, id, score) of every chunk that shares a term with the query."""
     terms = query_terms(queries, index)
-    size = queries.limit(BROADCAST_QUERIES + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("query")), F.lit(0)).alias("bytes")).first()
-    if size["n"] <= BROADCAST_QUERIES and size["bytes"] <= BROADCAST_QUERY_BYTES:
+    n, fit = _size(queries)
+    postings, term_df = index.postings, index.term_df
+    if fit and n <= FEW_QUERIES:
+        # as literals the terms reach the scan of saved postings, and go below the aggregation of those that are made anew
+        words = [r["term"] for r in terms.select("term").distinct().collect()]
+        postings, term_df = postings.where(F.col("term").isin(words)), term_df.where(F.col("term").isin(words))
+    if fit:
         terms = F.broadcast(terms)  # their number and bytes are checked
-    found = index.postings.join(terms, "term")
-    found = found.join(index.term_df.join(terms.select("term").distinct(), "term", "left_semi"), ["field", "term"])
+    found = postings.join(terms, "term")
+    found = found.join(term_df.join(terms.select("term").distinct(), "term", "left_semi"), ["field", "term"])
     found = found.join(F.broadcast(index.stats), "field")  # three rows
     return found.groupBy("key", "id").agg(F.sum(term_score()).alias("score"))
 
@@ -56,12 +78,19 @@ def search_many(index: Index, queries: DataFrame, limit: float = 50) -> DataFram
     keep = rows_of(limit)
     if keep == 0:
         queries = queries.limit(0)
-    places = index.chunks.select("id", "path", "start_line")
-    ranked = scores(index, queries).join(places, "id").withColumn("pos", F.row_number().over(W.partitionBy("key").orderBy(*rank_order())))
+    wanted = in_one_pass(index, queries, few=FEW_QUERIES) if keep else None
+    if wanted is not None:
+        found = scan.best(index, queries, wanted, keep)
+    else:
+        found = scores(index, queries).join(index.chunks.select("id", "path", "start_line"), "id")
+    ranked = found.withColumn("pos", F.row_number().over(W.partitionBy("key").orderBy(*rank_order())))
     if keep is not None:
         ranked = ranked.where(F.col("pos") <= keep)
     # texts join only after the cut
-    return ranked.select("key", "pos", "id", "score").join(index.chunks, "id").select("key", "pos", "path", "title", "heading", "text", "start_line", "score", "id")
+    hits = ranked.select("key", "pos", "id", "score")
+    if wanted is not None and keep * len(wanted.keys) <= BROADCAST_HITS:
+        hits = F.broadcast(hits)  # bounded by the cut
+    return hits.join(index.chunks, "id").select("key", "pos", "path", "title", "heading", "text", "start_line", "score", "id")
 
 
 def rows_of(limit: float) -> int | None:
