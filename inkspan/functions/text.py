@@ -19,7 +19,10 @@ WORD_PREFIX, CHAR_PREFIX = "w:", "c:"
 WORD_WEIGHT, CHAR_WEIGHT = 1.2, 0.5
 
 #: Characters that NFKC leaves as they are, alone and in sequence (no combining marks among them).
-_STABLE = "^[\x01-\x7f¡-§©«-®°±¶·»¿-ıĴ-ľŁ-ňŊ-žƀ-ǃ]*$"
+_STABLE = "^[\x01-\x7f¡-§©«-®°±¶·»¿-ıĴ-ľŁ-ňŊ-žƀ-ǃぁ-ゖァ-ヺー一-\u9fff]*$"
+#: Full-width forms and the characters that NFKC puts in their place, one for one.
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_NARROW = "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
 _BELOW_CJK = "\\x00-\\u2e7f"
 _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー"
 #: What trimming takes off: Unicode spaces, line ends and the byte order mark.
@@ -48,7 +51,14 @@ def fold(text: Column, stable: bool = False) -> Column:
     """NFKC and lower case; with ``stable`` the former is skipped. Only rows that need it send their text to Python."""
     if stable:
         return F.lower(text)
-    return F.lower(F.coalesce(_nfkc(F.when(~is_stable(text), text)), text))
+    plain = narrowed(text)
+    return F.lower(F.coalesce(_nfkc(F.when(~is_stable(plain), plain)), plain))
+
+
+def narrowed(text: Column) -> Column:
+    """Full-width forms as the characters that they stand for; NFKC of the result is that of the text."""
+    # an array of one, so that the text is made once
+    return F.get(F.transform(F.array(text), lambda t: F.when(t.rlike("[！-～]"), F.translate(t, _WIDE, _NARROW)).otherwise(t)), F.lit(0))
 
 
 def _all(text: Column, pattern: str) -> Column:
