@@ -9,7 +9,8 @@ A search for k chunks:
 1. reads the highest postings of lists until each has k or would cost too much; the k-th best sum is a threshold below the k-th best score;
 2. sets a cut for each list, such that what lies below all cuts adds up to less than the threshold, and reads what lies above: a chunk that is in no
    part read cannot be among the best. Cuts are set where they save most postings for the score that they give away;
-3. bounds each chunk found by what it has and what the cuts leave open, and computes the score of those that may still win from their text.
+3. bounds each chunk found by what it has and what the cuts leave open, and computes the score of those that may still win from their text;
+   if these are many, in one pass over all texts.
 
 The result is that of ``search``, chunk by chunk.
 """
@@ -24,8 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspan.functions import text as tx
+from inkspan.operators import scan
 from inkspan.operators.index import FIELD_WEIGHTS, Index, postings_of
 from inkspan.operators.search import B, K1, query_terms, rank_order, rows_of, search
+from inkspan.saving import write_clean
 
 #: Buckets for each unit of impact; an impact is below K1 + 1.
 BUCKETS = 32
@@ -111,8 +114,8 @@ class ImpactIndex:
         """Write the tables; one range shuffle of the postings, in which a frequent term is split by its impacts."""
         rows = index.postings.join(F.broadcast(index.stats), "field").withColumn("impact", impact()).select("term", "field", "impact", "id", "tf", "dl")  # three rows
         order = [F.col("term"), F.col("field"), F.col("impact").desc(), F.col("id")]
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/impacts")
         spark = index.chunks.sparkSession
+        write_clean(spark, rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("parquet.block.size", ROW_GROUP), f"{path}/impacts")
         known = spark.read.schema(rows.schema).parquet(f"{path}/impacts")
         counted = known.groupBy("term", "field", F.floor(F.col("impact") * BUCKETS).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
         counted.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/histogram")
@@ -173,14 +176,21 @@ class ImpactIndex:
             read = sum(one.size(cuts[i]) for i, one in enumerate(lists)) + sum(lists[i].size(c) for i, c in first.items())
             unknown = sum(one.below(cuts[i]) for i, one in enumerate(lists))
             may_win = found.where(F.col("score") + (F.lit(unknown) - F.col("open")) >= self._kth(found, k) - ROOM)
-            scored = may_win.select("id", "score") if unknown == 0 else self._complete(may_win.select("id"), lists)
-            places = self._chunks_of(scored).select("id", "path", "start_line")
-            top = scored.join(places, "id").orderBy(*rank_order()).limit(k).select("id", "score")
-            hits = self._rows(top.collect())
+            if unknown and may_win.limit(LOOKED_UP + 1).count() > LOOKED_UP:
+                placed = self._pass(query, k)
+            else:
+                scored = may_win.select("id", "score") if unknown == 0 else self._complete(may_win.select("id"), lists)
+                placed = scored.join(self._chunks_of(scored).select("id", "path", "start_line"), "id")
+            hits = self._rows(placed.orderBy(*rank_order()).limit(k).select("id", "score").collect())
         finally:
             found.unpersist()
         return Found(hits, read, total)
 
+    def _pass(self, query: str, k: int) -> DataFrame:
+        """What may be the best k of all chunks, where the bounds leave too many to look up: one pass over the texts, which are not shuffled."""
+        index, one = self.whole(), self.spark.createDataFrame([("q", query)], "key string, query string")
+        return scan.best(index, one, scan.asked(index, query_terms(one, index).collect(), K1, B), k)
+
     def _rows(self, top: list) -> DataFrame:
         """Hits of at most k (id, score) that were chosen."""
         chosen = self.spark.createDataFrame([tuple(r) for r in top], "id string, score double")
