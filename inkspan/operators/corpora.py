@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -98,6 +99,15 @@ def bigram_noise(notes: DataFrame, words: DataFrame) -> DataFrame:
     return words.select("word").join(near.groupBy("word").agg(F.count("*").alias("noise")), "word", "left").select("word", F.coalesce("noise", F.lit(0)).alias("noise"))
 
 
+def token_counts(texts: DataFrame, folded: Callable[[Column], Column], tokenizer: tx.Tokenizer = tx.tokens) -> DataFrame:
+    """(term, n): how often the ``texts`` (text) have each token, folded by ``folded``.
+
+    No token reaches over a space, so what lies between spaces is counted first and each such word is cut once, however often it occurs.
+    """
+    words = texts.select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return words.select("n", F.explode(tokenizer(folded(F.col("word")))).alias("term")).groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def unambiguous(sentences: DataFrame) -> DataFrame:
     """Of (sentence, path) those whose sentence one note alone has."""
     shared = sentences.groupBy("sentence").agg(F.count_distinct("path").alias("_n")).where("_n > 1").select("sentence")

@@ -8,6 +8,7 @@ from urllib.parse import parse_qs, urlparse
 import pytest
 from pyspark.sql import functions as F
 
+from inkspan.functions import text as tx
 from inkspan.operators import corpora
 from inkspan.operators.order import order_statistics
 from inkspan.sources import pages as pg
@@ -34,6 +35,27 @@ def test_passages_of_common_words_meet_by_rare_grams(spark):
     assert corpora.passage_relevance(told, asked.limit(0)).count() == 0
 
 
+def test_tokens_are_counted_by_word(spark):
+    """The same numbers as from whole texts, and a word that occurs often is cut once."""
+    rng = random.Random(7)
+    words = ["pear", "管理ランキング", "ー", "a管b", "ΑΣ", "ｆｉｇ", "", "x\ny", "検索 ", "´", "\u0301é", "\u3000管"]
+    texts = [(" ".join(rng.choice(words) for _ in range(rng.randrange(60))),) for _ in range(80)] + [(None,), ("",), (" ",)]
+    frame = spark.createDataFrame(texts, "text string")
+    for stable in (True, False):
+        whole = frame.select(F.explode(tx.tokens(tx.fold(F.col("text"), stable))).alias("term")).groupBy("term").count()
+        counted = corpora.token_counts(frame, lambda word, stable=stable: tx.fold(word, stable))
+        assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, whole.collect()))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def cut(word):
+        seen.add(1)
+        return [word]
+
+    assert corpora.token_counts(spark.createDataFrame([("fig " * 499 + "fig",)] * 20, "text string"), lambda word: word, cut).collect() == [("fig", 10000)]
+    assert seen.value == 1
+
+
 @pytest.mark.parametrize("falling", [False, True])
 def test_order_statistics_against_sorting(spark, falling):
     rng = random.Random(5)
