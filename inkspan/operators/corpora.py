@@ -16,14 +16,15 @@ from inkspan.functions import text as tx
 ANCHOR_WORDS, ANCHOR_CHARACTERS = 4, 6
 #: Grams of passages up to which they are broadcast; a gram is one long.
 BROADCAST_GRAMS = 1_000_000
+#: Paths of notes that may have a passage up to which they are broadcast, so that no other text is shuffled.
+BROADCAST_PATHS = 200_000
 
 
-def _word_grams(text: Column, size: int, inner: bool) -> Column:
-    """Hashes of all runs of ``size`` words; with ``inner`` without the first and the last word, which may be parts of longer ones."""
+def _word_grams(text: Column, size: int) -> Column:
+    """Hashes of all runs of ``size`` words without the first and the last word, which may be parts of longer ones."""
 
     def runs(words: Column) -> Column:
-        if inner:
-            words = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+        words = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
         last = F.size(words) - (size - 1)
         found = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.lit(size), F.slice(words, i, F.lit(size))))
         return F.when(last >= 1, F.array_distinct(found)).otherwise(F.array().cast("array<bigint>"))
@@ -32,6 +33,16 @@ def _word_grams(text: Column, size: int, inner: bool) -> Column:
     return F.flatten(F.transform(F.array(F.split(text, " ")), runs))
 
 
+def _grams_of_words(notes: DataFrame, sizes: list[int]) -> DataFrame:
+    """(path, gram): the hashes of _word_grams() of all runs of words of the notes, the first and the last word too; one row a word and size, by generated code alone."""
+    words = notes.select("path", F.split("text", " ").alias("_s")).select("path", "_s", F.explode(F.sequence(F.lit(0), F.size("_s") - 1)).alias("_i"))
+    # a hash of an array is that of its elements one after the other
+    grams = [F.when(F.col("_i") + size <= F.size("_s"), F.xxhash64(F.lit(size), *(F.get("_s", F.col("_i") + k) for k in range(size)))) for size in sizes]
+    if len(grams) == 1:
+        return words.select("path", grams[0].alias("gram"))
+    return words.select("path", F.explode(F.array(*grams)).alias("gram"))
+
+
 def _character_grams(text: Column, size: int) -> Column:
     """Hashes of all runs of ``size`` characters, in one pass."""
     return F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))), lambda g: F.xxhash64(F.lit(-size), g))
@@ -47,32 +58,41 @@ def passage_anchors(notes: DataFrame, passages: DataFrame) -> DataFrame:
     sized = passages.where("query is not null and query <> ''").withColumn("_w", F.least(inner, F.lit(ANCHOR_WORDS))).withColumn("_c", F.least(F.length("query"), F.lit(ANCHOR_CHARACTERS)))
     kinds = [(n, True) for n in range(1, ANCHOR_WORDS + 1)] + [(n, False) for n in range(1, ANCHOR_CHARACTERS + 1)]
     used = {(r["_w"], True) if r["_w"] > 0 else (r["_c"], False) for r in sized.select("_w", "_c").distinct().collect()}  # a few sizes
-    asked, told = [], []
+    asked, by_words, by_characters = [], [], []
     for size, by_word in (k for k in kinds if k in used):
-        grams = _word_grams(F.col("query"), size, True) if by_word else _character_grams(F.col("query"), size)
+        grams = _word_grams(F.col("query"), size) if by_word else _character_grams(F.col("query"), size)
         own = F.col("_w") == size if by_word else (F.col("_w") <= 0) & (F.col("_c") == size)
         asked.append(sized.where(own).select("key", F.explode(grams).alias("gram")))
-        told.append(_word_grams(F.col("text"), size, False) if by_word else _character_grams(F.col("text"), size))
+        (by_words if by_word else by_characters).append(size)
     if not asked:
         return passages.sparkSession.createDataFrame([], "key string, path string, gram long, df long")
     asked = reduce(DataFrame.unionByName, asked).persist(StorageLevel.MEMORY_AND_DISK)
     wanted = asked.select("gram").distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_GRAMS else wanted
-    # one scan of the notes, whatever the sizes
-    held = notes.select("path", F.explode(F.concat(*told)).alias("gram")).join(wanted, "gram", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
-    counts = held.groupBy("gram").agg(F.count("*").alias("df"))
+    told = []
+    if by_words:
+        told.append(_grams_of_words(notes, by_words))
+    if by_characters:
+        told.append(notes.select("path", F.explode(F.concat(*(_character_grams(F.col("text"), size) for size in by_characters))).alias("gram")))
+    held = reduce(DataFrame.unionByName, told).join(wanted, "gram", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+    counts = held.distinct().groupBy("gram").agg(F.count("*").alias("df"))
     rarest = asked.join(counts, "gram", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("m")).where("m.df > 0")
-    return held.join(rarest.select("key", "m.gram", "m.df"), "gram").select("key", "path", "gram", "df")
+    return held.join(rarest.select("key", "m.gram", "m.df"), "gram").select("key", "path", "gram", "df").distinct()
 
 
-def passage_relevance(notes: DataFrame, passages: DataFrame, grade: int = 2) -> DataFrame:
-    """(key, path, grade): notes (path, text) that contain a passage (key, query) verbatim.
+def passage_relevance(notes: DataFrame, passages: DataFrame, grade: int = 2, whole: int | None = None) -> DataFrame:
+    """(key, path, grade): notes (path, text) that contain a passage (key, query) verbatim; ``whole`` is the grade of those that are the passage, if it is another.
 
-    Paths and passages meet by the passage's rarest gram in the notes; texts join by path for the containment test alone.
+    Paths and passages meet by the passage's rarest gram in the notes; texts join by path for the containment test alone, and only those of such paths.
     """
     pairs = passage_anchors(notes, passages).select("key", "path").join(passages.select("key", "query"), "key")
-    found = pairs.join(notes.select("path", "text"), "path").where(F.contains("text", F.col("query")))
-    return found.select("key", "path").distinct().withColumn("grade", F.lit(grade))
+    paths = pairs.select("path").distinct().limit(BROADCAST_PATHS + 1).persist(StorageLevel.MEMORY_AND_DISK)
+    texts = notes.select("path", "text")
+    if paths.count() <= BROADCAST_PATHS:
+        texts = texts.join(F.broadcast(paths), "path", "left_semi")
+    found = pairs.join(texts, "path").where(F.contains("text", F.col("query")))
+    marked = F.lit(grade) if whole is None else F.when(F.col("text") == F.col("query"), whole).otherwise(grade)
+    return found.select("key", "path", marked.alias("grade")).distinct()
 
 
 def word_relevance(notes: DataFrame, least: int = 3, most: int = 12, most_notes: int = 4, limit: int = 400) -> tuple[DataFrame, DataFrame]:

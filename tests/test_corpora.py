@@ -35,6 +35,19 @@ def test_passages_of_common_words_meet_by_rare_grams(spark):
     assert corpora.passage_relevance(told, asked.limit(0)).count() == 0
 
 
+def test_grades_in_one_join_and_without_texts_of_other_notes(spark):
+    """A note that is a passage has a grade of its own; a word that a note repeats counts once; texts of notes without a passage are not shuffled."""
+    notes = [("a", "x one two three four y"), ("b", "one two three four"), ("c", "x one two three four y one two three four"), ("d", "two three"), ("e", None), ("a", "x one two three four y")]
+    passages = [("1", "one two three four"), ("2", "x one two three four y"), ("3", "two three")]
+    told, asked = spark.createDataFrame(notes, "path string, text string"), spark.createDataFrame(passages, "key string, query string")
+    expected = {(k, p, 3 if t == q else 2) for k, q in passages for p, t in notes if t is not None and q in t}
+    assert sorted(map(tuple, corpora.passage_relevance(told, asked, 2, 3).collect())) == sorted(expected)
+    assert {(r.key, r.df) for r in corpora.passage_anchors(told, asked).collect()} >= {("1", 4)}
+    many = told.unionByName(spark.range(20000).select(F.concat(F.lit("z"), "id").alias("path"), F.repeat(F.lit("other words "), 20).alias("text")))
+    plan = corpora.passage_relevance(many, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [path" in plan and "LeftSemi" in plan
+
+
 def test_tokens_are_counted_by_word(spark):
     """The same numbers as from whole texts, and a word that occurs often is cut once."""
     rng = random.Random(7)
