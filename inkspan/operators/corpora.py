@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+import hashlib
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.functions import text as tx
+from inkspan.saving import discard, scratch, write_clean
 
 
 #: Words, or characters of passages of less than three words, that an anchor has at most.
@@ -155,17 +158,73 @@ def _stream_digest(batches):
     state, n = hashlib.sha256(), 0
     for batch in batches:
         for piece in batch.column(0).to_pylist():
-            state.update(piece.encode())
+            state.update((piece or "").encode())  # null: counted, no bytes
             n += 1
     yield pa.RecordBatch.from_pydict({"n": [n], "digest": [state.hexdigest()]})
 
 
+def _sha256_library():
+    """The C library below hashlib, whose SHA-256 can be stopped and taken up again; None where hashlib has no such library."""
+    try:
+        import _hashlib
+
+        library = ctypes.CDLL(_hashlib.__file__)
+        for name in ("SHA256_Init", "SHA256_Update", "SHA256_Final"):
+            getattr(library, name)
+    except (ImportError, OSError, AttributeError):
+        return None
+    library.SHA256_Update.argtypes = [ctypes.c_void_p, ctypes.c_char_p, ctypes.c_size_t]
+    return library
+
+
+#: Bytes of a state (the library's structure has 112).
+_STATE = 256
+
+
+def _digest_from(state: bytes | None) -> Callable[[Iterator], Iterator]:
+    """A function that goes on with a SHA-256 from ``state`` (None: from its beginning) over the pieces that pass."""
+
+    def go_on(batches):
+        import pyarrow as pa
+
+        library, n = _sha256_library(), 0
+        held = ctypes.create_string_buffer(state, _STATE) if state else ctypes.create_string_buffer(_STATE)
+        if not state:
+            library.SHA256_Init(held)
+        for batch in batches:
+            for piece in batch.column(0).to_pylist():
+                data = (piece or "").encode()  # null: counted, no bytes
+                library.SHA256_Update(held, data, len(data))
+                n += 1
+        after, out = held.raw, ctypes.create_string_buffer(32)
+        library.SHA256_Final(out, held)
+        yield pa.RecordBatch.from_pydict({"n": [n], "digest": [out.raw.hex()], "state": [after]})
+
+    return go_on
+
+
 def exact_digest(pieces: DataFrame, piece: Column, *order: str) -> DataFrame:
     """One row (n, digest): SHA-256 of the pieces in order, one behind the other.
 
-    A SHA-256 has no parallel form, so one task sorts (with spill) and streams them; it keeps one batch. ``hash_tree`` is the one to use at scale.
+    A SHA-256 has no parallel form, but its state can be handed on: pieces are dealt to ranges of the order, and one task after the other
+    sorts a range and goes on where the last one stopped, so that none reads more than its range. Where hashlib's library lets no state out,
+    one task sorts (with spill) and streams all. ``hash_tree`` is the one to use at scale.
     """
-    return pieces.select(piece.alias("_p"), *order).repartition(1).sortWithinPartitions(*order).select("_p").mapInArrow(_stream_digest, "n long, digest string")
+    spark, cut = pieces.sparkSession, pieces.select(piece.alias("_p"), *order)
+    if _sha256_library() is None:
+        return cut.repartition(1).sortWithinPartitions(*order).select("_p").mapInArrow(_stream_digest, "n long, digest string")
+    folder = scratch(spark)
+    try:
+        write_clean(spark, cut.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.partitionBy("_part"), folder)
+        saved = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in cut.schema)}, _part int").parquet(folder)
+        n, digest, state = 0, hashlib.sha256().hexdigest(), None
+        for part in sorted(r["_part"] for r in saved.select("_part").distinct().collect()):  # a number for each range
+            rows = saved.where(F.col("_part") == part).select("_p", *order).coalesce(1).sortWithinPartitions(*order).select("_p")
+            row = rows.mapInArrow(_digest_from(state), "n long, digest string, state binary").first()
+            n, digest, state = n + row["n"], row["digest"], bytes(row["state"])
+    finally:
+        discard(spark, folder)
+    return spark.createDataFrame([(n, digest)], "n long, digest string")
 
 
 def exact_corpus_hash(notes: DataFrame) -> DataFrame:

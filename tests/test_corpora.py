@@ -87,6 +87,25 @@ def test_order_statistics_against_sorting(spark, falling):
             assert got[g][name] == values[min(int(len(values) * share), len(values) - 1)], (g, name)
 
 
+def test_exact_digest_hands_its_state_from_range_to_range(spark, monkeypatch):
+    """Ranges of pieces, one task after the other, give the digest of one stream; without a library that gives its state one task does."""
+    rng = random.Random(9)
+    notes = [(f"p{k * 7919 % 500}é", "ü" * rng.randrange(200) + "\0") for k in range(500)]
+    whole = hashlib.sha256("".join(f"{p}\0{t}\0" for p, t in sorted(notes, key=lambda n: n[0].encode())).encode()).hexdigest()
+    frame, states = spark.createDataFrame(notes, "path string, text string").repartition(6), []
+    go_on = corpora._digest_from
+    monkeypatch.setattr(corpora, "_digest_from", lambda state: states.append(state) or go_on(state))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert tuple(corpora.exact_corpus_hash(frame).first()) == (500, whole)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert states[0] is None and len(states) == len(set(states)) > 2
+    assert tuple(corpora.exact_corpus_hash(frame.limit(0)).first()) == (0, hashlib.sha256().hexdigest())
+    monkeypatch.setattr(corpora, "_sha256_library", lambda: None)
+    assert tuple(corpora.exact_corpus_hash(frame).first()) == (500, whole)
+
+
 def test_hash_tree_and_exact_digest(spark):
     notes = [(f"p{k}", f"text {k}") for k in range(300)] + [("é", "ü\x00"), ("z", "")]
     frame = spark.createDataFrame(notes, "path string, text string")
