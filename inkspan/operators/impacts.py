@@ -105,23 +105,30 @@ def cheapest_cuts(lists: list[List], threshold: float) -> list[int]:
 class ImpactIndex:
     """Tables ``impacts``, ``histogram``, ``chunks`` and ``stats`` below one folder."""
 
-    def __init__(self, spark: SparkSession, path: str, tokenizer: tx.Tokenizer = tx.tokens, stable: bool = False):
+    def __init__(self, spark: SparkSession, path: str, tokenizer: tx.Tokenizer = tx.tokens, stable: bool = False, chunks: DataFrame | None = None):
         self.spark, self.path, self.tokenizer, self.stable = spark, path, tokenizer, stable
-        self.impacts, self.histogram, self.chunks, self.stats = (spark.read.parquet(f"{path}/{t}") for t in ("impacts", "histogram", "chunks", "stats"))
+        self.impacts, self.histogram, self.stats = (spark.read.parquet(f"{path}/{t}") for t in ("impacts", "histogram", "stats"))
+        self.chunks = spark.read.parquet(f"{path}/chunks") if chunks is None else chunks
 
     @staticmethod
-    def save(index: Index, path: str) -> ImpactIndex:
-        """Write the tables; one range shuffle of the postings, in which a frequent term is split by its impacts."""
-        rows = index.postings.join(F.broadcast(index.stats), "field").withColumn("impact", impact()).select("term", "field", "impact", "id", "tf", "dl")  # three rows
+    def save(index: Index, path: str, terms: list[str] | None = None) -> ImpactIndex:
+        """Write the tables; one range shuffle of the postings, in which a frequent term is split by its impacts.
+
+        With ``terms`` only their lists are made and other words find nothing; chunks, which are saved already, are read where they are.
+        """
+        postings = index.postings if terms is None else index.postings.where(F.col("term").isin(terms))
+        rows = postings.join(F.broadcast(index.stats), "field").withColumn("impact", impact()).select("term", "field", "impact", "id", "tf", "dl")  # three rows
         order = [F.col("term"), F.col("field"), F.col("impact").desc(), F.col("id")]
         spark = index.chunks.sparkSession
         write_clean(spark, rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("parquet.block.size", ROW_GROUP), f"{path}/impacts")
         known = spark.read.schema(rows.schema).parquet(f"{path}/impacts")
         counted = known.groupBy("term", "field", F.floor(F.col("impact") * BUCKETS).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
         counted.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/histogram")
+        index.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+        if terms is not None:
+            return ImpactIndex(spark, path, index.tokenizer, index.stable, index.chunks)
         ranged = index.chunks.repartitionByRange("path", "ordinal").sortWithinPartitions("path", "ordinal")
         ranged.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).option("parquet.bloom.filter.enabled#path", "true").parquet(f"{path}/chunks")
-        index.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
         return ImpactIndex(spark, path, index.tokenizer, index.stable)
 
     def whole(self) -> Index:
