@@ -29,6 +29,8 @@ class Index:
     stable: bool = False
     #: Whether the other tables follow from ``chunks`` alone, so that they may be made from saved chunks.
     derived: bool = False
+    #: (path, dl_0, dl_1, dl_2) of every chunk, if it is known without the chunks' texts.
+    lengths: DataFrame | None = None
 
     def persist(self) -> Index:
         for table in (self.chunks, self.postings, self.term_df, self.stats):
@@ -94,17 +96,21 @@ def vocabulary(chunks: DataFrame, tokenizer: tx.Tokenizer = tx.tokens, stable: b
     return terms.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("total"))
 
 
-def field_sums(chunks: DataFrame, tokenizer: tx.Tokenizer = tx.tokens, stable: bool = False) -> DataFrame:
-    """``statistics`` from the chunks alone, without a shuffle of postings."""
-    sums = field_tokens(chunks, tokenizer, stable).groupBy("field").agg(F.count("*").alias("n"), F.sum(F.size("tokens").cast("long")).alias("total"))
-    fields = chunks.sparkSession.createDataFrame([(n,) for n in FIELDS.values()], "field int")
-    return fields.join(F.broadcast(sums), "field", "left").select("field", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n", "total")))  # three rows
+def lengths_of(chunks: DataFrame, tokenizer: tx.Tokenizer = tx.tokens, stable: bool = False) -> DataFrame:
+    """(path, dl_0, dl_1, dl_2): the number of tokens in each field of each chunk."""
+    return chunks.select("path", *(F.size(tokenizer(tx.fold(F.col(name), stable))).cast("long").alias(f"dl_{n}") for name, n in FIELDS.items()))
+
+
+def sums_of(lengths: DataFrame) -> DataFrame:
+    """``statistics`` from the lengths of fields."""
+    row = lengths.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(f"dl_{f}"), F.lit(0).cast("long")).alias(f"t_{f}") for f in FIELDS.values()))
+    return row.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col("n"), F.col(f"t_{f}").alias("total")) for f in FIELDS.values()))).alias("s")).select("s.*")
 
 
 def from_chunks(chunks: DataFrame, tokenizer: tx.Tokenizer = tx.tokens, stable: bool = False) -> Index:
     """Tables of an index over chunks that have ids."""
-    postings = postings_of(chunks, tokenizer, stable)
-    return Index(chunks, postings, frequencies(postings), field_sums(chunks, tokenizer, stable), tokenizer, stable, True)
+    postings, lengths = postings_of(chunks, tokenizer, stable), lengths_of(chunks, tokenizer, stable)
+    return Index(chunks, postings, frequencies(postings), sums_of(lengths), tokenizer, stable, True, lengths)
 
 
 def with_native_ids(chunks: DataFrame) -> DataFrame:
@@ -126,8 +132,12 @@ def upsert(index: Index, notes: DataFrame) -> Index:
 
     Postings of other notes are kept as they are (an anti-join by chunk id), only the new notes are tokenized.
     """
-    fresh = from_chunks(with_ids(chunk(notes)), index.tokenizer, index.stable)
-    return _replace(index, notes.select("path").distinct(), fresh)
+    return replace_notes(index, notes.select("path"), with_ids(chunk(notes)))
+
+
+def replace_notes(index: Index, paths: DataFrame, chunks: DataFrame) -> Index:
+    """``upsert`` with the chunks (with ids) that the notes of ``paths`` have now."""
+    return _replace(index, paths.select("path").distinct(), from_chunks(chunks, index.tokenizer, index.stable))
 
 
 def remove(index: Index, paths: DataFrame) -> Index:
@@ -136,12 +146,14 @@ def remove(index: Index, paths: DataFrame) -> Index:
 
 
 def _replace(index: Index, paths: DataFrame, fresh: Index | None) -> Index:
-    gone = index.chunks.join(paths, "path", "left_semi").select("id")
-    chunks = index.chunks.join(paths, "path", "left_anti")
-    postings = index.postings.join(gone, "id", "left_anti").select(*index.postings.columns)
+    # marks and lengths are narrow; texts meet the paths only where chunks are read
+    gone = index.chunks.select("path", "id").join(paths.hint("shuffle_hash"), "path", "left_semi").select("id")
+    chunks = index.chunks.join(paths.hint("shuffle_hash"), "path", "left_anti")
+    postings = index.postings.join(gone.hint("shuffle_hash"), "id", "left_anti").select(*index.postings.columns)
+    lengths = (lengths_of(index.chunks, index.tokenizer, index.stable) if index.lengths is None else index.lengths).join(paths.hint("shuffle_hash"), "path", "left_anti")
     if fresh:
-        chunks, postings = chunks.unionByName(fresh.chunks), postings.unionByName(fresh.postings)
-    return Index(chunks, postings, frequencies(postings), field_sums(chunks, index.tokenizer, index.stable), index.tokenizer, index.stable)
+        chunks, postings, lengths = chunks.unionByName(fresh.chunks), postings.unionByName(fresh.postings), lengths.unionByName(fresh.lengths)
+    return Index(chunks, postings, frequencies(postings), sums_of(lengths), index.tokenizer, index.stable, lengths=lengths)
 
 
 def clear(index: Index) -> Index:
